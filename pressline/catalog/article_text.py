@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pressline.catalog import query
 from pressline.catalog import derived as d
+from pressline.functions.once import computed_once
 from pressline.functions.text import event_location
 from pressline.operators import articles as art
 from pressline.operators.relevance import first_keyword, keyword_context
@@ -36,7 +37,7 @@ WITH {d.PARAGRAPHS}
 SELECT page_id, {_JOINED.format('paragraphs')} AS paragraphs, len(paragraphs)::BIGINT AS n FROM paragraphs""")
 def native_paragraphs_x1(spark, sf_dir):
     pages = d.table(spark, sf_dir, "pages")
-    found = pages.select("page_id", art.native_paragraphs(F.col("html")).alias("p"))
+    found = computed_once(pages, {"p": art.native_paragraphs(F.col("html"))})
     return found.select("page_id", F.array_join("p", "|").alias("paragraphs"), F.size("p").cast("bigint").alias("n"))
 
 
@@ -57,14 +58,15 @@ def paragraph_ladder_x1(spark, sf_dir):
 
 @query("anchored_paragraphs_x2", f"""
 WITH {d.PARAGRAPHS}
-SELECT page_id, CASE WHEN regexp_extract(url, '#(.*)$', 1) = 'top' THEN 0 ELSE 2 END::BIGINT AS rung,
-  {_JOINED.format("(CASE WHEN regexp_extract(url, '#(.*)$', 1) = 'top' THEN list_slice(paragraphs, 2, 61) ELSE paragraphs END)")} AS paragraphs
-FROM paragraphs WHERE len(paragraphs) > 1""")
+SELECT page_id, CASE WHEN anchored THEN 0 ELSE 2 END::BIGINT AS rung,
+  {_JOINED.format("(CASE WHEN anchored THEN list_slice(paragraphs, 2, 61) ELSE paragraphs END)")} AS paragraphs
+FROM (SELECT *, regexp_extract(url, '#(.*)$', 1) = 'top' AND len(paragraphs) > 1 AS anchored FROM paragraphs)""")
 def anchored_paragraphs_x2(spark, sf_dir):
-    """Pages with a ``#top`` address are read after that element, here the first paragraph."""
+    """Pages with a ``#top`` address are read after that element, here the first paragraph; if nothing
+    follows it, by the ladder."""
     pages = d.table(spark, sf_dir, "pages").select(
         F.lit("press").alias("source"), "page_id", "url", F.regexp_replace("html", "(?s)^(.*?<article>.*?)<p>", '$1<p id="top">').alias("html")
-    ).filter(F.size(art.native_paragraphs(F.col("html"))) > 1)
+    )
     facts = article_facts(pages, _ladder_profile(anchored=True))
     return facts.select("page_id", F.col("rung").cast("bigint").alias("rung"), F.array_join("paragraphs", "|").alias("paragraphs"))
 
@@ -213,10 +215,11 @@ SELECT page_id, keyword, length(body)::BIGINT AS n_chars,
 FROM found WHERE keyword IS NOT NULL""")
 def press_articles(spark, sf_dir):
     """The flagship: raw pages to relevant articles with keyword and summary, all in the JVM."""
-    pages = d.table(spark, sf_dir, "pages").select("page_id", art.native_paragraphs(F.col("html")).alias("paragraphs"))
+    pages = d.table(spark, sf_dir, "pages").select("page_id", "html")
+    split = computed_once(pages, {"paragraphs": art.native_paragraphs(F.col("html"))}).filter(F.size("paragraphs") > 0)
     lines = art.take_until(art.clean_lines(F.col("paragraphs")), art.line_start(d.STOPS))
-    texts = pages.filter(F.size("paragraphs") > 0).withColumn("body", art.content_text(lines))
-    found = texts.withColumn("keyword", first_keyword(F.col("body"), d.KEYWORDS)).filter(F.col("keyword").isNotNull())
+    texts = computed_once(split, {"body": art.content_text(lines)})
+    found = computed_once(texts, {"keyword": first_keyword(F.col("body"), d.KEYWORDS)}).filter(F.col("keyword").isNotNull())
     return found.select(
         "page_id", "keyword", F.length("body").cast("bigint").alias("n_chars"),
         art.summary(F.col("paragraphs")).alias("summary"),

@@ -35,8 +35,13 @@ RFC822_ZONES = {
 }
 
 
-def _found(c: Column) -> Column:
-    return F.when(c != "", c)
+def _match(c: Column, pattern: str, group: int = 0) -> Column:
+    """First match of a pattern, null where there is none; the text is searched once."""
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))
+
+
+def _reordered(german: Column) -> Column:
+    return F.regexp_replace(german, r"^(\d{2})\.(\d{2})\.(\d{4})$", "$3-$2-$1")
 
 
 def checked_date(text: Column) -> Column:
@@ -45,7 +50,7 @@ def checked_date(text: Column) -> Column:
 
 
 def iso_date_text(c: Column) -> Column:
-    return _found(F.regexp_extract(c, r"^\d{4}-\d{2}-\d{2}", 0))
+    return _match(c, r"^\d{4}-\d{2}-\d{2}")
 
 
 def iso_date(c: Column) -> Column:
@@ -53,8 +58,7 @@ def iso_date(c: Column) -> Column:
 
 
 def german_date_text(c: Column, mode: str = "prefix") -> Column:
-    hit = _found(F.regexp_extract(c, GERMAN_DATE_MODES[mode], 1))
-    return F.concat(F.substring(hit, 7, 4), F.lit("-"), F.substring(hit, 4, 2), F.lit("-"), F.substring(hit, 1, 2))
+    return _reordered(_match(c, GERMAN_DATE_MODES[mode], 1))
 
 
 def german_date(c: Column, mode: str = "prefix") -> Column:
@@ -63,17 +67,13 @@ def german_date(c: Column, mode: str = "prefix") -> Column:
 
 def german_month_date_text(c: Column) -> Column:
     """``14. August 2025``, any letter case, umlauts plain or written out."""
-    text = F.lower(c)
-    pattern = r"^(\d{1,2})\.\s*([a-zäöü]+)\s+(\d{4})"
-    name = F.regexp_extract(text, pattern, 2)
+    note = _match(F.lower(c), r"^\d{1,2}\.\s*[a-zäöü]+\s+\d{4}")
     for umlaut, plain in (("ä", "ae"), ("ö", "oe"), ("ü", "ue")):
-        name = F.replace(name, F.lit(umlaut), F.lit(plain))
-    months = F.create_map(*[F.lit(x) for pair in GERMAN_MONTHS.items() for x in pair])
-    month = F.try_element_at(months, name)
-    return F.concat(
-        F.regexp_extract(text, pattern, 3), F.lit("-"), F.lpad(month.cast("string"), 2, "0"),
-        F.lit("-"), F.lpad(F.regexp_extract(text, pattern, 1), 2, "0"),
-    )
+        note = F.replace(note, F.lit(umlaut), F.lit(plain))
+    for name, number in GERMAN_MONTHS.items():
+        note = F.replace(note, F.lit(name), F.lit(f"{number:02d}"))
+    numeric = _match(F.regexp_replace(note, r"^(\d)\.", "0$1."), r"^\d{2}\.\s*\d{2}\s+\d{4}$")
+    return F.regexp_replace(numeric, r"^(\d{2})\.\s*(\d{2})\s+(\d{4})$", "$3-$2-$1")
 
 
 def german_month_date(c: Column) -> Column:
@@ -97,42 +97,46 @@ def midnight(day: Column) -> Column:
 
 def rss_instant(c: Column) -> Column:
     """Instant of an RFC 822 date; the weekday in front is not checked."""
-    pattern = r"^\s*(?:[A-Za-z]{3},\s*)?(\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s+\d{2}:\d{2})(:\d{2})?\s*([+-]\d{4}|[A-Z]{1,3})?\s*$"
-    stem = F.regexp_replace(F.regexp_extract(c, pattern, 1), r"\s+", " ")
-    seconds = F.regexp_extract(c, pattern, 2)
-    zone = F.regexp_extract(c, pattern, 3)
-    names = F.create_map(*[F.lit(x) for pair in RFC822_ZONES.items() for x in pair])
-    offset = F.when(zone == "", F.lit("+0000")).when(zone.rlike(r"^[+-]"), zone).otherwise(F.try_element_at(names, zone))
-    text = F.concat(stem, F.when(seconds == "", F.lit(":00")).otherwise(seconds), F.lit(" "), offset)
-    return F.try_to_timestamp(text, F.lit("d MMM yyyy HH:mm:ss Z"))
+    pattern = r"^\s*(?:[A-Za-z]{3},\s*)?\d{1,2}\s+[A-Za-z]{3}\s+\d{4}\s+\d{2}:\d{2}(?::\d{2})?\s*(?:[+-]\d{4}|[A-Z]{1,3})?\s*$"
+    note = F.regexp_replace(_match(c, pattern), r"^\s*(?:[A-Za-z]{3},\s*)?|\s+$", "")
+    note = F.regexp_replace(note, r"\s+", " ")
+    note = F.regexp_replace(note, r"( \d{2}:\d{2})(?!\d|:)", "$1:00")
+    for offset in sorted(set(RFC822_ZONES.values())):
+        names = "|".join(name for name, value in RFC822_ZONES.items() if value == offset)
+        note = F.regexp_replace(note, rf"(?:{names})$", f" {offset}")
+    note = F.regexp_replace(F.regexp_replace(note, r"(:\d{2}:\d{2})$", "$1 +0000"), r"\s*([+-]\d{4})$", " $1")
+    return F.try_to_timestamp(note, F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
 def rss_date(c: Column) -> Column:
     return utc_day(rss_instant(c))
 
 
-def _instant(day: Column, clock: Column, zone: Column) -> Column:
-    clock = F.when(F.length(clock) == 5, F.concat(clock, F.lit(":00"))).otherwise(clock)
-    zone = F.when(zone == "", F.lit("Z")).otherwise(zone)
-    return F.try_to_timestamp(F.concat(day, F.lit("T"), clock, zone))
+def _completed(note: Column) -> Column:
+    """Instant of ``day T clock zone`` where seconds, a zone, or both may be missing (then UTC)."""
+    note = F.regexp_replace(note, r"(T\d{2}:\d{2})(?!:|\d)", "$1:00")
+    note = F.regexp_replace(note, r"(T\d{2}:\d{2}:\d{2})$", "$1Z")
+    return F.try_to_timestamp(note)
 
 
 def iso_ts(c: Column) -> Column:
     """Strict ISO instant: ``T`` form, seconds and zone optional, fraction only after seconds."""
-    pattern = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)(Z|[+\-]\d{2}:\d{2})?$"
-    clock = F.regexp_replace(F.regexp_extract(c, pattern, 2), r"\.\d+$", "")
-    return _instant(_found(F.regexp_extract(c, pattern, 1)), clock, F.regexp_extract(c, pattern, 3))
+    pattern = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+\-]\d{2}:\d{2})?$"
+    return _completed(F.regexp_replace(_match(c, pattern), r"\.\d+", ""))
 
 
 def loose_ts(c: Column) -> Column:
     """ISO instant with ``T`` or a blank, or a bare day (its UTC midnight); a missing zone is UTC."""
-    pattern = r"^\s*(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2})?)(?:\.\d+)?\s*(Z|[+\-]\d{2}:?\d{2})?)?\s*$"
-    clock = F.regexp_extract(c, pattern, 2)
-    zone = F.regexp_replace(F.regexp_extract(c, pattern, 3), r"^([+\-]\d{2})(\d{2})$", "$1:$2")
-    return _instant(_found(F.regexp_extract(c, pattern, 1)), F.when(clock == "", F.lit("00:00")).otherwise(clock), zone)
+    pattern = r"^\s*\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|[+\-]\d{2}:?\d{2})?)?\s*$"
+    note = F.regexp_replace(_match(c, pattern), r"^\s+|\s+$|\.\d+", "")
+    note = F.regexp_replace(note, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    note = F.regexp_replace(F.regexp_replace(note, r"^(\d{4}-\d{2}-\d{2}) ", "$1T"), r"\s+", "")
+    return _completed(F.regexp_replace(note, r"([+\-]\d{2})(\d{2})$", "$1:$2"))
 
 
 def german_clock_ts(c: Column) -> Column:
     """Instant of ``dd.mm.yyyy hh:mm``, read as UTC."""
-    pattern = r"^\d{2}\.\d{2}\.\d{4}\s+(\d{2}:\d{2})"
-    return _instant(german_date_text(c, "with_time"), F.regexp_extract(c, pattern, 1), F.lit(""))
+    note = _match(c, r"^\d{2}\.\d{2}\.\d{4}\s+\d{2}:\d{2}")
+    return F.try_to_timestamp(
+        F.regexp_replace(note, r"^(\d{2})\.(\d{2})\.(\d{4})\s+(\d{2}:\d{2})$", "$3-$2-$1T$4:00Z")
+    )

@@ -22,10 +22,10 @@ def base_angle(key: Column) -> Column:
     return F.pmod(key_hash(key), F.lit(360))
 
 
-def displaced(lat: Column, lon: Column, index: Column) -> tuple[Column, Column]:
-    """Shown position of the marker with this running index at its point; index 0 stays."""
+def displaced(lat: Column, lon: Column, index: Column, base: Column) -> tuple[Column, Column]:
+    """Shown position of the marker with this running index and base angle; index 0 stays."""
     place = (index - 1).cast("long")
-    angle = F.radians(base_angle(point_key(lat, lon)) + place * RING_STEP_DEGREES)
+    angle = F.radians(base + place * RING_STEP_DEGREES)
     radius = RING_RADIUS + RING_RADIUS * F.floor(place / RING_SIZE)
     moved = index > 0
     return (

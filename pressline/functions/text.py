@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pressline.functions.once import let
+
 # The characters the reference trims (space, tab, newline, return, NUL, vertical tab).
 TRIM_CHARS = " \t\n\r\u0000\u000b"
 
@@ -65,28 +67,40 @@ def parse_float_prefix(c: Column) -> Column:
     return F.regexp_extract(c, number, 1).try_cast("double")
 
 
+def _expanded(text: Column) -> Column:
+    """Browser form of a double that Java prints with an exponent."""
+    def digits_of(t: Column) -> Column:
+        mantissa = F.regexp_replace(F.regexp_replace(t, r"E.*$", ""), r"[-.]", "")
+        return F.regexp_replace(mantissa, r"0+$", "")
+
+    def form(p: Column) -> Column:
+        digits, e, n = p["digits"], p["e"], F.length(p["digits"])
+        head, tail = F.substring(digits, 1, 1), F.substring(digits, F.lit(2), n)
+        mantissa = F.when(n > 1, F.concat(head, F.lit("."), tail)).otherwise(digits)
+        return F.concat(
+            p["sign"],
+            F.when((e < 0) & (e >= -6), F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
+            .when((e > 0) & (e < 21) & (n <= e + 1), F.rpad(digits, e + 1, F.lit("0")))
+            .when((e > 0) & (e < 21), F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n)))
+            .otherwise(F.concat(mantissa, F.when(e > 0, F.lit("e+")).otherwise(F.lit("e")), e.cast("string"))),
+        )
+
+    parts = F.struct(
+        F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit("")).alias("sign"),
+        digits_of(text).alias("digits"),
+        F.regexp_extract(text, r"E(-?\d+)$", 1).cast("int").alias("e"),
+    )
+    return let(parts, form)
+
+
 def js_number_text(c: Column) -> Column:
     """A double as a browser prints it: no ``.0``, plain digits from 1e-6 up to 1e21."""
-    text = c.cast("string")
-    plain = F.regexp_replace(text, r"\.0$", "")
-    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    digits = F.regexp_replace(
-        F.regexp_replace(F.regexp_extract(text, r"^-?([\d.]+)E", 1), r"\.", ""), r"0+$", ""
-    )
-    exponent = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
-    n = F.length(digits)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    whole = F.rpad(digits, exponent + 1, F.lit("0"))
-    mixed = F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, n))
-    mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(digits)
-    scientific = F.concat(mantissa, F.when(exponent > 0, F.lit("e+")).otherwise(F.lit("e")), exponent.cast("string"))
-    expanded = (
-        F.when((exponent < 0) & (exponent >= -6), small)
-        .when((exponent > 0) & (exponent < 21) & (n <= exponent + 1), whole)
-        .when((exponent > 0) & (exponent < 21), mixed)
-        .otherwise(scientific)
+    return let(
+        c.cast("string"),
+        lambda t: F.when(t.isin("0.0", "-0.0"), F.lit("0"))
+        .when(F.contains(t, F.lit("E")), _expanded(t))
+        .otherwise(F.regexp_replace(t, r"\.0$", "")),
     )
-    return F.when(c == 0, F.lit("0")).when(exponent.isNotNull(), F.concat(sign, expanded)).otherwise(plain)
 
 
 def key_hash(c: Column) -> Column:
@@ -96,4 +110,5 @@ def key_hash(c: Column) -> Column:
         F.lit(0).cast("long"),
         lambda h, code: (h * 31 + code).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")),
     )
-    return F.when(folded >= 2**31, folded - 2**32).otherwise(folded)
+    # 2^31 is added, the low 32 bits are kept, and 2^31 is taken away again.
+    return (folded + 2**31).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) - 2**31

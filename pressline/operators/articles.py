@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pressline.functions.once import let, non_empty
 from pressline.functions.text import rx, squeeze, trimmed
 
 SUMMARY_MIN_CHARS = 80
@@ -39,22 +40,24 @@ def plain_text(markup: Column) -> Column:
 
 def article_block(html: Column) -> Column:
     """Inner HTML of the first ``article`` element, the whole page where there is none."""
-    page = F.regexp_replace(html, SCRIPTS_AND_COMMENTS, "")
-    inner = F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
-    return F.when(inner != "", inner).otherwise(page)
+    def block(page: Column) -> Column:
+        inner = F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
+        return F.coalesce(non_empty(inner), page)
+
+    return let(F.regexp_replace(html, SCRIPTS_AND_COMMENTS, ""), block)
 
 
 def native_paragraphs(html: Column) -> Column:
     """Paragraphs of a plain page, all in the JVM: a new ``<p>`` closes the open one."""
-    pieces = F.split(article_block(html), r"(?i)<p(?=[\s>/])[^>]*>")
-    inner = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    pieces = F.split(article_block(html), r"(?i)<p(?:>|[\s/][^>]*>)")
+    inner = let(pieces, lambda all_: F.slice(all_, F.lit(2), F.greatest(F.size(all_) - 1, F.lit(0))))
     return F.transform(inner, lambda p: plain_text(F.regexp_replace(p, r"(?is)</p\s*>.*$", "")))
 
 
 def heading(html: Column) -> Column:
     """Squeezed text of the first ``h1``: empty for an empty heading, null where there is none."""
     block = F.regexp_extract(F.regexp_replace(html, SCRIPTS_AND_COMMENTS, ""), r"(?is)<h1\b[^>]*>.*?</h1\s*>", 0)
-    return F.when(block != "", squeeze(plain_text(block)))
+    return squeeze(plain_text(non_empty(block)))
 
 
 def heading_title(h1: Column, list_title: Column) -> Column:
@@ -62,22 +65,21 @@ def heading_title(h1: Column, list_title: Column) -> Column:
     return F.coalesce(h1, list_title)
 
 
-def clean_lines(lines: Column, drop_empty: bool | Column = False) -> Column:
+def clean_lines(lines: Column, drop_empty: bool = False) -> Column:
     """Trimmed lines; ``drop_empty`` removes the empty ones, otherwise they stay as blank lines."""
     kept = F.transform(lines, trimmed)
-    if drop_empty is False:
-        return kept
-    filled = F.filter(kept, lambda x: x != "")
-    return filled if drop_empty is True else F.when(drop_empty, filled).otherwise(kept)
+    return F.filter(kept, lambda x: x != "") if drop_empty else kept
 
 
 def take_until(lines: Column, pattern: str | None) -> Column:
     """Lines before the first one that matches the pattern."""
     if not pattern:
         return lines
-    hit = F.array_position(F.transform(lines, lambda x: x.rlike(pattern)), True)
-    length = F.when(hit > 0, hit - 1).otherwise(F.size(lines)).cast("int")
-    return F.when(lines.isNotNull(), F.slice(lines, F.lit(1), F.greatest(length, F.lit(0))))
+    def cut(all_: Column) -> Column:
+        hit = F.array_position(F.transform(all_, lambda x: x.rlike(pattern)), True)
+        return let(hit, lambda n: F.slice(all_, F.lit(1), F.when(n > 0, n - 1).otherwise(F.size(all_)).cast("int")))
+
+    return let(lines, cut)
 
 
 def drop_lines(lines: Column, pattern: str | None) -> Column:
@@ -98,11 +100,14 @@ def summary(lines: Column, markers: Sequence[str] = SKIP_MARKERS, ellipsis: bool
         long_enough = F.length(x) > SUMMARY_MIN_CHARS
         return long_enough & ~x.rlike(skip) if skip else long_enough
 
+    def shown(line: Column) -> Column:
+        cut = F.substring(line, 1, SUMMARY_MAX_CHARS)
+        if not ellipsis:
+            return cut
+        return F.when(F.length(line) > SUMMARY_MAX_CHARS, F.concat(cut, F.lit("..."))).otherwise(cut)
+
     line = F.get(F.filter(F.transform(lines, trimmed), usable), F.lit(0))
-    cut = F.substring(line, 1, SUMMARY_MAX_CHARS)
-    if ellipsis:
-        cut = F.when(F.length(line) > SUMMARY_MAX_CHARS, F.concat(cut, F.lit("..."))).otherwise(cut)
-    return F.coalesce(cut, F.lit(""))
+    return F.coalesce(let(line, shown), F.lit(""))
 
 
 def fallback_summary(text: Column) -> Column:
@@ -114,9 +119,7 @@ def meta_description(html: Column) -> Column:
     """``description`` of the page head, else its ``og:description``; null where both are missing."""
     def content(attribute: str, name: str) -> Column:
         tag = F.regexp_extract(html, rf"""(?is)<meta\b[^>]*\b{attribute}\s*=\s*["']{name}["'][^>]*>""", 0)
-        value = F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
-        single = F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*'([^']*)'""", 1)
-        has_content = tag.rlike(r"(?i)\bcontent\s*=")
-        return F.when(has_content, trimmed(plain_text(F.when(value != "", value).otherwise(single))))
+        quoted = F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*("[^"]*"|'[^']*')""", 1)
+        return trimmed(plain_text(let(non_empty(quoted), lambda q: F.substring(q, F.lit(2), F.length(q) - 2))))
 
     return F.coalesce(content("name", "description"), content("property", "og:description"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressline.functions.text import is_falsy
+from pressline.functions.once import computed_once, let
+from pressline.functions.text import truthy
 from pressline.sources.schemas import ANSWER
 
 REQUEST_CHARS = 2000
@@ -46,11 +47,11 @@ def classification_requests(
 def decode_answer(response: Column) -> Column:
     """Answer struct inside a model response; null where any layer is not what it should be."""
     content = F.get_json_object(response, "$.choices[0].message.content")
-    return F.from_json(F.when(~is_falsy(content), content), ANSWER)
+    return F.from_json(let(content, truthy), ANSWER)
 
 
 def decode_answers(responses: DataFrame, response: str = "response") -> DataFrame:
-    return responses.withColumn("answer", decode_answer(F.col(response))).drop(response)
+    return computed_once(responses, {"answer": decode_answer(F.col(response))}).drop(response)
 
 
 def coordinate_text(number: Column) -> Column:

@@ -11,6 +11,7 @@ from pressline.functions.dates import (
     DAY_SECONDS, any_german_date_text, checked_date, german_clock_ts, german_date_text,
     iso_date_text, iso_ts, loose_ts, midnight, utc_day,
 )
+from pressline.functions.once import computed_once
 
 RUNG = "struct<day:string,ts:timestamp>"
 
@@ -66,7 +67,7 @@ def with_publication(
     choice = F.lit(None).cast(RUNG)
     for source, ladder in ladders.items():
         choice = F.when(F.col("source") == source, F.coalesce(*[rungs[r] for r in ladder])).otherwise(choice)
-    found = articles.withColumn("_rung", choice)
+    found = computed_once(articles, {"_rung": choice})
     day = F.coalesce(checked_date(F.col("_rung.day")), F.when(F.col("_rung.day").isNull(), utc_day(as_of)))
     return (
         found.withColumn("pub_date", day)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pressline.functions.dates import DAY_SECONDS, utc_day
 from pressline.functions.geo import base_angle, displaced, point_key
+from pressline.functions.once import computed_once
 from pressline.functions.text import parse_float_prefix
 from pressline.operators.skew import running_index
 
@@ -50,7 +51,9 @@ def valid_coordinates(df: DataFrame, lat: str = "lat", lon: str = "lon") -> Data
         c = F.col(name)
         return parse_float_prefix(c) if isinstance(df.schema[name].dataType, T.StringType) else c.cast("double")
 
-    numeric = df.withColumns({lat: number(lat), lon: number(lon)})
+    numbers = {name: number(name) for name in (lat, lon)}
+    typed = all(isinstance(df.schema[name].dataType, T.DoubleType) for name in (lat, lon))
+    numeric = df if typed else computed_once(df, numbers)
     return numeric.filter(
         F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
     )
@@ -114,12 +117,10 @@ def colocation_index(df: DataFrame, name: str = "point_index") -> DataFrame:
 
 def spread_markers(df: DataFrame, index: str = "point_index") -> DataFrame:
     """Adds ``base_angle, shown_lat, shown_lon``: later markers of a point move on rings around it."""
-    lat, lon = displaced(F.col("lat"), F.col("lon"), F.col(index))
-    return df.withColumns({
-        "base_angle": base_angle(point_key(F.col("lat"), F.col("lon"))),
-        "shown_lat": lat,
-        "shown_lon": lon,
-    })
+    lat, lon = F.col("lat"), F.col("lon")
+    angled = computed_once(df, {"base_angle": base_angle(point_key(lat, lon))})
+    shown_lat, shown_lon = displaced(lat, lon, F.col(index), F.col("base_angle"))
+    return angled.withColumns({"shown_lat": shown_lat, "shown_lon": shown_lon})
 
 
 def recency_rank(date: Column, as_of: Column) -> Column:

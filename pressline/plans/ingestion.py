@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressline.functions.dates import midnight, rss_date
-from pressline.functions.text import default_title, is_falsy, trimmed
+from pressline.functions.once import computed_once
+from pressline.functions.text import is_falsy
 from pressline.operators import articles as art
 from pressline.operators import classify, links as lk, monitoring, places, relevance, store
 from pressline.operators.dating import is_fresh, with_publication
@@ -130,7 +131,7 @@ def with_text(facts: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
         return text
 
     none = F.lit(None).cast("string")
-    return facts.withColumns({
+    return computed_once(facts, {
         "content_text": by_source(profiles, kept, none),
         "summary": by_source(profiles, short, none),
         "title": by_source(
@@ -165,7 +166,7 @@ def candidates(
         scope = [F.col("content_text"), F.col("title")] if p.match_title else F.col("content_text")
         return relevance.first_keyword(scope, keywords, p.fold)
 
-    found = dated.withColumn("keyword", by_source(profiles, keyword, F.lit(None).cast("string")))
+    found = computed_once(dated, {"keyword": by_source(profiles, keyword, F.lit(None).cast("string"))})
     read = ~F.col("stored") & ~F.col("early_old")
     reason = monitoring.first_reason(
         stored=F.col("stored"),
@@ -208,7 +209,7 @@ def judge(
             a["ort"], F.col("content_text"), sidecar, p.sidecar_first, p.strict_places, p.null_only_place
         )
 
-    placed = answered.filter(F.col("reason").isNull()).withColumns({
+    placed = computed_once(answered.filter(F.col("reason").isNull()), {
         "location": by_source(profiles, place, a["ort"]),
         "lat_text": a["koord"]["lat"],
         "lon_text": a["koord"]["lon"],

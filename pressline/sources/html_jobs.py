@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressline.functions.dates import german_date_text, iso_date_text
+from pressline.functions.once import computed_once
 from pressline.functions.text import clean_title, default_title, event_location, squeeze, trimmed
 from pressline.functions.urls import absolutize
 from pressline.operators.links import link_predicate
@@ -277,7 +278,7 @@ def finish_links(found: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame
     }
     if "list_date" not in known:
         sidecars["list_date"] = F.try_to_date(day, "yyyy-MM-dd")
-    rows = found.withColumns(sidecars).drop(
+    rows = computed_once(found, sidecars).drop(
         "href", "item_date_text", "item_time_attr", "item_place", "item_region"
     ).filter(F.col("url").isNotNull())
     for p in profiles.values():
