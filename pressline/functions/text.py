@@ -80,8 +80,8 @@ def _expanded(text: Column) -> Column:
         return F.concat(
             p["sign"],
             F.when((e < 0) & (e >= -6), F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits))
-            .when((e > 0) & (e < 21) & (n <= e + 1), F.rpad(digits, e + 1, F.lit("0")))
-            .when((e > 0) & (e < 21), F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n)))
+            .when((e >= 0) & (e < 21) & (n <= e + 1), F.rpad(digits, e + 1, F.lit("0")))
+            .when((e >= 0) & (e < 21), F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n)))
             .otherwise(F.concat(mantissa, F.when(e > 0, F.lit("e+")).otherwise(F.lit("e")), e.cast("string"))),
         )
 
@@ -93,10 +93,19 @@ def _expanded(text: Column) -> Column:
     return let(parts, form)
 
 
+def _shortest(c: Column, text: Column) -> Column:
+    """Text of a double with as few digits as still give it back; the JVM may print one too many."""
+    def fewer(digits: int) -> Column:
+        short = F.format_string(f"%.{digits - 1}e", c)
+        return F.when(short.cast("double") == c, F.regexp_replace(short, r"e\+?(-?)0*(\d+)$", "E$1$2"))
+
+    return F.when(F.length(text) >= 17, F.coalesce(fewer(15), fewer(16), text)).otherwise(text)
+
+
 def js_number_text(c: Column) -> Column:
     """A double as a browser prints it: no ``.0``, plain digits from 1e-6 up to 1e21."""
     return let(
-        c.cast("string"),
+        let(c.cast("string"), lambda t: _shortest(c, t)),
         lambda t: F.when(t.isin("0.0", "-0.0"), F.lit("0"))
         .when(F.contains(t, F.lit("E")), _expanded(t))
         .otherwise(F.regexp_replace(t, r"\.0$", "")),
