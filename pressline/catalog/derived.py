@@ -33,7 +33,7 @@ def text(day: Column) -> Column:
 
 # -- pages and links ---------------------------------------------------------------------------
 
-SCRIPTS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+SCRIPTS = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
 ANCHOR = r"""(?is)<a\b[^>]*\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>"""
 
 CLEAN_PAGES = f"""

@@ -19,7 +19,7 @@ SKIP_MARKERS = (
     "original-content", "pdf-version", "druckversion",
 )
 
-SCRIPTS_AND_COMMENTS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+SCRIPTS_AND_COMMENTS = r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)"
 
 # Named entities of plain pages, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))

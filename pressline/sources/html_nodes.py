@@ -2,16 +2,18 @@
 
 Helper of the Arrow jobs in :mod:`pressline.sources.html_jobs`; it sees one page at a time. Rules for
 broken markup: scripts, styles and comments go first, a new ``p`` closes the open one, an end tag
-closes everything above its start tag, an end tag without a start tag is ignored.
+closes everything above its start tag, an end tag without a start tag is ignored, an open comment or
+script runs to the end of the page. Reading stays linear in the page on such input.
 """
 
 from __future__ import annotations
 
 import html as _entities
 import re
+from collections import Counter
 
 _TOKEN = re.compile(
-    r"<!--.*?-->|<!DOCTYPE[^>]*>|<(script|style)\b[^>]*>.*?</\1\s*>"
+    r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<(script|style)\b.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>",
     re.S | re.I,
 )
@@ -35,6 +37,7 @@ class Page:
         self.chunks: list[str] = []
         self.span: list[list[int]] = [[0, 0]]
         self._attrs: dict[int, dict[str, str]] = {}
+        self._open: Counter[str] = Counter()
         self._read(markup)
 
     def _read(self, markup: str) -> None:
@@ -63,6 +66,7 @@ class Page:
             self.span.append([len(self.chunks), len(self.chunks)])
             if name not in _VOID and not token.group(4).endswith("/"):
                 stack.append(index)
+                self._open[name] += 1
         if at < len(markup):
             self.chunks.append(markup[at:])
         while stack:
@@ -71,8 +75,11 @@ class Page:
     def _end(self, index: int) -> None:
         self.last[index] = len(self.tag) - 1
         self.span[index][1] = len(self.chunks)
+        self._open[self.tag[index]] -= 1
 
     def _close(self, stack: list[int], name: str, *barriers: str) -> None:
+        if not self._open[name]:
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if self.tag[stack[depth]] == name:
                 while len(stack) > depth:

@@ -96,12 +96,18 @@ def stream_append(
     )
 
 
-def stream_funnel(df: DataFrame, ts: str = "pub_ts", delay: str = "24 hours", keys: Sequence[str] = ("source",)) -> DataFrame:
-    """Running counts per day, source and reason."""
+def stream_funnel(
+    df: DataFrame, ts: str = "pub_ts", delay: str | None = None, keys: Sequence[str] = ("source",)
+) -> DataFrame:
+    """Running counts per day, source and reason.
+
+    The state is one number per day, source and reason, so by default every late row still counts.
+    ``delay`` sets a watermark: days that ended before it are closed, and their late rows are lost.
+    """
     reason = F.coalesce(F.col("reason"), F.lit(ACCEPTED)).alias("reason")
+    bounded = df.withWatermark(ts, delay) if delay else df
     return (
-        df.withWatermark(ts, delay)
-        .groupBy(F.window(ts, "1 day").alias("day"), *keys, reason)
+        bounded.groupBy(F.window(ts, "1 day").alias("day"), *keys, reason)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("day.start").alias("day_start"), *keys, "reason", "n")
     )
