@@ -64,17 +64,19 @@ def dedup_links_with_region(links: DataFrame, region: str = "list_region") -> Da
 
 
 def until_first_bad(
-    pages: DataFrame, bad: Column, keep_first_page: int | None = None, keys: Sequence[str] = ("source",)
+    pages: DataFrame, bad: Column, keep_first_page: int | None = None, keys: Sequence[str] = ("source",),
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """Pages of each list run (``keys``) before its first bad page.
 
     ``keep_first_page`` names a page number that never ends the run (a failed first page is skipped
-    there, not final). The first bad page per run comes from map-side minima, one row per run; no
-    page list is gathered in a single task.
+    there, not final). ``rows`` may hold what was already read from the good pages, so that the page
+    texts themselves are not shuffled. The first bad page per run comes from map-side minima, one row
+    per run; no page list is gathered in a single task.
     """
     stops = bad if keep_first_page is None else bad & (F.col("page") != keep_first_page)
     first_bad = pages.filter(stops).groupBy(*keys).agg(F.min("page").alias("_first_bad"))
-    kept = pages.filter(~F.coalesce(bad, F.lit(False)))
+    kept = pages.filter(~F.coalesce(bad, F.lit(False))) if rows is None else rows
     return (
         kept.join(first_bad, list(keys), "left")
         .filter(F.col("_first_bad").isNull() | (F.col("page") < F.col("_first_bad")))

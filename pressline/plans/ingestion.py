@@ -17,9 +17,10 @@ from pressline.functions.text import is_falsy
 from pressline.operators import articles as art
 from pressline.operators import classify, links as lk, monitoring, places, relevance, store
 from pressline.operators.dating import is_fresh, with_publication
+from pressline.session import cut_lineage
 from pressline.sources import feeds as fd
 from pressline.sources.html_jobs import article_facts, extract_links, finish_links
-from pressline.sources.pages import latest_pages, load_failed
+from pressline.sources.pages import load_failed
 from pressline.sources.profiles import Profile
 
 SIDECARS = {
@@ -55,11 +56,11 @@ def _script_links(list_pages: DataFrame, profiles: Mapping[str, Profile]) -> lis
         if not variable:
             continue
         mine = list_pages.filter(F.col("source") == source)
-        if p.page_rule == "stop":
-            listed = fd.embedded_json(F.col("html"), variable)
-            bad = load_failed(F.col("html")) | listed.isNull() | (F.size(listed) == 0)
-            mine = lk.until_first_bad(mine, bad, keys=("source", "feed", "list"))
         items = fd.embedded_json_items(mine, variable).drop("url")
+        if p.page_rule == "stop":
+            size = F.coalesce(F.size(fd.embedded_json(F.col("html"), variable)), F.lit(0))
+            bad = load_failed(F.col("html")) | (size <= 0)
+            items = lk.until_first_bad(mine, bad, keys=("source", "feed", "list"), rows=items)
         found.append(_shaped(finish_links(items, {source: p})))
     return found
 
@@ -81,34 +82,61 @@ def _payload_links(payloads: DataFrame, profiles: Mapping[str, Profile]) -> Data
     return _listing_links(pages, profiles)
 
 
-def collect_links(
-    profiles: Mapping[str, Profile], list_pages: DataFrame,
-    feeds: DataFrame | None = None, payloads: DataFrame | None = None,
+def _of(table: DataFrame | None, sources: Sequence[str]) -> DataFrame | None:
+    return None if table is None else table.filter(F.col("source").isin(*sources))
+
+
+def _raw_links(
+    profiles: Mapping[str, Profile], list_pages: DataFrame, feeds: DataFrame | None, payloads: DataFrame | None
 ) -> DataFrame:
-    """Distinct links of all sources in collection order, with their sidecars."""
-    parts = [_listing_links(list_pages, profiles), *_script_links(list_pages, profiles)]
-    capped = [p.source for p in profiles.values() if p.cap]
+    """Links as listed, by the inputs of these sources only, so every page is read once."""
+    names = list(profiles)
+    parts = _script_links(list_pages, profiles)
+    if any(p.link_rules for p in profiles.values()):
+        parts.append(_listing_links(list_pages, profiles))
     if feeds is not None:
-        parts.append(_feed_links(feeds, profiles))
+        parts.append(_feed_links(_of(feeds, names), profiles))
     if payloads is not None:
-        parts.append(_payload_links(payloads, profiles))
+        parts.append(_payload_links(_of(payloads, names), profiles))
     together = parts[0]
     for part in parts[1:]:
         together = together.unionByName(part)
-    if capped and (feeds is not None or payloads is not None):
-        loaded = [
-            t.filter(F.col("source").isin(*capped)).select("source", "feed", "page")
-            for t in (feeds, payloads) if t is not None
-        ]
-        read = loaded[0] if len(loaded) == 1 else loaded[0].unionByName(loaded[1])
-        mine = F.col("source").isin(*capped)
-        together = together.filter(~mine).unionByName(lk.until_nothing_new(together.filter(mine), read))
-    distinct = lk.dedup_links_with_region(together)
-    for p in profiles.values():
-        if p.cap:
-            mine = F.col("source") == p.source
-            distinct = distinct.filter(~mine).unionByName(lk.cap_links(distinct.filter(mine), p.cap))
-    return distinct
+    return together
+
+
+def collect_links(
+    profiles: Mapping[str, Profile], list_pages: DataFrame,
+    feeds: DataFrame | None = None, payloads: DataFrame | None = None,
+) -> DataFrame:
+    """Distinct links of all sources in collection order, with their sidecars.
+
+    Sources with a target are collected apart: their feeds end at the first page that adds nothing,
+    which needs their links twice. Those (links, not pages) go to the shared folder in between.
+    """
+    open_ended = {s: p for s, p in profiles.items() if not p.cap}
+    collected = []
+    if open_ended:
+        collected.append(lk.dedup_links_with_region(_raw_links(open_ended, list_pages, feeds, payloads)))
+    for source, p in profiles.items():
+        if not p.cap:
+            continue
+        listed = _raw_links({source: p}, list_pages, feeds, payloads)
+        read = []
+        if feeds is not None:
+            # A feed that did not load is skipped, and so is a first one without items.
+            passed = load_failed(F.col("xml")) | ((F.col("page") == 0) & fd.without_items(F.col("xml")))
+            read.append(_of(feeds, [source]).filter(~passed))
+        if payloads is not None:
+            read.append(_of(payloads, [source]))
+        if read:
+            runs = [t.select("source", "feed", "page") for t in read]
+            every = runs[0] if len(runs) == 1 else runs[0].unionByName(runs[1])
+            listed = lk.until_nothing_new(cut_lineage(listed), every)
+        collected.append(lk.cap_links(lk.dedup_links_with_region(listed), p.cap))
+    links = collected[0]
+    for part in collected[1:]:
+        links = links.unionByName(part)
+    return links
 
 
 def with_text(facts: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
@@ -132,46 +160,73 @@ def with_text(facts: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
 
     none = F.lit(None).cast("string")
     return computed_once(facts, {
-        "content_text": by_source(profiles, kept, none),
-        "summary": by_source(profiles, short, none),
-        "title": by_source(
-            profiles, lambda p: art.heading_title(F.col("h1"), F.col("title")) if p.heading_title else F.col("title"),
-            F.col("title"),
-        ),
+        "content_text": by_source(profiles, kept, none), "summary": by_source(profiles, short, none),
     })
 
 
+# Date candidates of a page that the ladder needs after the join with the links.
+DATE_FACTS = (
+    "time_attr", "dated_time_attr", "time_text", "class_time_attr", "class_time_text", "dtstart_text",
+    "meta_published", "dcterms_date", "date_box_text", "date_texts", "labelled_date_text", "any_date_text",
+)
+
+
+def read_articles(profiles: Mapping[str, Profile], article_pages: DataFrame, keywords: Sequence[str]) -> DataFrame:
+    """What a run needs of each landed page, one row per source and URL (the newest copy).
+
+    Pages are read where they lie: text, summary, keyword and date candidates come out of the scan,
+    and the text of a page without keyword is dropped before anything is shuffled. Page texts never
+    are, and copies of one page collapse map-side.
+    """
+    landed = article_pages.filter(F.col("source").isin(*profiles)).select(
+        "source", "url", "fetched_at", load_failed(F.col("html")).alias("failed"), "html"
+    )
+    texts = with_text(article_facts(landed, profiles), profiles)
+
+    def in_body(p: Profile) -> Column:
+        return relevance.first_keyword(F.col("content_text"), keywords, p.fold)
+
+    titled = [p.source for p in profiles.values() if p.match_title]
+    found = computed_once(texts, {"body_keyword": by_source(profiles, in_body, F.lit(None).cast("string"))})
+    needed = F.col("body_keyword").isNotNull() | F.col("source").isin(*titled)
+    facts = found.select(
+        "source", "url", "fetched_at", "failed", F.col("content_text").isNotNull().alias("has_text"),
+        F.when(needed, F.col("content_text")).alias("content_text"), F.when(needed, F.col("summary")).alias("summary"),
+        "body_keyword", "h1", *DATE_FACTS,
+    )
+    rest = [c for c in facts.columns if c not in ("source", "url")]
+    newest = facts.groupBy("source", "url").agg(F.max(F.struct(*rest)).alias("_n"))
+    return newest.select("source", "url", *[F.col(f"_n.{c}").alias(c) for c in rest if c != "fetched_at"])
+
+
 def candidates(
     profiles: Mapping[str, Profile], links: DataFrame, article_pages: DataFrame, incidents: DataFrame,
     keywords: Sequence[str], as_of: Column,
 ) -> DataFrame:
-    """All links with texts, dates and keyword; ``reason`` is null for those to classify.
-
-    Order of work: known URLs and early age gate first, so their pages are neither joined nor read.
-    """
+    """All links with texts, dates and keyword; ``reason`` is null for those to classify."""
     early = by_source(
         profiles,
         lambda p: ~is_fresh(midnight(F.col("list_date")), as_of) if p.early_gate else F.lit(False),
         F.lit(False),
     )
     flagged = store.flag_stored(links, incidents).withColumn("early_old", F.coalesce(early, F.lit(False)))
-    wanted = ~F.col("stored") & ~F.col("early_old")
-    newest = latest_pages(article_pages).select(F.col("url").alias("_url"), "html")
-    loaded = flagged.join(newest, wanted & (F.col("url") == F.col("_url")), "left").drop("_url")
-    loaded = loaded.withColumn("failed", load_failed(F.col("html")))
-    facts = with_text(article_facts(loaded, profiles), profiles)
-    dated = with_publication(facts, {s: p.dates for s, p in profiles.items()}, as_of)
+    loaded = flagged.join(read_articles(profiles, article_pages, keywords), ["source", "url"], "left")
+    titled = loaded.withColumn("title", by_source(
+        profiles, lambda p: art.heading_title(F.col("h1"), F.col("title")) if p.heading_title else F.col("title"), F.col("title"),
+    ))
+    dated = with_publication(titled, {s: p.dates for s, p in profiles.items()}, as_of)
 
     def keyword(p: Profile) -> Column:
-        scope = [F.col("content_text"), F.col("title")] if p.match_title else F.col("content_text")
-        return relevance.first_keyword(scope, keywords, p.fold)
+        if not p.match_title:
+            return F.col("body_keyword")
+        return relevance.first_keyword([F.col("content_text"), F.col("title")], keywords, p.fold)
 
     found = computed_once(dated, {"keyword": by_source(profiles, keyword, F.lit(None).cast("string"))})
     read = ~F.col("stored") & ~F.col("early_old")
     reason = monitoring.first_reason(
         stored=F.col("stored"),
-        load_failed=read & F.col("failed"),
-        no_text=read & F.col("content_text").isNull(),
+        load_failed=read & F.coalesce("failed", F.lit(True)),
+        no_text=read & ~F.coalesce("has_text", F.lit(False)),
         bad_date=read & F.col("bad_date"),
         too_old=F.col("early_old") | ~is_fresh(F.col("pub_ts"), as_of),
         no_keyword=F.col("keyword").isNull(),

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressline.functions.once import let
 from pressline.functions.text import is_falsy, trimmed
 
 _ITEMS = "ARRAY<STRUCT<title:STRING,link:STRING,pubDate:STRING>>"
@@ -16,6 +17,17 @@ RSS_SCHEMA = f"channel STRUCT<item:{_ITEMS}>, item {_ITEMS}, _corrupt_record STR
 HTML_KEYS = ("html", "content", "data", "body")
 
 
+def _items(parsed: Column) -> Column:
+    whole = parsed["_corrupt_record"].isNull()
+    return F.when(whole, F.coalesce(parsed["channel"]["item"], parsed["item"]))
+
+
+def without_items(xml: Column) -> Column:
+    """A feed that is not well-formed or lists nothing."""
+    parsed = F.from_xml(xml, RSS_SCHEMA, {"mode": "PERMISSIVE"})
+    return let(parsed, lambda r: F.coalesce(F.size(_items(r)), F.lit(0)) <= 0)
+
+
 def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """One row per feed item that has a link: ``pos``, ``title``, ``link``, ``pub_date``.
 
@@ -23,8 +35,7 @@ def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     """
     rest = [c for c in feeds.columns if c != xml]
     parsed = feeds.select(*rest, F.from_xml(F.col(xml), RSS_SCHEMA, {"mode": "PERMISSIVE"}).alias("_r"))
-    items = F.when(F.col("_r._corrupt_record").isNull(), F.coalesce(F.col("_r.channel.item"), F.col("_r.item")))
-    rows = parsed.select(*rest, F.posexplode(items).alias("pos", "_i"))
+    rows = parsed.select(*rest, F.posexplode(_items(F.col("_r"))).alias("pos", "_i"))
     return rows.select(
         *rest,
         "pos",

@@ -1,4 +1,4 @@
-"""Landed pages: scan, load check, latest copy, plain links."""
+"""Landed pages: scan, load check, plain links."""
 
 from __future__ import annotations
 
@@ -27,12 +27,6 @@ def split_loaded(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages.filter(~failed), pages.filter(failed).drop("html").withColumn("reason", F.lit("load_failed"))
 
 
-def latest_pages(pages: DataFrame) -> DataFrame:
-    """The newest copy of each URL. Aggregated map-side: many copies of one page never meet in a task."""
-    newest = F.struct("fetched_at", "html")
-    return pages.groupBy("url").agg(F.max(newest).alias("_n")).select("url", "_n.html", "_n.fetched_at")
-
-
 def extract_plain_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """Every anchor with a quoted link, in page order, without leaving the JVM.
 

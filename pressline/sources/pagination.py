@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressline.session import cut_lineage
+from pressline.sources.html_jobs import next_links
 
 
 def page_chain(edges: DataFrame, starts: DataFrame, limit: int = 40) -> DataFrame:
@@ -30,3 +31,14 @@ def page_chain(edges: DataFrame, starts: DataFrame, limit: int = 40) -> DataFram
             onward = step.select(F.col("url").alias("ahead"), F.col("ahead").alias("further"))
             step = cut_lineage(step.join(onward, "ahead").select("url", F.col("further").alias("ahead")))
     return reached
+
+
+def number_pages(list_pages: DataFrame, starts: DataFrame, limit: int = 40, edge: str = "next_url") -> DataFrame:
+    """Landed listing pages with ``page`` set to their place behind the start page; others are left out.
+
+    ``edge`` is ``next_url`` or ``load_url`` (the "load more" address). A page that did not load has
+    no successor, so its chain ends there.
+    """
+    edges = next_links(list_pages.select("url", "html")).select("url", F.col(edge).alias("next_url"))
+    places = page_chain(edges, starts, limit).groupBy("url").agg(F.min("pos").alias("page"))
+    return list_pages.drop("page").join(places, "url")

@@ -16,8 +16,10 @@ from pressline.sources.profiles import Box, ListSpec, Profile, default_profiles
 @pytest.fixture(scope="module")
 def tables(spark):
     fetched = dt.datetime(2025, 7, 2, 11)
-    pages = [("x", url, html, fetched) for url, html in fx.ARTICLES]
-    pages.append(("x", fx.ARTICLES[0][0], "<p>older copy</p>", dt.datetime(2025, 7, 1)))
+    bases = {p.base: p.source for p in default_profiles().values()}
+    pages = [(next(s for base, s in bases.items() if url.startswith(base)), url, html, fetched) for url, html in fx.ARTICLES]
+    pages.append(("presseportal", fx.ARTICLES[0][0], "<p>older copy</p>", dt.datetime(2025, 7, 1)))
+    pages.append(("elsewhere", fx.ARTICLES[0][0], "<p>unknown source</p>", dt.datetime(2025, 7, 9)))
     return {
         "list_pages": spark.createDataFrame(fx.LIST_PAGES, s.LIST_PAGES),
         "feeds": spark.createDataFrame(fx.FEEDS, s.FEEDS),
@@ -78,10 +80,15 @@ def test_second_run_stores_nothing(spark, tables, links):
     assert {r["reason"] for r in again.filter(F.col("url").isin(*fx.ACCEPTED)).collect()} == {"stored"}
 
 
-def test_pages_of_known_urls_are_not_read(tables, links):
-    """The page join carries the condition, so known and early-gated links bring no page text along."""
-    found = run.candidates(default_profiles(), links, tables["pages"], tables["stored"], fx.KEYWORDS, run_instant(fx.AS_OF))
-    assert found.filter("reason in ('stored') and content_text is not null").count() == 0
+def test_page_texts_are_not_shuffled(tables, links):
+    """Only what was read from a page crosses the network, and no text of pages without keyword."""
+    facts = run.read_articles(default_profiles(), tables["pages"], fx.KEYWORDS)
+    assert "html" not in facts.columns and "paragraphs" not in facts.columns
+    kept = {r["url"]: r["content_text"] for r in facts.collect()}
+    assert kept["https://www.presseportal.de/blaulicht/pm/3"] is None
+    assert kept["https://www.presseportal.de/blaulicht/pm/1"].startswith("Hamburg (ots)\n")
+    exchanges = [line for line in facts._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert exchanges and not any("html" in line for line in exchanges)
 
 
 def test_same_url_from_two_sources(spark, tables):
@@ -198,3 +205,16 @@ def test_next_links(spark):
         ("https://h/3", '<a rel="next" href="/3">x</a>'), ("https://h/4", None)], "url STRING, html STRING")
     got = {r["url"]: r["next_url"] for r in next_links(df).collect()}
     assert got == {"https://h/1": "https://h/2", "https://h/2": "https://h/3", "https://h/3": None, "https://h/4": None}
+
+
+def test_target_source_skips_failed_feeds(spark):
+    """A feed that did not load or a first one without items is passed over; a page that adds nothing ends it."""
+    def rss(*urls):
+        return "<rss><channel>" + "".join(f"<item><link>/{u}</link></item>" for u in urls) + "</channel></rss>"
+
+    feeds = spark.createDataFrame(
+        [("nrw", 0, 0, 0, rss()), ("nrw", 0, 0, 1, None), ("nrw", 0, 0, 2, rss("a")), ("nrw", 0, 0, 3, rss("a")), ("nrw", 0, 0, 4, rss("b"))], s.FEEDS)
+    payloads = spark.createDataFrame([("nrw", 1, 0, 1, None), ("nrw", 1, 0, 2, '[{"command":"insert","data":"<h2 class=field-title><a href=c>c</a></h2>"}]')], s.PAYLOADS)
+    nrw = {"nrw": default_profiles()["nrw"]}
+    links = run.collect_links(nrw, spark.createDataFrame([], s.LIST_PAGES), feeds, payloads)
+    assert [r["url"] for r in links.collect()] == ["https://polizei.nrw/a"]

@@ -8,7 +8,7 @@ from pressline.operators.monitoring import links_per_page
 from pressline.operators.skew import running_index, salted_lookup
 from pressline.sources import feeds as fd
 from pressline.sources.frontier import frontier
-from pressline.sources.pagination import page_chain
+from pressline.sources.pagination import number_pages, page_chain
 from pressline.sources.profiles import default_profiles, profile_table
 
 SCHEMA = "source STRING, list INT, page INT, pos INT, title STRING, url STRING, list_region STRING"
@@ -193,3 +193,19 @@ def test_unwrap_html(value, payload, want):
 def test_keyword_rows(spark):
     df = spark.createDataFrame([(1, '["casino","lotto"]'), (2, None), (3, "null"), (4, "oops")], "id INT, keywords STRING")
     assert rows(fd.keyword_rows(df), "id", "pos", "keyword") == [(1, 0, "casino"), (1, 1, "lotto")]
+
+
+def test_number_pages(spark):
+    def page(n, nxt):
+        return ("b", f"https://h/{n}", f'<a rel="next" href="/{nxt}">x</a>')
+
+    pages = spark.createDataFrame([page(1, 2), page(2, 7), page(7, 8), ("b", "https://h/8", None), page(9, 1)], "source STRING, url STRING, html STRING")
+    starts = spark.createDataFrame([("https://h/1",)], "start STRING")
+    assert rows(number_pages(pages, starts, 40), "page", "url") == [(0, "https://h/1"), (1, "https://h/2"), (2, "https://h/7"), (3, "https://h/8")]
+    assert rows(number_pages(pages, starts, 2), "page", "url") == [(0, "https://h/1"), (1, "https://h/2")]
+
+
+def test_passed_feeds(value):
+    assert value(fd.without_items(F.lit("<rss><channel></channel></rss>"))) is True
+    assert value(fd.without_items(F.lit("<rss>"))) is True
+    assert value(fd.without_items(F.lit("<rss><channel><item><link>x</link></item></channel></rss>"))) is False
