@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
 
 def load_all() -> None:
     from pressline.catalog import (  # noqa: F401
-        answers, article_text, dates, link_lists, map_rows, place_lookup, runs, streams,
+        answers, article_text, dates, ingestion_run, link_lists, map_rows, place_lookup, runs, streams,
     )

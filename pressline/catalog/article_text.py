@@ -179,11 +179,12 @@ def first_keyword_k1(spark, sf_dir):
 
 
 @query("body_or_title_keyword_k2", f"""
-WITH t AS (SELECT doc_id, substr(text, 1, 40) AS title, substr(text, 200) AS body FROM documents)
+WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 1) AS body FROM documents)
 SELECT doc_id, {d.sql_first_keyword(['body', 'title'], ('ÜBER', 'äsch', 'QUE', 'éé', 'of'))} AS keyword FROM t""")
 def body_or_title_keyword_k2(spark, sf_dir):
+    title = F.substring_index("text", "\n", 1)
     docs = d.table(spark, sf_dir, "documents").select(
-        "doc_id", F.substring("text", 1, 40).alias("title"), F.substring("text", 200, 1_000_000_000).alias("body")
+        "doc_id", title.alias("title"), F.substring(F.col("text"), F.length(title) + 1, F.length("text")).alias("body")
     )
     scope = [F.col("body"), F.col("title")]
     return docs.select("doc_id", first_keyword(scope, ("ÜBER", "äsch", "QUE", "éé", "of"), "unicode").alias("keyword"))

@@ -93,9 +93,9 @@ def _laddered(spark, sf_dir):
     )
     note = F.col("note")
     rungs = {
-        "attr": dating._rung(dt.iso_date_text(note), dt.loose_ts(note)),
-        "visible": dating._rung(dt.any_german_date_text(note)),
-        "none": dating._rung(F.lit(None).cast("string")),
+        "attr": lambda: dating._rung(dt.iso_date_text(note), dt.loose_ts(note)),
+        "visible": lambda: dating._rung(dt.any_german_date_text(note)),
+        "none": lambda: dating._rung(F.lit(None).cast("string")),
     }
     ladders = {"a": ("none", "attr"), "b": ("visible",), "c": ("none",)}
     return dating.with_publication(rows, ladders, _run(), rungs)

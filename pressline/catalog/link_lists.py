@@ -200,7 +200,7 @@ def next_links_s8(spark, sf_dir):
 WITH RECURSIVE edges AS (
   SELECT page_id AS url, CASE WHEN page_id % 60 = 59 THEN page_id WHEN page_id % 60 = 29 THEN page_id - 5 ELSE page_id + 1 END AS nxt FROM pages),
 chain(start, pos, url) AS (
-  SELECT page_id, 0, page_id FROM pages WHERE page_id % 30 = 0
+  SELECT page_id, 0, page_id FROM pages
   UNION ALL
   SELECT c.start, c.pos + 1, e.nxt FROM chain c JOIN edges e ON c.url = e.url AND e.nxt <> e.url AND c.pos + 1 < 40
   WHERE e.nxt <= (SELECT max(page_id) FROM pages) + 1)
@@ -211,7 +211,7 @@ def page_chain_s9(spark, sf_dir):
     pages = d.table(spark, sf_dir, "pages")
     name = lambda c: F.concat(F.lit("p"), _str(c))
     edges = pages.select(name(k).alias("url"), name(ahead).alias("next_url"))
-    starts = pages.filter(k % 30 == 0).select(name(k).alias("start"))
+    starts = pages.select(name(k).alias("start"))
     return page_chain(edges, starts, 40).select("start", F.col("pos").cast("bigint").alias("pos"), "url")
 
 

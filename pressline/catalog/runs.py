@@ -27,14 +27,14 @@ def unknown_store_j2(spark, sf_dir):
 
 
 _ACCEPTED = """
-accepted AS (SELECT source, doc_id, 'https://example.org/' || (doc_id % 300) AS url FROM documents WHERE doc_id % 3 <> 0)"""
+accepted AS (SELECT source, doc_id, 'https://example.org/' || (doc_id % 300) AS url FROM documents WHERE lang <> 'fr')"""
 _WINNERS = _ACCEPTED + """,
 winners AS (SELECT url, source, doc_id FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY (source <> 'src7'), source || '.php', doc_id) AS n FROM accepted) WHERE n = 1)"""
 
 
 def _accepted(spark, sf_dir):
-    docs = d.table(spark, sf_dir, "documents").filter(F.col("doc_id") % 3 != 0)
+    docs = d.table(spark, sf_dir, "documents").filter(F.col("lang") != "fr")
     return docs.select(
         "source", "doc_id", F.concat(F.lit("https://example.org/"), (F.col("doc_id") % 300).cast("string")).alias("url")
     )

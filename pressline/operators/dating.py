@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,60 +21,76 @@ def _rung(day: Column, ts: Column | None = None) -> Column:
     return F.when(day.isNotNull(), F.struct(day.alias("day"), stamp.alias("ts")))
 
 
-def date_rungs() -> dict[str, Column]:
-    """Every way to find a date, by name: the day as text, and the instant if that way has one.
+def _dcterms() -> Column:
+    content = F.col("dcterms_date")
+    clock = F.regexp_extract(content, r"^\d{4}-\d{2}-\d{2}[T\s](\d{2}:\d{2}(?::\d{2})?)", 1)
+    stamp = loose_ts(F.concat(iso_date_text(content), F.lit(" "), clock))
+    return _rung(iso_date_text(content), F.when(clock != "", stamp))
 
-    The columns are those of the article extraction job and of the links.
-    """
-    attr, dated, meta = F.col("time_attr"), F.col("dated_time_attr"), F.col("meta_published")
-    dc, listed = F.col("dcterms_date"), F.regexp_replace(F.col("list_date_text"), r"\s+", " ")
-    dc_clock = F.regexp_extract(dc, r"^\d{4}-\d{2}-\d{2}[T\s](\d{2}:\d{2}(?::\d{2})?)", 1)
-    full_attr = r"^\d{4}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}(?::\d{2})?)?(?:Z|[+\-]\d{2}:\d{2})?$"
-    visible = F.filter(F.transform(F.col("date_texts"), any_german_date_text), lambda d: d.isNotNull())
-    return {
-        "dated_time": _rung(iso_date_text(dated), loose_ts(dated)),
-        "time_strict": _rung(iso_date_text(attr), iso_ts(attr)),
-        "time_loose": _rung(iso_date_text(attr), loose_ts(attr)),
-        "time_full": _rung(iso_date_text(F.when(attr.rlike(full_attr), attr)), loose_ts(attr)),
-        "time_day": _rung(iso_date_text(attr)),
-        "list_clock": _rung(german_date_text(listed, "with_time"), german_clock_ts(listed)),
-        "list_day": _rung(F.col("list_date").cast("string")),
-        "dcterms": _rung(
-            iso_date_text(dc),
-            F.when(dc_clock != "", loose_ts(F.concat(iso_date_text(dc), F.lit(" "), dc_clock))),
-        ),
-        "after_label": _rung(F.col("labelled_date_text")),
-        "class_time_attr": _rung(iso_date_text(F.when(F.length(F.col("class_time_attr")) == 10, F.col("class_time_attr")))),
-        "class_time_text": _rung(german_date_text(F.col("class_time_text"), "exact")),
-        "dtstart": _rung(german_date_text(F.col("dtstart_text"), "exact")),
-        "meta": _rung(iso_date_text(meta), loose_ts(meta)),
-        "time_text": _rung(any_german_date_text(F.col("time_text"))),
-        "date_class": _rung(F.get(visible, F.lit(0))),
-        "date_box": _rung(german_date_text(F.col("date_box_text"), "anywhere")),
-        "anywhere": _rung(F.col("any_date_text")),
-    }
+
+def _full_attribute() -> Column:
+    pattern = r"^\d{4}-\d{2}-\d{2}(?:[T\s]\d{2}:\d{2}(?::\d{2})?)?(?:Z|[+\-]\d{2}:\d{2})?$"
+    attr = F.col("time_attr")
+    return _rung(iso_date_text(F.when(attr.rlike(pattern), attr)), loose_ts(attr))
+
+
+def _listed() -> Column:
+    text = F.regexp_replace("list_date_text", r"\s+", " ")
+    return _rung(german_date_text(text, "with_time"), german_clock_ts(text))
+
+
+def _exact_day(name: str) -> Column:
+    return iso_date_text(F.when(F.length(name) == 10, F.col(name)))
+
+
+def _labelled() -> Column:
+    days = F.transform("date_texts", any_german_date_text)
+    return F.get(F.filter(days, lambda day: day.isNotNull()), F.lit(0))
+
+
+# Every way to find a date, by name: the day as text, and the instant if that way has one. The columns
+# are those of the article extraction job and of the links.
+DATE_RUNGS: dict[str, Callable[[], Column]] = {
+    "dated_time": lambda: _rung(iso_date_text(F.col("dated_time_attr")), loose_ts(F.col("dated_time_attr"))),
+    "time_strict": lambda: _rung(iso_date_text(F.col("time_attr")), iso_ts(F.col("time_attr"))),
+    "time_loose": lambda: _rung(iso_date_text(F.col("time_attr")), loose_ts(F.col("time_attr"))),
+    "time_full": _full_attribute,
+    "time_day": lambda: _rung(iso_date_text(F.col("time_attr"))),
+    "list_clock": _listed,
+    "list_day": lambda: _rung(F.col("list_date").cast("string")),
+    "dcterms": _dcterms,
+    "after_label": lambda: _rung(F.col("labelled_date_text")),
+    "class_time_attr": lambda: _rung(_exact_day("class_time_attr")),
+    "class_time_text": lambda: _rung(german_date_text(F.col("class_time_text"), "exact")),
+    "dtstart": lambda: _rung(german_date_text(F.col("dtstart_text"), "exact")),
+    "meta": lambda: _rung(iso_date_text(F.col("meta_published")), loose_ts(F.col("meta_published"))),
+    "time_text": lambda: _rung(any_german_date_text(F.col("time_text"))),
+    "date_class": lambda: _rung(_labelled()),
+    "date_box": lambda: _rung(german_date_text(F.col("date_box_text"), "anywhere")),
+    "anywhere": lambda: _rung(F.col("any_date_text")),
+}
 
 
 def with_publication(
-    articles: DataFrame, ladders: Mapping[str, Sequence[str]], as_of: Column, rungs: Mapping[str, Column] | None = None
+    articles: DataFrame, ladders: Mapping[str, Sequence[str]], as_of: Column,
+    rungs: Mapping[str, Callable[[], Column]] | None = None,
 ) -> DataFrame:
     """Adds ``pub_date``, ``pub_ts`` and ``bad_date`` by the ladder of each row's source.
 
     The first rung whose notation occurs decides; without any the run date is taken. A day the
     calendar does not have leaves both null and sets ``bad_date``.
     """
-    rungs = rungs or date_rungs()
+    rungs = DATE_RUNGS if rungs is None else rungs
     choice = F.lit(None).cast(RUNG)
     for source, ladder in ladders.items():
-        choice = F.when(F.col("source") == source, F.coalesce(*[rungs[r] for r in ladder])).otherwise(choice)
+        choice = F.when(F.col("source") == source, F.coalesce(*[rungs[r]() for r in ladder])).otherwise(choice)
     found = computed_once(articles, {"_rung": choice})
     day = F.coalesce(checked_date(F.col("_rung.day")), F.when(F.col("_rung.day").isNull(), utc_day(as_of)))
-    return (
-        found.withColumn("pub_date", day)
-        .withColumn("pub_ts", effective_ts(F.when(F.col("pub_date").isNotNull(), F.col("_rung.ts")), F.col("pub_date")))
-        .withColumn("bad_date", F.col("pub_date").isNull())
-        .drop("_rung")
-    )
+    dated = found.withColumn("pub_date", day)
+    stamp = F.when(F.col("pub_date").isNotNull(), F.col("_rung.ts"))
+    return dated.withColumns({
+        "pub_ts": effective_ts(stamp, F.col("pub_date")), "bad_date": F.col("pub_date").isNull(),
+    }).drop("_rung")
 
 
 def publication_date(*candidates: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressline.functions.urls import url_path
-from pressline.operators.skew import first_per_key
+from pressline.operators.skew import first_per_key, salted_lookup
 
 # Position of a link in a run: feed, list within the feed, page of the list, place on the page.
 LINK_ORDER = ("feed", "list", "page", "pos")
@@ -70,15 +70,16 @@ def until_first_bad(
     """Pages of each list run (``keys``) before its first bad page.
 
     ``keep_first_page`` names a page number that never ends the run (a failed first page is skipped
-    there, not final). ``rows`` may hold what was already read from the good pages, so that the page
+    there, not final); a source may hold most pages, so its rows are salted for the join. ``rows`` may hold what was already read from the good pages, so that the page
     texts themselves are not shuffled. The first bad page per run comes from map-side minima, one row
     per run; no page list is gathered in a single task.
     """
     stops = bad if keep_first_page is None else bad & (F.col("page") != keep_first_page)
     first_bad = pages.filter(stops).groupBy(*keys).agg(F.min("page").alias("_first_bad"))
     kept = pages.filter(~F.coalesce(bad, F.lit(False))) if rows is None else rows
+    spread = order_columns(kept) or ["page"]
     return (
-        kept.join(first_bad, list(keys), "left")
+        salted_lookup(kept, first_bad, keys, spread)
         .filter(F.col("_first_bad").isNull() | (F.col("page") < F.col("_first_bad")))
         .drop("_first_bad")
     )
@@ -98,7 +99,7 @@ def until_nothing_new(links: DataFrame, pages: DataFrame, keys: Sequence[str] =
     idle = pages.select(*page).distinct().join(adding, page, "left_anti")
     first_idle = idle.groupBy(*keys).agg(F.min("page").alias("_idle"))
     return (
-        links.join(first_idle, list(keys), "left")
+        salted_lookup(links, first_idle, keys, order)
         .filter(F.col("_idle").isNull() | (F.col("page") < F.col("_idle")))
         .drop("_idle")
     )

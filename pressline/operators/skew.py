@@ -12,18 +12,19 @@ FINE_HEX_DIGITS = 3
 
 
 def salted_lookup(
-    left: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str], salts: int = SALTS
+    left: DataFrame, lookup: DataFrame, keys: str | Sequence[str], spread_by: Sequence[str], salts: int = SALTS
 ) -> DataFrame:
-    """Left join of many rows with a lookup that has one row per ``key``.
+    """Left join of many rows with a lookup that has one row per key.
 
     A frequent key is spread over ``salts`` tasks: every lookup row is repeated once per salt, every
     left row takes the salt of its ``spread_by`` columns, which is the same on each run. Rows without
     a key match nothing. Where the repeated lookup is below the broadcast threshold Spark
     broadcasts it instead; no hint forces that.
     """
+    on = [keys] if isinstance(keys, str) else list(keys)
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("_salt", salt).join(repeated, [key, "_salt"], "left").drop("_salt")
+    return left.withColumn("_salt", salt).join(repeated, [*on, "_salt"], "left").drop("_salt")
 
 
 def running_index(
