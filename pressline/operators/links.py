@@ -16,6 +16,7 @@ LINK_ORDER = ("feed", "list", "page", "pos")
 
 # Up to this cap Spark trims each task to the first rows per source before the shuffle.
 TRIMMED_CAP = 1000
+PAGE_BLOCKS = (1 << 20, 1 << 10, 1)
 
 
 def order_columns(df: DataFrame) -> list[str]:
@@ -115,16 +116,24 @@ def cap_links(links: DataFrame, n: int = 100) -> DataFrame:
 
 
 def _pages_below_cap(links: DataFrame, n: int) -> DataFrame:
-    """Drop pages that start at or after the cap, from link counts per page; leaves few more than ``n``."""
-    page = [c for c in order_columns(links) if c != "pos"]
-    before = Window.partitionBy("source").orderBy(*page).rowsBetween(Window.unboundedPreceding, -1)
-    counts = links.groupBy("source", *page).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .filter(F.col("_before") < n)
-        .select("source", *page)
-    )
-    return links.join(wanted, ["source", *page], "left_semi")
+    """Drop pages that start at or after the cap, from link counts; leaves few more than ``n`` links.
+
+    Counts are taken over blocks of pages, then over ever smaller blocks of what is left, so the
+    running sum of a source never sees more than a few thousand blocks or ``n`` of them.
+    """
+    lists = [c for c in order_columns(links) if c not in ("page", "pos")]
+    for width in PAGE_BLOCKS:
+        block = [*lists, "_block"]
+        cut = links.withColumn("_block", F.floor(F.col("page") / width))
+        before = Window.partitionBy("source").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+        counts = cut.groupBy("source", *block).agg(F.count(F.lit(1)).alias("_n"))
+        wanted = (
+            counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+            .filter(F.col("_before") < n)
+            .select("source", *block)
+        )
+        links = cut.join(wanted, ["source", *block], "left_semi").drop("_block")
+    return links
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

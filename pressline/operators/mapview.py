@@ -41,7 +41,7 @@ def as_json_rows(df: DataFrame) -> DataFrame:
 
 def by_states(df: DataFrame, selected: Sequence[str], state: str = "federal") -> DataFrame:
     """Rows of the selected states; rows without a state always pass."""
-    without = F.coalesce(F.col(state), F.lit("")) == ""
+    without = F.col(state).isNull() | (F.col(state) == "")
     return df.filter(without | F.col(state).isin(*selected)) if selected else df.filter(without)
 
 

@@ -3,21 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pressline.functions.once import let
 from pressline.functions.text import rx
 
+PATTERN_CHARS = frozenset("\\.^$|?*+()[]{}")
+
 CONTEXT_CHARS = 60
 CONTEXT_BEFORE = 20
 
 
+def _may_occur(text: Column, keywords: Sequence[str]) -> Column:
+    """Cheap necessary condition for plain keywords: one of them is in the lower-cased text.
+
+    Where letters fold in ASCII only, a match is always also a match of the lower-cased forms.
+    """
+    def any_in(lowered: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(lowered, F.lower(F.lit(k))) for k in keywords])
+
+    return let(F.lower(text), any_in)
+
+
 def first_keyword(texts: Column | Sequence[Column], keywords: Sequence[str], fold: str = "ascii") -> Column:
     """First keyword of the ordered list that occurs in one of the texts, null where none does.
 
     Keywords are pattern fragments. Several texts (body and title) count for one keyword before the
-    next keyword is tried.
+    next keyword is tried. Most texts hold no keyword: plain keywords are looked up as bytes first, and
+    only texts that pass are searched with the patterns.
     """
     columns = [texts] if isinstance(texts, Column) else list(texts)
     if not keywords:
@@ -29,7 +45,9 @@ def first_keyword(texts: Column | Sequence[Column], keywords: Sequence[str], fol
             found = found | F.coalesce(other.rlike(rx(keyword, fold)), F.lit(False))
         return found
 
-    return F.coalesce(*[F.when(hit(k), F.lit(k)) for k in keywords])
+    first = F.coalesce(*[F.when(hit(k), F.lit(k)) for k in keywords])
+    plain = fold == "ascii" and len(columns) == 1 and not any(c in PATTERN_CHARS for k in keywords for c in k)
+    return F.when(_may_occur(columns[0], keywords), first) if plain else first
 
 
 def keyword_context(text: Column, keyword: Column) -> Column:

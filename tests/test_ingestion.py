@@ -218,3 +218,22 @@ def test_target_source_skips_failed_feeds(spark):
     nrw = {"nrw": default_profiles()["nrw"]}
     links = run.collect_links(nrw, spark.createDataFrame([], s.LIST_PAGES), feeds, payloads)
     assert [r["url"] for r in links.collect()] == ["https://polizei.nrw/a"]
+
+
+def test_stream_equals_batch(spark, tables, links, tmp_path):
+    from pressline.streaming.ingest import stream_candidates
+    from pressline.streaming.intake import stream_pages
+
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    pages = tables["pages"].filter("html not like '%older copy%'")
+    pages.repartition(2, "url").write.parquet(landing)
+    stored = links.filter("false").union(links)
+    stream_candidates(
+        stream_pages(spark, landing, files_per_batch=1), default_profiles(), lambda: stored, lambda: tables["stored"],
+        fx.KEYWORDS, run_instant(fx.AS_OF), out, str(tmp_path / "checkpoint"),
+    ).awaitTermination()
+    columns = ("url", "title", "content_text", "summary", "pub_date", "keyword", "reason")
+    got = spark.read.parquet(out)
+    want = run.candidates(default_profiles(), links, pages, tables["stored"], fx.KEYWORDS, run_instant(fx.AS_OF))
+    assert got.select("batch_id").distinct().count() == 2
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))

@@ -169,6 +169,11 @@ def test_store(spark, tmp_path, incidents):
     assert flagged == {"u1": True, "new": False}
     plan_text = mv.in_range(stored, D(2025, 1, 1), D(2025, 4, 1))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(year" in plan_text
+    shown = plan.shown_incidents(stored, ["Berlin"], D(2025, 1, 1), D(2025, 4, 1))
+    explained = spark._jvm.PythonSQLUtils.explainString(shown._jdf.queryExecution(), "formatted")
+    scan = next(line for line in explained.splitlines() if line.startswith("PushedFilters"))
+    for pushed in ("EqualTo(approved,true)", "GreaterThanOrEqual(date,2025-01-01)", "LessThanOrEqual(date,2025-04-01)", "In(federal", "IsNotNull(lat)"):
+        assert pushed.replace("In(federal", "EqualTo(federal,Berlin)") in scan, scan
 
 
 def test_first_accepted(spark):
