@@ -118,22 +118,19 @@ def cap_links(links: DataFrame, n: int = 100) -> DataFrame:
 def _pages_below_cap(links: DataFrame, n: int) -> DataFrame:
     """Drop pages that start at or after the cap, from link counts; leaves few more than ``n`` links.
 
-    Counts are taken over blocks of pages, then over ever smaller blocks of what is left, so the
+    The count table is cut by blocks of pages, then by ever smaller blocks of what is left, so the
     running sum of a source never sees more than a few thousand blocks or ``n`` of them.
     """
     lists = [c for c in order_columns(links) if c not in ("page", "pos")]
+    pages = links.groupBy("source", *lists, "page").agg(F.count(F.lit(1)).alias("_n"))
+    block = [*lists, "_block"]
+    before = Window.partitionBy("source").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     for width in PAGE_BLOCKS:
-        block = [*lists, "_block"]
-        cut = links.withColumn("_block", F.floor(F.col("page") / width))
-        before = Window.partitionBy("source").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-        counts = cut.groupBy("source", *block).agg(F.count(F.lit(1)).alias("_n"))
-        wanted = (
-            counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            .filter(F.col("_before") < n)
-            .select("source", *block)
-        )
-        links = cut.join(wanted, ["source", *block], "left_semi").drop("_block")
-    return links
+        cut = pages.withColumn("_block", F.floor(F.col("page") / width))
+        sums = cut.groupBy("source", *block).agg(F.sum("_n").alias("_sum")) if width > 1 else cut.withColumnRenamed("_n", "_sum")
+        wanted = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).filter(F.col("_before") < n)
+        pages = cut.join(wanted.select("source", *block), ["source", *block], "left_semi").drop("_block")
+    return links.join(pages.drop("_n"), ["source", *lists, "page"], "left_semi")
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

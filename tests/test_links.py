@@ -98,14 +98,15 @@ def test_links_per_page(links):
     assert got == [("a", 0, 0, 2, 2), ("a", 0, 1, 1, 0), ("a", 0, 2, 1, 0), ("a", 1, 0, 1, 1), ("b", 0, 0, 1, 1)]
 
 
-def test_running_index_matches_brute_force(spark):
+@pytest.mark.parametrize("hot_rows", [50, 10_000])
+def test_running_index_matches_brute_force(spark, hot_rows):
     """One key holds most rows, on one date: the index is still dense and follows the order."""
     import hashlib
 
     rng = random.Random(2)
     data = [("hot" if rng.random() < 0.8 else f"k{rng.randrange(30)}", rng.choice([1, 1, 1, 2, 3]), f"url-{i}") for i in range(3000)]
     df = spark.createDataFrame(data, "k STRING, day INT, url STRING").repartition(7)
-    got = {r["url"]: r["i"] for r in running_index(df, ["k"], [F.col("day")], F.col("url"), "i").collect()}
+    got = {r["url"]: r["i"] for r in running_index(df, ["k"], [F.col("day")], F.col("url"), "i", hot_rows).collect()}
     want, counts = {}, {}
     for key, _, url in sorted(data, key=lambda t: (t[0], t[1], hashlib.md5(t[2].encode()).hexdigest(), t[2])):
         want[url] = counts.get(key, 0)
