@@ -79,7 +79,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARAGRAPHS = CLEAN_PAGES + f""",
 blocks AS (
   SELECT page_id, url, CASE WHEN inner_html <> '' THEN inner_html ELSE page END AS block
-  FROM (SELECT page_id, url, page, regexp_extract(page, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1) AS inner_html
+  FROM (SELECT page_id, url, page, regexp_extract(page, '(?is)<article\\b[^>]*>(.*?)(?:</article\\s*>|\\z)', 1) AS inner_html
         FROM clean_pages)),
 paragraphs AS (
   SELECT page_id, url,

@@ -41,7 +41,7 @@ def plain_text(markup: Column) -> Column:
 def article_block(html: Column) -> Column:
     """Inner HTML of the first ``article`` element, the whole page where there is none."""
     def block(page: Column) -> Column:
-        inner = F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
+        inner = F.regexp_extract(page, r"(?is)<article\b[^>]*>(.*?)(?:</article\s*>|\z)", 1)
         return F.coalesce(non_empty(inner), page)
 
     return let(F.regexp_replace(html, SCRIPTS_AND_COMMENTS, ""), block)

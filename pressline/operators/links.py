@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pressline.functions.urls import url_path
 from pressline.operators.skew import first_per_key, salted_lookup
+from pressline.session import cut_lineage
 
 # Position of a link in a run: feed, list within the feed, page of the list, place on the page.
 LINK_ORDER = ("feed", "list", "page", "pos")
@@ -119,10 +120,11 @@ def _pages_below_cap(links: DataFrame, n: int) -> DataFrame:
     """Drop pages that start at or after the cap, from link counts; leaves few more than ``n`` links.
 
     The count table is cut by blocks of pages, then by ever smaller blocks of what is left, so the
-    running sum of a source never sees more than a few thousand blocks or ``n`` of them.
+    running sum of a source never sees more than a few thousand blocks or ``n`` of them. It goes to the
+    shared folder first, since every round reads it twice.
     """
     lists = [c for c in order_columns(links) if c not in ("page", "pos")]
-    pages = links.groupBy("source", *lists, "page").agg(F.count(F.lit(1)).alias("_n"))
+    pages = cut_lineage(links.groupBy("source", *lists, "page").agg(F.count(F.lit(1)).alias("_n")))
     block = [*lists, "_block"]
     before = Window.partitionBy("source").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     for width in PAGE_BLOCKS:

@@ -43,7 +43,7 @@ def test_known_hash(value):
 
 
 @pytest.mark.parametrize("raw, want", [
-    ("POL-MÜK: Razzia", "Razzia"), ("POL-ABCDEF: x", "POL-ABCDEF: x"), ("pol-HH: x", "pol-HH: x"), (" POL-E:x ", "x"),
+    ("POL-MÜK: Kontrolle", "Kontrolle"), ("POL-ABCDEF: x", "POL-ABCDEF: x"), ("pol-HH: x", "pol-HH: x"), (" POL-E:x ", "x"),
 ])
 def test_clean_title(value, raw, want):
     assert value(text.clean_title(F.lit(raw))) == want

@@ -7,6 +7,7 @@ from pressline.operators import links as lk
 from pressline.operators.monitoring import links_per_page
 from pressline.operators.skew import running_index, salted_lookup
 from pressline.sources import feeds as fd
+from pressline.sources.pages import extract_plain_links
 from pressline.sources.frontier import frontier
 from pressline.sources.pagination import number_pages, page_chain
 from pressline.sources.profiles import default_profiles, profile_table
@@ -210,3 +211,21 @@ def test_passed_feeds(value):
     assert value(fd.without_items(F.lit("<rss><channel></channel></rss>"))) is True
     assert value(fd.without_items(F.lit("<rss>"))) is True
     assert value(fd.without_items(F.lit("<rss><channel><item><link>x</link></item></channel></rss>"))) is False
+
+
+def test_plain_links(spark):
+    html = (
+        '<a href="/1">one <b>bold</b></a><script>"<a href=\'x\'>"</script><A class="x" HREF = "/2">two &amp; open<a href="/3">three</a>'
+        '<a name="no">no link</a><abbr href="/no">x</abbr><!-- <a href="/c">c</a> --><a href="">empty</a>')
+    df = spark.createDataFrame([(1, html), (2, None), (3, "none")], "id INT, html STRING")
+    assert rows(extract_plain_links(df), "id", "pos", "href", "text") == [
+        (1, 0, "/1", "one bold"), (1, 1, "/2", "two & open"), (1, 2, "/3", "three"), (1, 3, "", "empty")]
+
+
+def test_plain_links_read_long_pages_once(spark):
+    import time
+
+    df = spark.createDataFrame([('<a href="/x">' * 50000 + "<article>" * 50000,)], "html STRING")
+    start = time.time()
+    assert extract_plain_links(df).count() == 50000
+    assert time.time() - start < 30
