@@ -22,8 +22,7 @@ def not_yet_stored_j1(spark, sf_dir):
 def unknown_store_j2(spark, sf_dir):
     """No table yet: every document counts as new."""
     docs = d.table(spark, sf_dir, "documents").select(F.col("doc_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("url"))
-    nothing = store.read_incidents(spark, work_folder(spark, "no-incidents"))
-    return store.not_yet_stored(docs, nothing).select("doc_id")
+    return store.new_links(docs, work_folder(spark, "no-incidents")).select("doc_id")
 
 
 _ACCEPTED = """
@@ -158,12 +157,15 @@ def funnel_o1(spark, sf_dir):
 
 @query("failed_runs_o2", """
 SELECT s_suppkey AS run, s_name AS source, (s_suppkey % 4)::BIGINT AS exit_code,
-       'Scraper-Fehler: ' || s_name || ' (Exit ' || (s_suppkey % 4) || ')' AS subject FROM supplier WHERE s_suppkey % 4 <> 0""")
+       'Scraper-Fehler: ' || s_name || ' (Exit ' || (s_suppkey % 4) || ')' AS subject,
+       'Der Scraper ''' || s_name || ''' hat sich mit Fehlercode ' || (s_suppkey % 4) || ' beendet.' || chr(10) || chr(10) || 'Ausgabe:'
+       || chr(10) || coalesce(CASE WHEN s_suppkey % 3 > 0 THEN 'Saldo ' || s_nationkey END, '') AS body FROM supplier WHERE s_suppkey % 4 <> 0""")
 def failed_runs_o2(spark, sf_dir):
     log = d.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("run_id"), F.col("s_name").alias("source"),
-        (F.col("s_suppkey") % 4).cast("int").alias("exit_code"), F.lit("").alias("output"),
+        (F.col("s_suppkey") % 4).cast("int").alias("exit_code"),
+        F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("Saldo "), F.col("s_nationkey").cast("string"))).alias("output"),
     )
     return monitoring.failed_runs(log).select(
-        F.col("run_id").alias("run"), "source", F.col("exit_code").cast("bigint").alias("exit_code"), "subject"
+        F.col("run_id").alias("run"), "source", F.col("exit_code").cast("bigint").alias("exit_code"), "subject", "body"
     )

@@ -37,10 +37,13 @@ def funnel(judged: DataFrame) -> DataFrame:
 
 
 def failed_runs(run_log: DataFrame) -> DataFrame:
-    """Alert rows of runs that ended with a code other than 0."""
+    """Alert rows of runs that ended with a code other than 0; subject and body are fixed texts."""
     failed = run_log.filter(F.col("exit_code") != 0)
     subject = F.format_string("Scraper-Fehler: %s (Exit %d)", "source", "exit_code")
-    return failed.select("run_id", "source", "exit_code", subject.alias("subject"), "output")
+    body = F.format_string(
+        "Der Scraper '%s' hat sich mit Fehlercode %d beendet.\n\nAusgabe:\n%s", "source", "exit_code", F.coalesce("output", F.lit(""))
+    )
+    return failed.select("run_id", "source", "exit_code", subject.alias("subject"), body.alias("body"), "output")
 
 
 def links_per_page(links: DataFrame) -> DataFrame:

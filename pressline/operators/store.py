@@ -34,6 +34,20 @@ def not_yet_stored(links: DataFrame, incidents: DataFrame, on: str = "url") -> D
     return links.join(incidents.select(on).filter(F.col(on).isNotNull()).distinct(), on, "left_anti")
 
 
+def new_links(links: DataFrame, path: str, on_unknown: str = "new") -> DataFrame:
+    """Links that a table at ``path`` does not hold.
+
+    ``on_unknown`` says what an unreadable table means: all links are ``new`` (the rule of most
+    sources), all ``exist``, or ``fail``.
+    """
+    if on_unknown != "exist":
+        return not_yet_stored(links, read_incidents(links.sparkSession, path, on_unknown))
+    try:
+        return not_yet_stored(links, read_incidents(links.sparkSession, path, "fail"))
+    except AnalysisException:
+        return links.filter(F.lit(False))
+
+
 def already_stored(links: DataFrame, incidents: DataFrame, on: str = "url") -> DataFrame:
     """Bulk form of the existence probe."""
     return links.join(incidents.select(on).filter(F.col(on).isNotNull()).distinct(), on, "left_semi")

@@ -159,11 +159,13 @@ def test_store(spark, tmp_path, incidents):
         store.read_incidents(spark, path, on_unknown="fail")
     links = spark.createDataFrame([("u1",), ("new",)], "url STRING")
     assert store.not_yet_stored(links, empty).count() == 2
+    assert [store.new_links(links, path, policy).count() for policy in ("new", "exist")] == [2, 0]
     store.append_incidents(store.incident_rows(incidents), path)
     stored = store.read_incidents(spark, path)
     assert stored.count() == incidents.count() and stored.filter("approved is not null").count() == 0
     assert urls(store.not_yet_stored(links, stored)) == ["new"]
     assert urls(store.already_stored(links, stored)) == ["u1"]
+    assert urls(store.new_links(links, path, "exist")) == ["new"]
     assert store.url_exists(stored, "u1").count() == 1 and store.url_exists(stored, "x").count() == 0
     flagged = {r["url"]: r["stored"] for r in store.flag_stored(links, stored).collect()}
     assert flagged == {"u1": True, "new": False}
@@ -188,5 +190,6 @@ def test_funnel_and_alerts(spark):
     assert got == {("a", "accepted"): 1, ("a", "stored"): 2, ("a", "total"): 3, ("b", "too_old"): 1, ("b", "total"): 1, ("total", "total"): 4}
     log = spark.createDataFrame([("r", "a", 0, ""), ("r", "b", 1, "x"), ("r", "c", 255, "y")], "run_id STRING, source STRING, exit_code INT, output STRING")
     assert sorted(r["subject"] for r in monitoring.failed_runs(log).collect()) == ["Scraper-Fehler: b (Exit 1)", "Scraper-Fehler: c (Exit 255)"]
+    assert monitoring.failed_runs(log).filter("source = 'b'").collect()[0]["body"].endswith("Ausgabe:\nx")
     with pytest.raises(ValueError):
         monitoring.first_reason(odd=F.lit(True))
