@@ -36,7 +36,7 @@ docs AS (SELECT doc_id, lang, text, list_transform(lines, lambda x, i: CASE WHEN
 WITH {d.PARAGRAPHS}
 SELECT page_id, {_JOINED.format('paragraphs')} AS paragraphs, len(paragraphs)::BIGINT AS n FROM paragraphs""")
 def native_paragraphs_x1(spark, sf_dir):
-    pages = d.table(spark, sf_dir, "pages")
+    pages = d.heavy_table(spark, sf_dir, "pages")
     found = computed_once(pages, {"p": art.native_paragraphs(F.col("html"))})
     return found.select("page_id", F.array_join("p", "|").alias("paragraphs"), F.size("p").cast("bigint").alias("n"))
 
@@ -51,7 +51,7 @@ WITH {d.PARAGRAPHS}
 SELECT page_id, {_JOINED.format('paragraphs')} AS paragraphs, 2::BIGINT AS rung FROM paragraphs""")
 def paragraph_ladder_x1(spark, sf_dir):
     """The profile-driven ladder: the first rung finds nothing on these pages, the second does."""
-    pages = d.table(spark, sf_dir, "pages").select(F.lit("press").alias("source"), "page_id", "url", "html")
+    pages = d.heavy_table(spark, sf_dir, "pages").select(F.lit("press").alias("source"), "page_id", "url", "html")
     facts = article_facts(pages, _ladder_profile())
     return facts.select("page_id", F.array_join("paragraphs", "|").alias("paragraphs"), F.col("rung").cast("bigint").alias("rung"))
 
@@ -64,7 +64,7 @@ FROM (SELECT *, regexp_extract(url, '#(.*)$', 1) = 'top' AND len(paragraphs) > 1
 def anchored_paragraphs_x2(spark, sf_dir):
     """Pages with a ``#top`` address are read after that element, here the first paragraph; if nothing
     follows it, by the ladder."""
-    pages = d.table(spark, sf_dir, "pages").select(
+    pages = d.heavy_table(spark, sf_dir, "pages").select(
         F.lit("press").alias("source"), "page_id", "url", F.regexp_replace("html", "(?s)^(.*?<article>.*?)<p>", '$1<p id="top">').alias("html")
     )
     facts = article_facts(pages, _ladder_profile(anchored=True))
@@ -175,7 +175,7 @@ def summary_x10(spark, sf_dir):
 @query("first_keyword_k1", f"""
 SELECT doc_id, {d.sql_first_keyword(['text'])} AS keyword FROM documents""")
 def first_keyword_k1(spark, sf_dir):
-    return d.table(spark, sf_dir, "documents").select("doc_id", first_keyword(F.col("text"), d.KEYWORDS).alias("keyword"))
+    return d.heavy_table(spark, sf_dir, "documents").select("doc_id", first_keyword(F.col("text"), d.KEYWORDS).alias("keyword"))
 
 
 @query("body_or_title_keyword_k2", f"""
@@ -183,7 +183,7 @@ WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, substr(text, le
 SELECT doc_id, {d.sql_first_keyword(['body', 'title'], ('ÜBER', 'äsch', 'QUE', 'éé', 'of'))} AS keyword FROM t""")
 def body_or_title_keyword_k2(spark, sf_dir):
     title = F.substring_index("text", "\n", 1)
-    docs = d.table(spark, sf_dir, "documents").select(
+    docs = d.heavy_table(spark, sf_dir, "documents").select(
         "doc_id", title.alias("title"), F.substring(F.col("text"), F.length(title) + 1, F.length("text")).alias("body")
     )
     scope = [F.col("body"), F.col("title")]
@@ -196,7 +196,7 @@ p AS (SELECT *, strpos(lower(text), lower(keyword)) AS hit FROM k)
 SELECT doc_id, keyword, CASE WHEN hit > 0 THEN substr(text, greatest(hit - 21, 0) + 1, 60) END AS context FROM p""")
 def keyword_context_k3(spark, sf_dir):
     """The first keyword is a pattern that never occurs literally, so its context is null."""
-    docs = d.table(spark, sf_dir, "documents").select(
+    docs = d.heavy_table(spark, sf_dir, "documents").select(
         "doc_id", "text", first_keyword(F.col("text"), ("th[ei]", "TION", "que")).alias("keyword")
     )
     return docs.select("doc_id", "keyword", keyword_context(F.col("text"), F.col("keyword")).alias("context"))
@@ -216,7 +216,7 @@ SELECT page_id, keyword, length(body)::BIGINT AS n_chars,
 FROM found WHERE keyword IS NOT NULL""")
 def press_articles(spark, sf_dir):
     """The flagship: raw pages to relevant articles with keyword and summary, all in the JVM."""
-    pages = d.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = d.heavy_table(spark, sf_dir, "pages").select("page_id", "html")
     split = computed_once(pages, {"paragraphs": art.native_paragraphs(F.col("html"))}).filter(F.size("paragraphs") > 0)
     lines = art.take_until(art.clean_lines(F.col("paragraphs")), art.line_start(d.STOPS))
     texts = computed_once(split, {"body": art.content_text(lines)})

@@ -65,7 +65,7 @@ def rss_date_d4(spark, sf_dir):
         .when(k == 2, F.concat(F.lit("Mon, "), day, F.lit(" 23:15:59 EST")))
         .otherwise(F.concat(F.lit("am "), day))
     )
-    return d.table(spark, sf_dir, "orders").select("o_orderkey", d.text(dt.rss_date(note)).alias("day"))
+    return d.heavy_table(spark, sf_dir, "orders").select("o_orderkey", d.text(dt.rss_date(note)).alias("day"))
 
 
 @query("iso_timestamp_d5", f"""

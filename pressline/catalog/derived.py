@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressline.functions.urls import url_host
-from pressline.sources.pages import extract_plain_links
+from pressline.sources.pages import extract_plain_links, spread_scan
 
 AS_OF = "2024-01-25 12:00:00"
 
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row: the given files have one row group each."""
+    return spread_scan(table(spark, sf_dir, name))
+
+
 def instant() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 

@@ -71,7 +71,7 @@ FROM (
 def rss_items_s3(spark, sf_dir):
     key = _str(F.col("o_orderkey"))
     months = F.array(*[F.lit(m) for m in d.ENGLISH_MONTHS])
-    orders = d.table(spark, sf_dir, "orders")
+    orders = d.heavy_table(spark, sf_dir, "orders")
     day = F.concat_ws(
         " ", _str(F.day("o_orderdate")), F.element_at(months, F.month("o_orderdate")), _str(F.year("o_orderdate"))
     )
@@ -121,7 +121,7 @@ def insert_fragments_s5(spark, sf_dir):
         command("insert", F.concat(F.lit("<b>"), "event_type", F.lit("</b>"))),
         command("insert", F.when(k % 4 == 1, F.lit("")).otherwise(F.concat(F.lit("u"), _str(F.col("user_id"))))),
     ))
-    rows = d.table(spark, sf_dir, "events").select(
+    rows = d.heavy_table(spark, sf_dir, "events").select(
         "event_id", F.when(k % 4 == 3, F.lit("<html>")).otherwise(payload).alias("json")
     )
     return rows.select("event_id", fd.insert_fragments(F.col("json")).alias("html"))
@@ -144,7 +144,7 @@ def unwrap_html_s6(spark, sf_dir):
         .when(k == 4, F.col("props"))
         .otherwise(n('[1, {"k": 1}, {"body": "z', u, '"}]'))
     )
-    return d.table(spark, sf_dir, "events").select("event_id", fd.unwrap_html(payload).alias("html"))
+    return d.heavy_table(spark, sf_dir, "events").select("event_id", fd.unwrap_html(payload).alias("html"))
 
 
 @query("plain_links_s7", f"WITH {d.LINKS} SELECT source, page, pos, url, title FROM links")
@@ -157,7 +157,7 @@ WITH {d.LINKS}
 SELECT page, pos, url, trim(title) AS title FROM links""")
 def selector_links_s7(spark, sf_dir):
     """The profile-driven extraction, with nested boxes and a fallback rule."""
-    pages = d.table(spark, sf_dir, "pages")
+    pages = d.heavy_table(spark, sf_dir, "pages")
     listed = pages.select(
         F.lit("press").alias("source"), F.col("page_id").alias("page"), "url", url_host(F.col("url")).alias("host"), "html"
     )
@@ -190,7 +190,7 @@ def next_links_s8(spark, sf_dir):
         .when(m == 3, n("<a rel=\"next\" href='https://example.org/a/", k, "'>x</a>"))
         .otherwise(n('<meta name="feed" content=" https://example.org/rss "><a rel="next" href="https://example.org/p/', k, '">self</a>'))
     )
-    pages = d.table(spark, sf_dir, "pages").select(
+    pages = d.heavy_table(spark, sf_dir, "pages").select(
         "page_id", n("https://example.org/p/", k).alias("url"), F.concat("html", pager).alias("html")
     )
     return next_links(pages).select("page_id", "next_url", "load_url", "feed_url")

@@ -229,3 +229,14 @@ def test_plain_links_read_long_pages_once(spark):
     start = time.time()
     assert extract_plain_links(df).count() == 50000
     assert time.time() - start < 30
+
+
+def test_spread_scan(spark, tmp_path):
+    from pressline.sources.pages import spread_scan
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(20).write.option("maxRecordsPerFile", 5).parquet(str(tmp_path / "many"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread_scan(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 100, 1, 50)
+    assert spread_scan(wide) is wide
