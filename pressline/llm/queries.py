@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.llm import decontaminate, langid, quality, simhash
+from pressline.llm import bpe, decontaminate, langid, quality, simhash
 from pressline.llm.frames import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,10 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(table(spark, folder, "documents"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Runner] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
 
