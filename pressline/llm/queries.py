@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.llm import bpe, decontaminate, langid, quality, simhash
+from pressline.llm import bpe, decontaminate, langid, quality, simhash, url_filter
 from pressline.llm.frames import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,17 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "url_verdict.*")
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.removal_spans(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     hit = found.withColumn("n_hit", decontaminate.n_hit())
@@ -48,6 +59,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Runner] = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
+    "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
