@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.llm import bpe, decontaminate, langid, quality, simhash, url_filter
+from pressline.llm import bpe, chat, decontaminate, langid, licenses, quality, simhash, url_filter
 from pressline.llm.frames import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
@@ -48,6 +52,30 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    ).select(*[F.col(c).cast(kind) for c, kind in turns.dtypes])
+    made = chat.windows(turns.unionByName(own))
+    read = made.select(
+        "conv_id", "window", F.length("formatted").alias("chars"), chat.read_turns(F.col("formatted")).alias("turns"),
+        F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "").alias("loss"),
+    ).select("conv_id", "window", "chars", F.size("turns").alias("n"), "loss", F.array_join(
+        F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
+    ).alias("said"))
+    # A digest needs its conversation whole, so here, and only here, the windows of one meet in a row.
+    whole = read.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+        F.array_sort(F.collect_list(F.struct("window", "said", "loss"))).alias("w"),
+    ).select("conv_id", "n_turns", "formatted_chars", F.array_join("w.said", "").alias("said"), F.array_join("w.loss", "").alias("loss"))
+    return whole.select(
+        "conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -58,9 +86,11 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Runner] = {
     "op1_simhash": op1_simhash,
+    "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
     "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
+    "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
 }
