@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.llm import bpe, chat, decontaminate, langid, licenses, quality, simhash, url_filter
+from pressline.llm import bpe, chat, decontaminate, langid, licenses, quality, simhash, url_filter, warc
 from pressline.llm.frames import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,13 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    archives = warc.archive_folder(pages)
+    records = warc.read(warc.write(pages, archives), archives, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(
@@ -90,6 +97,7 @@ QUERIES: dict[str, Runner] = {
     "op3_quality": op3_quality,
     "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
+    "op6_warc": op6_warc,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
