@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.llm import bpe, chat, decontaminate, langid, licenses, quality, simhash, url_filter, warc
+from pressline.llm import bpe, chat, decontaminate, langid, licenses, main_text, quality, simhash, url_filter, warc
 from pressline.llm.frames import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = main_text.extract(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(
@@ -98,6 +103,7 @@ QUERIES: dict[str, Runner] = {
     "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
     "op6_warc": op6_warc,
+    "op7_main_text": op7_main_text,
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
