@@ -39,12 +39,16 @@ CHUNK_BYTES = 1 << 10
 # Bytes hashed, and bytes given to the library, at a time; bound the memory a long text takes.
 HASH_STEP = 1 << 20
 PIECE_BYTES = 1 << 16
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 19
+LEARN_WORDS = 1 << 12
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\x0b\x0c\r")] = True
 _GEAR = np.array([(b + 1) * 0x9E3779B1 & 0xFFFFFFFF for b in range(256)], np.uint32)
 _WINDOW = 16
+# Words a tokenizer is probed with, and marks often found at the end of a word.
+_KINDS = ("a", "Zé", "x's", "'", "'s", "12", "3", "...", "#!", "ßä", "中文", "\u0301", "e\u0301", "🙂", "_", "<|", "|>", "\u00a0", "\u2003")
+_MARKS = b".,;:!?"
 
 
 def cuts(data: bytes) -> list[int]:
@@ -84,32 +88,77 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(self.source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # One number object per id, shared by all entries of the memo.
+        self.numbers = list(range(self.tokenizer.get_vocab_size(with_added_tokens=True)))
         self.by_word = self._isolates_space()
+        self.splits_marks, self.folds_case = self.by_word and self._splits_marks(), self.by_word and self._folds_case()
 
     def library(self, data: bytes) -> tuple[int, ...]:
         return tuple(self.tokenizer.encode(data.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
 
     def _isolates_space(self) -> bool:
         """Whether white space between words of all kinds leaves the words' own ids, and nothing of its own."""
-        kinds = ["a", "Zé", "x's", "'", "'s", "12", "3", "...", "#!", "ßä", "中文", "́", "é́", "🙂", "_", "<|", "|>", " ", " "]
-        for space in (" ", "\n", "\t", "\r\n", "  ", "\x0b", "\x0c"):
-            for a in kinds:
-                for b in kinds:
-                    whole = self.library(f"{space}{a}{space}{b}{space}".encode())
-                    if whole != self.library(a.encode()) + self.library(b.encode()):
-                        return False
-        return True
-
-    def word(self, word: bytes) -> tuple[int, ...]:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            found = self.memo[word] = self.library(word)
-        return found
+        alone = {k: self.library(k.encode()) for k in _KINDS}
+        return all(
+            self.library(f"{space}{a}{space}{b}{space}".encode()) == alone[a] + alone[b]
+            for space in (" ", "\n", "\t", "\r\n", "  ", "\x0b", "\x0c") for a in _KINDS for b in _KINDS
+        )
+
+    def _splits_marks(self) -> bool:
+        """Whether marks behind a letter or digit have the ids they have alone."""
+        marks = [m + n for m in _MARKS.decode() for n in ("", *_MARKS.decode())]
+        return all(
+            self.library(f"{word}{m}".encode()) == self.library(word.encode()) + self.library(m.encode())
+            for word in ("a", "Ab", "x's", "12", "3", "éz", "中a", "a.b", "#1", "<|x") for m in marks
+        )
+
+    def _folds_case(self) -> bool:
+        """Whether a word of ASCII letters and digits has the ids of its lower case."""
+        upper = [chr(c) for c in range(65, 91)]
+        tried = [f"{left}{c}{right}" for c in upper for left in ("", "a", "Z9") for right in ("", "b", "Q", "7")]
+        return all(self.library(w.encode()) == self.library(w.lower().encode()) for w in tried)
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word and the marks at its end, where those are known to be encoded apart; the word folded where case is no matter."""
+        core = word.rstrip(_MARKS) if self.splits_marks else word
+        if not core or not core[-1:].isalnum():
+            core = word
+        marks = word[len(core) :]
+        return (core.lower() if self.folds_case and core.isalnum() else core), marks
+
+    def _learn(self, lacking: list[bytes]) -> None:
+        """Adds words to the memo; what is new in them is encoded in calls of many words with a space between."""
+        parts = [self._parts(w) for w in lacking]
+        new = list(dict.fromkeys(p for pair in parts for p in pair if p and p not in self.memo))
+        for k in range(0, len(new), LEARN_WORDS):
+            self._encode_words(new[k : k + LEARN_WORDS])
+        for word, (core, marks) in zip(lacking, parts, strict=True):
+            if word not in self.memo:
+                self.memo[word] = self.memo[core] + self.memo[marks] if marks else self.memo[core]
+
+    def _encode_words(self, new: list[bytes]) -> None:
+        plain = [w.decode("utf-8", "surrogatepass") for w in new]
+        made = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+        ends = np.cumsum([len(w) + 1 for w in plain])
+        starts = np.array([o[0] for o in made.offsets], np.int64)
+        owner = np.searchsorted(ends, starts, side="right")
+        if len(starts) and ((starts[1:] < starts[:-1]).any() or (starts + 1 == ends[owner]).any()):
+            self.memo.update((w, self.library(w)) for w in new)
+            return
+        bounds = np.searchsorted(owner, np.arange(len(new) + 1)).tolist()
+        ids = tuple(map(self.numbers.__getitem__, made.ids))
+        self.memo.update((w, ids[bounds[k] : bounds[k + 1]]) for k, w in enumerate(new))
 
     def piece(self, data: bytes) -> list[int]:
-        return list(chain.from_iterable(map(self.word, data.split()))) if self.by_word else list(self.library(data))
+        if not self.by_word:
+            return list(self.library(data))
+        words = data.split()
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        lacking = set(words).difference(self.memo)
+        if lacking:
+            self._learn(list(lacking))
+        return list(chain.from_iterable(map(self.memo.__getitem__, words)))
 
     def join(self, left: bytes, left_ids: list[int], right: bytes, right_ids: list[int]) -> list[int]:
         """The ids of ``left + right`` from the ids of both, repaired around the join.

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.llm import bpe, chat, decontaminate, langid, licenses, main_text, quality, simhash, url_filter, warc
+from pressline.llm import bpe, chat, decontaminate, langid, licenses, main_text, quality, simhash, sql, url_filter, warc
 from pressline.llm.frames import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -109,4 +109,12 @@ QUERIES: dict[str, Runner] = {
     "op10_language": op10_language,
 }
 
-SQL: dict[str, str] = {}
+# The others have no SQL: hashes, archives' dictionaries, models and tokenizers are no part of it.
+SQL: dict[str, str] = {
+    "op2_licenses": sql.licenses_sql(),
+    "op3_quality": sql.quality_sql(),
+    "op4_urls": sql.urls_sql(URL_RULES),
+    "op5_decontaminate": sql.decontaminate_sql(),
+    "op6_warc": sql.warc_sql(),
+    "op8_chat": sql.chat_sql(),
+}
