@@ -20,7 +20,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """
     n = len(symbols)
     bits = max(1, int(symbols.max()).bit_length())
-    depth = max(1, 62 // bits)
+    depth = max(1, min(62 // bits, n))
     key = np.zeros(n, np.int64)
     for j in range(depth):
         key <<= bits
