@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import TABLES, bag
+from pressline import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
@@ -21,10 +22,11 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(catalog.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, db, name):
     df = entry.queries()[name](spark, FOLDER)
     result = db.execute(entry.oracle_sql()[name])
