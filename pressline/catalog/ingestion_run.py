@@ -64,7 +64,7 @@ def _run(spark, sf_dir):
         F.concat(F.lit("Meldung "), k.cast("string")).alias("title"), "url", null.alias("list_date_text"),
         null.cast("date").alias("list_date"), null.alias("event_location"), null.alias("list_region"),
     )
-    scan = d.heavy_table(spark, sf_dir, "pages").withColumn("source", F.substring_index("url", "://", 1))
+    scan = d.table(spark, sf_dir, "pages").withColumn("source", F.substring_index("url", "://", 1))
     landed = scan.select(
         "source", "url", F.when(~F.contains("url", F.lit("spam-farm")), F.col("html")).alias("html"), d.instant().alias("fetched_at")
     )

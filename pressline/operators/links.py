@@ -10,14 +10,12 @@ from pyspark.sql import functions as F
 
 from pressline.functions.urls import url_path
 from pressline.operators.skew import first_per_key, salted_lookup
-from pressline.session import cut_lineage
 
 # Position of a link in a run: feed, list within the feed, page of the list, place on the page.
 LINK_ORDER = ("feed", "list", "page", "pos")
 
-# Up to this cap Spark trims each task to the first rows per source before the shuffle.
-TRIMMED_CAP = 1000
-PAGE_BLOCKS = (1 << 20, 1 << 10, 1)
+# Pages whose link counts are added up together, before the blocks are.
+PAGE_BLOCK = 1024
 
 
 def order_columns(df: DataFrame) -> list[str]:
@@ -108,31 +106,28 @@ def until_nothing_new(links: DataFrame, pages: DataFrame, keys: Sequence[str] =
 
 
 def cap_links(links: DataFrame, n: int = 100) -> DataFrame:
-    """At most ``n`` links per source in collection order; expects distinct links."""
-    order = order_columns(links)
-    if n > TRIMMED_CAP:
-        links = _pages_below_cap(links, n)
-    ranked = links.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(*order)))
-    return ranked.filter(F.col("_n") <= n).drop("_n")
-
-
-def _pages_below_cap(links: DataFrame, n: int) -> DataFrame:
-    """Drop pages that start at or after the cap, from link counts; leaves few more than ``n`` links.
+    """At most ``n`` links per source in collection order; expects distinct links.
 
-    The count table is cut by blocks of pages, then by ever smaller blocks of what is left, so the
-    running sum of a source never sees more than a few thousand blocks or ``n`` of them. It goes to the
-    shared folder first, since every round reads it twice.
+    Links are counted by page, and the counts added up within blocks of pages and over the blocks, so that each page knows
+    the links before it. Links are then ranked inside their page only; pages at or beyond the cap are not ranked at all.
     """
-    lists = [c for c in order_columns(links) if c not in ("page", "pos")]
-    pages = cut_lineage(links.groupBy("source", *lists, "page").agg(F.count(F.lit(1)).alias("_n")))
-    block = [*lists, "_block"]
-    before = Window.partitionBy("source").orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    for width in PAGE_BLOCKS:
-        cut = pages.withColumn("_block", F.floor(F.col("page") / width))
-        sums = cut.groupBy("source", *block).agg(F.sum("_n").alias("_sum")) if width > 1 else cut.withColumnRenamed("_n", "_sum")
-        wanted = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).filter(F.col("_before") < n)
-        pages = cut.join(wanted.select("source", *block), ["source", *block], "left_semi").drop("_block")
-    return links.join(pages.drop("_n"), ["source", *lists, "page"], "left_semi")
+    order = order_columns(links)
+    inner = [c for c in order if c == "pos"]
+    outer = [c for c in order if c != "pos"]
+    keyed = links.withColumn("_page", F.struct("source", *outer))
+    block = F.struct("source", *[F.floor(F.col(c) / PAGE_BLOCK).alias(c) if c == "page" else F.col(c) for c in outer])
+    counts = keyed.groupBy("_page").agg(F.count(F.lit(1)).alias("_n")).select("_page", "_n", F.col("_page.*")).withColumn("_block", block)
+    in_block = Window.partitionBy("_block").orderBy(*outer).rowsBetween(Window.unboundedPreceding, -1)
+    over_blocks = Window.partitionBy("_block.source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_sum")).select(
+        "_block", F.coalesce(F.sum("_sum").over(over_blocks), F.lit(0)).alias("_blocks_before")
+    )
+    pages = counts.withColumn("_pages_before", F.coalesce(F.sum("_n").over(in_block), F.lit(0))).join(blocks, "_block").select(
+        "_page", (F.col("_blocks_before") + F.col("_pages_before")).alias("_before")
+    )
+    rank = F.row_number().over(Window.partitionBy("_page").orderBy(*(inner or ["_page"])))
+    ranked = keyed.join(pages.filter(F.col("_before") < n), "_page").withColumn("_n", rank)
+    return ranked.filter(F.col("_before") + F.col("_n") <= n).select(*links.columns)
 
 
 def union_feeds(*feeds: DataFrame) -> DataFrame:

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
-FINE_HEX_DIGITS = 3
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
+FINE_HEX_DIGITS = 2
 
 
 def salted_lookup(
@@ -29,47 +27,28 @@ def salted_lookup(
     return left.withColumn("_salt", salt).join(repeated, [*on, "_salt"], "left").drop("_salt")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``rows`` rows, the most frequent first and at most ``MAX_HOT_KEYS`` of them.
-
-    The result is small whatever the data: it may be broadcast. Keys left out are not lost, they are
-    only not split; with that many hot keys none of them holds much of the data.
-    """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
-    return counted.orderBy(F.col("_rows").desc(), *keys).limit(MAX_HOT_KEYS).drop("_rows")
-
-
-def running_index(
-    df: DataFrame, keys: Sequence[str], coarse: Sequence[Column], tie: Column, name: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def running_index(df: DataFrame, keys: Sequence[str], coarse: Sequence[Column], tie: Column, name: str) -> DataFrame:
     """0-based running index within ``keys``, ordered by ``coarse``, then md5 of ``tie``, then ``tie``.
 
-    A plain window would put all rows of a frequent key into one task. Such a key is cut into chunks
-    that follow the order (the coarse columns, then leading digits of the md5): rows are ranked inside
-    their chunk, and the rows in the chunks before it are added from map-side counts. All other keys
-    are one chunk. Each row is shuffled once. Keys and coarse columns must not be null.
+    A plain window would put all rows of a frequent key into one task. Here every key is cut into chunks that follow the
+    order (the coarse columns, then leading digits of the md5): rows are ranked inside their chunk, and the rows in the
+    chunks before it are added from counts that are partial before their shuffle. There is one plan for all keys and
+    sizes; the counts read the key columns only. Keys and coarse columns must not be null.
     """
     names = [f"_c{i}" for i in range(len(coarse))]
-    marked = (
-        df.withColumns({n: c for n, c in zip(names, coarse)})
-        .withColumn("_md5", F.md5(F.coalesce(tie.cast("string"), F.lit(""))))
-        .join(F.broadcast(hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True))), list(keys), "left")
-    )
-    hot = F.coalesce("_hot", F.lit(False))
-    parts = {f"_k{i}": F.when(hot, F.col(n)) for i, n in enumerate(names)}
-    parts["_fine"] = F.when(hot, F.substring("_md5", 1, FINE_HEX_DIGITS))
-    cut = marked.withColumns(parts)
-    chunk = [*keys, *parts]
-    before = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    cut = df.withColumns({n: c for n, c in zip(names, coarse)}).withColumn(
+        "_md5", F.md5(F.coalesce(tie.cast("string"), F.lit("")))
+    ).withColumn("_fine", F.substring("_md5", 1, FINE_HEX_DIGITS))
+    chunk = [*keys, *names, "_fine"]
+    before = Window.partitionBy(*keys).orderBy(*names, "_fine").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        cut.filter(hot).groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
+        cut.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     )
-    inside = Window.partitionBy(*chunk).orderBy(*names, "_md5", tie)
+    inside = Window.partitionBy(*chunk).orderBy("_md5", tie)
     ranked = cut.withColumn("_rank", F.row_number().over(inside))
-    index = (F.coalesce("_before", F.lit(0)) + F.col("_rank") - 1).cast("long").alias(name)
-    return ranked.join(offsets, chunk, "left").select(*df.columns, index)
+    index = (F.col("_before") + F.col("_rank") - 1).cast("long").alias(name)
+    return ranked.join(offsets, chunk).select(*df.columns, index)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

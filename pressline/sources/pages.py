@@ -17,16 +17,6 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     return spark.read.schema(schema).format(fmt).load(path)
 
 
-def spread_scan(scan: DataFrame) -> DataFrame:
-    """One partition per core for a scan with fewer splits than the session has cores.
-
-    For work that is heavy per row on files with few row groups. A scan with enough splits, as in any
-    large table, stays as it is. Takes a bare scan, which can be planned without running anything.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def load_failed(html: Column) -> Column:
     """A page that did not load: no content, or content that counts as empty."""
     return html.isNull() | html.isin("", "0")
