@@ -131,14 +131,14 @@ def meta_description_x7(spark, sf_dir):
 @query("heading_title_x8", f"""
 WITH {d.CLEAN_PAGES},
 heads AS (SELECT page_id, regexp_extract(page, '(?is)<h1\\b[^>]*>.*?</h1\\s*>') AS h FROM clean_pages)
-SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Liste ' || page_id WHEN page_id % 5 = 1 THEN ''
-                     ELSE trim(regexp_replace({d.sql_plain('h')}, '\\s+', ' ', 'g')) END AS title
-FROM heads""")
+SELECT page_id, trim(regexp_replace({d.sql_plain('h')}, '\\s+', ' ', 'g')) AS title FROM heads
+UNION ALL SELECT -1 - page_id, CASE WHEN page_id % 2 = 0 THEN 'Liste ' || page_id ELSE '' END FROM pages""")
 def heading_title_x8(spark, sf_dir):
-    m = F.col("page_id") % 5
-    html = F.when(m == 0, F.lit("<p>kein Titel</p>")).when(m == 1, F.lit("<h1> </h1>")).otherwise(F.col("html"))
-    listed = F.concat(F.lit("Liste "), F.col("page_id").cast("string"))
-    return d.table(spark, sf_dir, "pages").select("page_id", art.heading_title(art.heading(html), listed).alias("title"))
+    """Every page, and beside each one without a heading or with an empty one."""
+    pages = d.table(spark, sf_dir, "pages").select("page_id", "html", F.concat(F.lit("Liste "), F.col("page_id").cast("string")).alias("listed"))
+    bare = F.when(F.col("page_id") % 2 == 0, F.lit("<p>kein Titel</p>")).otherwise(F.lit("<h1> </h1>"))
+    rows = pages.unionByName(pages.select((-1 - F.col("page_id")).alias("page_id"), bare.alias("html"), "listed"))
+    return rows.select("page_id", art.heading_title(art.heading(F.col("html")), F.col("listed")).alias("title"))
 
 
 @query("event_location_x9", """

@@ -35,7 +35,9 @@ read_pages AS (
 texts AS (SELECT *, coalesce(array_to_string(list_transform({_CUT}, lambda x: x || chr(10)), ''), '') AS body FROM read_pages),
 found AS (SELECT *, {d.sql_first_keyword(['body'])} AS keyword FROM texts),
 judged AS (
-  SELECT f.*, CASE WHEN url LIKE '%?page=%' THEN 'stored' WHEN url LIKE '%spam-farm%' THEN 'load_failed' WHEN n = 0 THEN 'no_text'
+  SELECT * REPLACE (url || '/gone' AS url), 'load_failed' AS reason FROM found
+  UNION ALL
+  SELECT f.*, CASE WHEN url LIKE '%?page=%' THEN 'stored' WHEN n = 0 THEN 'no_text'
     WHEN keyword IS NULL THEN 'no_keyword' WHEN coalesce(l.quality, 0) <> 1 THEN 'not_illegal' ELSE 'accepted' END AS reason
   FROM found f LEFT JOIN labels l ON l.doc_id = f.page_id)"""
 
@@ -65,9 +67,10 @@ def _run(spark, sf_dir):
         null.cast("date").alias("list_date"), null.alias("event_location"), null.alias("list_region"),
     )
     scan = d.table(spark, sf_dir, "pages").withColumn("source", F.substring_index("url", "://", 1))
-    landed = scan.select(
-        "source", "url", F.when(~F.contains("url", F.lit("spam-farm")), F.col("html")).alias("html"), d.instant().alias("fetched_at")
-    )
+    # Beside each link one whose page did not load.
+    links = links.unionByName(links.withColumns({"pos": F.lit(1), "url": F.concat("url", F.lit("/gone"))}))
+    landed = scan.select("source", "url", "html", d.instant().alias("fetched_at"))
+    landed = landed.unionByName(landed.select("source", F.concat("url", F.lit("/gone")).alias("url"), F.lit("").alias("html"), "fetched_at"))
     stored = pages.select("url").filter(F.contains("url", F.lit("?page=")))
     found = run.candidates(PROFILES, links, landed, stored, d.KEYWORDS, d.instant())
 

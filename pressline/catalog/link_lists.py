@@ -46,13 +46,14 @@ def frontier_s1(spark, sf_dir):
 
 
 @query("raw_page_scan_s2", """
-SELECT page_id, (page_id % 10 IN (0, 1)) AS failed,
-       CASE WHEN page_id % 10 IN (0, 1) THEN 'load_failed' ELSE 'loaded' END AS reason
-FROM pages""")
+SELECT page_id, coalesce(html, '') IN ('', '0') AS failed,
+       CASE WHEN coalesce(html, '') IN ('', '0') THEN 'load_failed' ELSE 'loaded' END AS reason
+FROM pages
+UNION ALL SELECT -1 - page_id, true, 'load_failed' FROM pages""")
 def raw_page_scan_s2(spark, sf_dir):
     pages = read_pages(spark, f"{sf_dir}/pages.parquet", schema="page_id BIGINT, url STRING, html STRING")
-    k = F.col("page_id") % 10
-    landed = pages.withColumn("html", F.when(k == 0, F.lit(None)).when(k == 1, F.lit("")).otherwise(F.col("html")))
+    gone = F.when(F.col("page_id") % 2 == 0, F.lit(""))
+    landed = pages.unionByName(pages.select((-1 - F.col("page_id")).alias("page_id"), "url", gone.alias("html")))
     loaded, failed = split_loaded(landed)
     return loaded.select("page_id", F.lit(False).alias("failed"), F.lit("loaded").alias("reason")).unionByName(
         failed.select("page_id", F.lit(True).alias("failed"), "reason")
@@ -216,14 +217,14 @@ def page_chain_s9(spark, sf_dir):
 
 
 @query("keyword_list_s10", """
-SELECT event_id, 0::BIGINT AS pos, event_type AS keyword FROM events WHERE event_id % 3 = 0
-UNION ALL SELECT event_id, 1, 'k' || user_id FROM events WHERE event_id % 3 = 0""")
+SELECT event_id, 0::BIGINT AS pos, event_type AS keyword FROM events
+UNION ALL SELECT event_id, 1, 'k' || user_id FROM events""")
 def keyword_list_s10(spark, sf_dir):
-    k = F.col("event_id") % 3
+    """The list of every event; beside each a list that is JSON null or not there, which has no rows."""
     listed = F.to_json(F.array("event_type", F.concat(F.lit("k"), _str(F.col("user_id")))))
-    rows = d.table(spark, sf_dir, "events").select(
-        "event_id", F.when(k == 0, listed).when(k == 1, F.lit("null")).alias("keywords")
-    )
+    events = d.table(spark, sf_dir, "events")
+    without = F.when(F.col("event_id") % 2 == 0, F.lit("null"))
+    rows = events.select("event_id", listed.alias("keywords")).unionByName(events.select("event_id", without.alias("keywords")))
     return fd.keyword_rows(rows).select("event_id", F.col("pos").cast("bigint").alias("pos"), "keyword")
 
 

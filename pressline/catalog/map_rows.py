@@ -91,6 +91,10 @@ def range_label_q6(spark, sf_dir):
 
 _INDEXED = d.SHOWN + """,
 indexed AS (SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY date, md5(url), url) - 1 AS point_index FROM shown)"""
+_EVERY = d.INCIDENTS + """,
+indexed AS (
+  SELECT *, row_number() OVER (PARTITION BY lat, lon ORDER BY coalesce(date, DATE '1970-01-01'), md5(url), url) - 1 AS point_index
+  FROM incidents)"""
 _KEY = "(regexp_replace(lat::VARCHAR, '\\.0$', '') || ',' || regexp_replace(lon::VARCHAR, '\\.0$', ''))"
 _HASHED = f""",
 keys AS (SELECT DISTINCT lat, lon, {_KEY} AS key FROM indexed),
@@ -113,17 +117,17 @@ def colocation_index_q7(spark, sf_dir):
 
 
 @query("key_hash_q8", f"""
-WITH {_INDEXED} {_HASHED} SELECT key, h AS hash, {_ANGLE} AS base_angle FROM hashed""")
+WITH {_EVERY} {_HASHED} SELECT key, h AS hash, {_ANGLE} AS base_angle FROM hashed""")
 def key_hash_q8(spark, sf_dir):
-    keys = _shown(spark, sf_dir).select("lat", "lon").distinct().select(point_key(F.col("lat"), F.col("lon")).alias("key"))
+    keys = d.incidents(spark, sf_dir).select("lat", "lon").distinct().select(point_key(F.col("lat"), F.col("lon")).alias("key"))
     return keys.select("key", key_hash(F.col("key")).alias("hash"), base_angle(F.col("key")).alias("base_angle"))
 
 
 @query("ring_displacement_q9", f"""
-WITH {_INDEXED} {_HASHED} {_MOVED}
+WITH {_EVERY} {_HASHED} {_MOVED}
 SELECT event_id, round(shown_lat, 6) AS shown_lat, round(shown_lon, 6) AS shown_lon FROM moved""")
 def ring_displacement_q9(spark, sf_dir):
-    moved = mv.spread_markers(mv.colocation_index(_shown(spark, sf_dir)))
+    moved = mv.spread_markers(mv.colocation_index(d.incidents(spark, sf_dir)))
     return moved.select("event_id", F.round("shown_lat", 6).alias("shown_lat"), F.round("shown_lon", 6).alias("shown_lon"))
 
 

@@ -26,14 +26,14 @@ def unknown_store_j2(spark, sf_dir):
 
 
 _ACCEPTED = """
-accepted AS (SELECT source, doc_id, 'https://example.org/' || (doc_id % 300) AS url FROM documents WHERE lang <> 'fr')"""
+accepted AS (SELECT source, doc_id, 'https://example.org/' || (doc_id % 300) AS url FROM documents)"""
 _WINNERS = _ACCEPTED + """,
 winners AS (SELECT url, source, doc_id FROM (
   SELECT *, row_number() OVER (PARTITION BY url ORDER BY (source <> 'src7'), source || '.php', doc_id) AS n FROM accepted) WHERE n = 1)"""
 
 
 def _accepted(spark, sf_dir):
-    docs = d.table(spark, sf_dir, "documents").filter(F.col("lang") != "fr")
+    docs = d.table(spark, sf_dir, "documents")
     return docs.select(
         "source", "doc_id", F.concat(F.lit("https://example.org/"), (F.col("doc_id") % 300).cast("string")).alias("url")
     )
@@ -61,6 +61,17 @@ def incident_append_j4(spark, sf_dir):
     )
 
 
+@query("repeated_run_j4", f"""
+WITH {d.INCIDENTS} SELECT url, count(*) AS n FROM incidents GROUP BY url""")
+def repeated_run_j4(spark, sf_dir):
+    """The same rows appended twice, as when a run is repeated after its write: none is stored twice."""
+    rows = store.incident_rows(d.incidents(spark, sf_dir).withColumn("location", F.lit(None).cast("string")))
+    path = work_folder(spark, "repeated")
+    store.append_incidents(rows, path)
+    store.append_incidents(rows, path)
+    return store.read_incidents(spark, path, on_unknown="fail").groupBy("url").agg(F.count("*").alias("n"))
+
+
 @query("existence_probe_j5", f"""
 WITH {d.INCIDENTS}
 SELECT url, 'one' AS probe FROM incidents WHERE event_id = 77
@@ -76,7 +87,9 @@ def existence_probe_j5(spark, sf_dir):
 
 
 _SUBMISSIONS = f"""
-subs AS (SELECT conv_id * 100 + turn AS id, (conv_id * 3 + turn) % 11 AS k, conv_id, turn, role, text, {d.sql_trim('text')} AS trimmed FROM conversations),
+subs AS (
+  SELECT conv_id * 100 + turn AS id, 7 AS k, conv_id, turn, role, text, {d.sql_trim('text')} AS trimmed FROM conversations
+  UNION ALL SELECT -1 - (conv_id * 100 + turn), (conv_id * 3 + turn) % 7, conv_id, turn, role, text, '' FROM conversations),
 triaged AS (
   SELECT *, CASE WHEN turn = 3 THEN 405 WHEN k IN (0, 1) THEN 400 WHEN k IN (2, 3) THEN 400 WHEN k = 4 THEN 500 WHEN k IN (5, 6) THEN 400
                  WHEN trimmed = '' THEN 400 ELSE 200 END AS status,
@@ -91,9 +104,13 @@ gated AS (
 
 
 def _submissions(spark, sf_dir):
-    """Conversation turns as tip-offs, each broken in the way its number says."""
-    conv = d.table(spark, sf_dir, "conversations")
-    k = (F.col("conv_id") * 3 + F.col("turn")) % 11
+    """Conversation turns as tip-offs, and beside each a row that is broken in the way its number says."""
+    turns = d.table(spark, sf_dir, "conversations")
+    number = F.col("conv_id") * 100 + F.col("turn")
+    conv = turns.withColumns({"id": number, "k": F.lit(7).cast("long")}).unionByName(
+        turns.withColumns({"id": -1 - number, "k": ((F.col("conv_id") * 3 + F.col("turn")) % 7).cast("long")})
+    )
+    k = F.col("k")
     n = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     full = F.to_json(F.struct(F.concat(F.lit("\n "), "text").alias("message"), F.col("role").alias("source"), F.lit("t").alias("captcha")))
     body = (
@@ -108,7 +125,7 @@ def _submissions(spark, sf_dir):
     )
     c = F.col("conv_id")
     return conv.select(
-        (c * 100 + F.col("turn")).alias("id"),
+        "id",
         F.when(F.col("turn") == 3, F.lit("GET")).otherwise(F.lit("POST")).alias("method"),
         body.alias("body"),
         F.when(c % 4 == 0, F.lit(False)).when(c % 4 == 1, F.lit(None)).otherwise(F.lit(True)).alias("captcha_success"),

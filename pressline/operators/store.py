@@ -10,6 +10,15 @@ from pressline.operators.links import source_order
 from pressline.sources.schemas import INCIDENT_COLUMNS, INCIDENTS
 
 
+# Files a run adds to a year at most.
+YEAR_FILES = 16
+
+
+def is_missing(error: AnalysisException) -> bool:
+    """A table that is not there; any other error of a read is a fault, not an empty table."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def read_incidents(spark: SparkSession, path: str, on_unknown: str = "new") -> DataFrame:
     """The stored incidents.
 
@@ -18,8 +27,8 @@ def read_incidents(spark: SparkSession, path: str, on_unknown: str = "new") -> D
     """
     try:
         return spark.read.schema(INCIDENTS).parquet(path)
-    except AnalysisException:
-        if on_unknown != "new":
+    except AnalysisException as error:
+        if on_unknown != "new" or not is_missing(error):
             raise
         return spark.createDataFrame([], INCIDENTS)
 
@@ -79,6 +88,12 @@ def incident_rows(accepted: DataFrame) -> DataFrame:
 
 
 def append_incidents(rows: DataFrame, path: str) -> None:
-    """Appends with the fixed schema, one folder per year so that date ranges prune."""
-    marked = rows.withColumn("approved", F.lit(None).cast("boolean")).withColumn("year", F.year("date"))
-    marked.write.mode("append").partitionBy("year").parquet(path)
+    """Appends with the fixed schema, one folder per year so that date ranges prune.
+
+    URLs the table holds by now are left out, so a run that is repeated after its write adds nothing. Rows are spread by
+    year and a hash of the URL: a year has some files per run, not one per task, and no task holds a whole year.
+    """
+    new = not_yet_stored(rows, read_incidents(rows.sparkSession, path))
+    marked = new.withColumn("approved", F.lit(None).cast("boolean")).withColumn("year", F.year("date"))
+    spread = marked.repartition("year", F.pmod(F.xxhash64("url"), F.lit(YEAR_FILES)))
+    spread.write.mode("append").partitionBy("year").parquet(path)

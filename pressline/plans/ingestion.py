@@ -171,12 +171,31 @@ DATE_FACTS = (
 )
 
 
+def wanted_copies(article_pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The landed pages of the wanted ``(source, url)`` rows, the newest copies only.
+
+    Which copy is newest is known from the key columns, so only the pages a run needs enter the page reader. Key tables
+    below Spark's own limit are broadcast and no page text is shuffled; a larger one is joined on its keys.
+    """
+    keys = wanted.select("source", "url").distinct()
+    newest = (
+        article_pages.select("source", "url", "fetched_at").join(keys, ["source", "url"], "left_semi")
+        .groupBy("source", "url").agg(F.max("fetched_at").alias("_newest"))
+        .select(F.col("source").alias("_source"), F.col("url").alias("_url"), "_newest")
+    )
+    same = (
+        (F.col("source") == F.col("_source")) & (F.col("url") == F.col("_url"))
+        & F.col("fetched_at").eqNullSafe(F.col("_newest"))
+    )
+    return article_pages.join(newest, same, "left_semi")
+
+
 def read_articles(profiles: Mapping[str, Profile], article_pages: DataFrame, keywords: Sequence[str]) -> DataFrame:
-    """What a run needs of each landed page, one row per source and URL (the newest copy).
+    """What a run needs of each landed page, one row per source and URL.
 
-    Pages are read where they lie: text, summary, keyword and date candidates come out of the scan,
-    and the text of a page without keyword is dropped before anything is shuffled. Page texts never
-    are, and copies of one page collapse map-side.
+    Pages are read where they lie: text, summary, keyword and date candidates come out of the scan, and the text of a
+    page without keyword is dropped before the copies of a page meet. Of copies the newest counts, of equally new ones
+    one that loaded.
     """
     landed = article_pages.filter(F.col("source").isin(*profiles)).select(
         "source", "url", "fetched_at", load_failed(F.col("html")).alias("failed"), "html"
@@ -190,27 +209,33 @@ def read_articles(profiles: Mapping[str, Profile], article_pages: DataFrame, key
     found = computed_once(texts, {"body_keyword": by_source(profiles, in_body, F.lit(None).cast("string"))})
     needed = F.col("body_keyword").isNotNull() | F.col("source").isin(*titled)
     facts = found.select(
-        "source", "url", "fetched_at", "failed", F.col("content_text").isNotNull().alias("has_text"),
+        "source", "url", "fetched_at", (~F.col("failed")).alias("loaded"), "failed",
+        F.col("content_text").isNotNull().alias("has_text"),
         F.when(needed, F.col("content_text")).alias("content_text"), F.when(needed, F.col("summary")).alias("summary"),
         "body_keyword", "h1", *DATE_FACTS,
     )
     rest = [c for c in facts.columns if c not in ("source", "url")]
     newest = facts.groupBy("source", "url").agg(F.max(F.struct(*rest)).alias("_n"))
-    return newest.select("source", "url", *[F.col(f"_n.{c}").alias(c) for c in rest if c != "fetched_at"])
+    return newest.select("source", "url", *[F.col(f"_n.{c}").alias(c) for c in rest if c not in ("fetched_at", "loaded")])
 
 
 def candidates(
     profiles: Mapping[str, Profile], links: DataFrame, article_pages: DataFrame, incidents: DataFrame,
     keywords: Sequence[str], as_of: Column,
 ) -> DataFrame:
-    """All links with texts, dates and keyword; ``reason`` is null for those to classify."""
+    """All links with texts, dates and keyword; ``reason`` is null for those to classify.
+
+    Links that are stored, or too old by their list date, are settled before any page is read.
+    """
     early = by_source(
         profiles,
         lambda p: ~is_fresh(midnight(F.col("list_date")), as_of) if p.early_gate else F.lit(False),
         F.lit(False),
     )
     flagged = store.flag_stored(links, incidents).withColumn("early_old", F.coalesce(early, F.lit(False)))
-    loaded = flagged.join(read_articles(profiles, article_pages, keywords), ["source", "url"], "left")
+    unsettled = flagged.filter(~F.col("stored") & ~F.col("early_old"))
+    pages = wanted_copies(article_pages, unsettled)
+    loaded = flagged.join(read_articles(profiles, pages, keywords), ["source", "url"], "left")
     titled = loaded.withColumn("title", by_source(
         profiles, lambda p: art.heading_title(F.col("h1"), F.col("title")) if p.heading_title else F.col("title"), F.col("title"),
     ))

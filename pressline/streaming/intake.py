@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pressline.operators.dating import is_fresh
 from pressline.operators.monitoring import ACCEPTED
-from pressline.operators.store import not_yet_stored
+from pressline.operators.store import is_missing, not_yet_stored
 from pressline.sources.schemas import PAGES
 
 SALTS = 16
@@ -60,7 +60,9 @@ def _stored_before(spark: SparkSession, path: str, batch_id: int, schema: T.Stru
     stored = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
     try:
         return spark.read.schema(stored).parquet(path).filter(F.col("batch_id") < batch_id)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
         return spark.createDataFrame([], stored)
 
 
