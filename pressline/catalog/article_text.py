@@ -106,7 +106,7 @@ def content_text_x6(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", art.content_text(art.clean_lines(F.col("lines"))).alias("content_text"))
 
 
-_META_VALUE = "'Lage ' || doc_id || ' \"' || lang || '\" & mehr'"
+_META_VALUE = "'Lage ' || doc_id || ' ' || regexp_replace(text, '[\"&<>'']', '', 'g') || ' \"' || lang || '\" & mehr'"
 
 
 @query("meta_description_x7", f"""
@@ -116,7 +116,7 @@ FROM documents""")
 def meta_description_x7(spark, sf_dir):
     k = F.col("doc_id").cast("string")
     n = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    value = n(" Lage ", k, " &quot;", F.col("lang"), "&quot; &amp; mehr ")
+    value = n(" Lage ", k, " ", F.regexp_replace("text", "[\"&<>']", ""), " &quot;", F.col("lang"), "&quot; &amp; mehr ")
     m = F.col("doc_id") % 4
     head = (
         F.when(m == 0, n('<meta content="', value, '" name="description"><meta property="og:description" content="og">'))

@@ -37,6 +37,7 @@ class Page:
         self.chunks: list[str] = []
         self.span: list[list[int]] = [[0, 0]]
         self._attrs: dict[int, dict[str, str]] = {}
+        self._inside: dict[str, list[bool]] = {}
         self._open: Counter[str] = Counter()
         self._read(markup)
 
@@ -111,12 +112,15 @@ class Page:
         return [i for i in range(below + 1, self.last[below] + 1) if "*" in tags or self.tag[i] in tags]
 
     def inside(self, i: int, tag: str) -> bool:
-        i = self.parent[i]
-        while i > 0:
-            if self.tag[i] == tag:
-                return True
-            i = self.parent[i]
-        return False
+        """Whether an element of that name is above the node; known for all nodes after the first question."""
+        flags = self._inside.get(tag)
+        if flags is None:
+            flags = [False] * len(self.tag)
+            for node in range(1, len(self.tag)):
+                above = self.parent[node]
+                flags[node] = above > 0 and (flags[above] or self.tag[above] == tag)
+            self._inside[tag] = flags
+        return flags[i]
 
     def class_has(self, i: int, *parts: str) -> bool:
         value = self.attr(i, "class")
@@ -151,9 +155,13 @@ class Page:
         found: set[int] = set()
         for box in rung:
             plain = box.tag == "*" and not (box.classes or box.ids or box.id_parts)
+            read = 0                                      # boxes nest: each node is looked at once
             for top in [0] if plain else self.boxes(box):
-                hits = self.nodes("p", below=top)
+                if self.last[top] <= read:
+                    continue
+                hits = [i for i in range(max(top, read) + 1, self.last[top] + 1) if self.tag[i] == "p"]
                 found.update(i for i in hits if not (box.not_inside and self.inside(i, box.not_inside)))
+                read = self.last[top]
         return sorted(found)
 
     def after_anchor(self, fragment: str, limit: int) -> list[int]:
