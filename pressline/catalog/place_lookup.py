@@ -113,7 +113,7 @@ points AS (SELECT event_id AS id, lat, lon FROM incidents), {_IN_STATE}
 SELECT p.id AS event_id, i.name AS point_state FROM points p LEFT JOIN inside i ON p.id = i.id""")
 def state_of_point_g5(spark, sf_dir):
     points = d.incidents(spark, sf_dir).select("event_id", "lat", "lon")
-    return pl.state_of_point(points, d.nation_states(spark, sf_dir), spread_by="event_id").select("event_id", "point_state")
+    return pl.state_of_point(points, d.nation_states(spark, sf_dir)).select("event_id", "point_state")
 
 
 @query("state_ladder_g6", _COMPLETED + f""", {d.STATE_EDGES},
@@ -123,6 +123,6 @@ SELECT p.id AS c_custkey,
 FROM points p LEFT JOIN inside i ON p.id = i.id""")
 def state_ladder_g6(spark, sf_dir):
     answer = F.when(F.col("c_custkey") % 3 == 0, F.lit("Hessen")).when(F.col("c_custkey") % 3 == 1, F.lit(""))
-    pointed = pl.state_of_point(_completed(spark, sf_dir), d.nation_states(spark, sf_dir), spread_by="c_custkey")
+    pointed = pl.state_of_point(_completed(spark, sf_dir), d.nation_states(spark, sf_dir))
     state = pl.federal_state(answer, F.col("lat"), F.col("lon"), F.col("point_state"))
     return pointed.select("c_custkey", state.alias("federal"))

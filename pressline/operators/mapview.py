@@ -88,6 +88,8 @@ def in_range(
     kept = df.filter(inside | (raw.isNull() & null_passes))
     if "year" in df.columns and start is not None and start > EPOCH:
         kept = kept.filter(F.col("year") >= start.year)  # prunes the folders of the stored table
+        if not isinstance(end, Column):
+            kept = kept.filter(F.col("year") <= end.year)
     return kept
 
 

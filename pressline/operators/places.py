@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pressline.functions.geo import crosses_odd
 from pressline.functions.text import is_falsy, parse_float_prefix, truthy
 from pressline.operators.classify import coordinate_text
-from pressline.operators.skew import salted_lookup
 
 # What introduces a place name, what is no place, and which names are authorities.
 PLACE_PATTERN = r"(?U)\b(?:in|bei|nahe)\s+(?!Richtung\b)(?!Höhe\b)([A-ZÄÖÜ][a-zäöüßA-ZÄÖÜ-]+)"
@@ -62,14 +61,15 @@ def geocode(
     """Adds ``geo_lat, geo_lon`` of the place, null where the gazetteer lacks it.
 
     Rows that are not ``wanted`` or have no place get a key of their own, so they spread evenly and
-    match nothing; a frequent place is spread over salts.
+    match nothing. A gazetteer below Spark's own limit is broadcast; beyond it a frequent place is a
+    skewed key of a sort-merge join, which Spark splits.
     """
     own = F.concat(F.lit("\u0000"), F.coalesce(F.col(spread_by).cast("string"), F.lit("")))
     key = place_key(F.col(place))
     if wanted is not None:
         key = F.when(wanted, key)
     keyed = df.withColumn("place_key", F.coalesce(key, own))
-    return salted_lookup(keyed, top_places(gazetteer), "place_key", [spread_by]).drop("place_key")
+    return keyed.join(top_places(gazetteer), "place_key", "left").drop("place_key")
 
 
 def lacks_coordinates(lat: Column, lon: Column) -> Column:
@@ -128,17 +128,17 @@ def state_bands(states: DataFrame, band: float = BAND) -> DataFrame:
 
 
 def state_of_point(
-    df: DataFrame, states: DataFrame, lat: str = "lat", lon: str = "lon", spread_by: str = "url",
-    name: str = "point_state", band: float = BAND,
+    df: DataFrame, states: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "point_state", band: float = BAND,
 ) -> DataFrame:
     """Adds the state whose polygon holds the point, null where none does.
 
     One equality lookup on the latitude band, one row out per row in; the containment test then runs
-    over the few states of the band inside the row. Points on an edge are undefined.
+    over the few states of the band inside the row. The band table depends on the polygons alone: Spark
+    broadcasts it where it is small, and then no point is shuffled. Points on an edge are undefined.
     """
     y, x = F.col(lat), F.col(lon)
     banded = df.withColumn("band", F.floor(y / band))
-    joined = salted_lookup(banded, state_bands(states, band), "band", [spread_by])
+    joined = banded.join(state_bands(states, band), "band", "left")
     hits = F.filter(
         "states", lambda s: (x >= s["west"]) & (x <= s["east"]) & crosses_odd(s["edges"], y, x)
     )

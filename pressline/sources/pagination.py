@@ -15,7 +15,7 @@ def page_chain(edges: DataFrame, starts: DataFrame, limit: int = 40) -> DataFram
     ``edges`` holds ``url, next_url`` (one successor per page; the smallest where several are
     given), ``starts`` holds ``start``. A page that names itself ends its chain; a longer cycle is
     cut only by the bound. Step tables double (1, 2, 4, … pages ahead), so a chain of ``limit`` pages
-    takes log2(limit) joins, each written to the shared folder before the next one.
+    takes log2(limit) rounds; pages reached and steps are written together, once per round.
     """
     step = (
         edges.filter(F.col("next_url").isNotNull() & (F.col("next_url") != F.col("url")))
@@ -25,11 +25,14 @@ def page_chain(edges: DataFrame, starts: DataFrame, limit: int = 40) -> DataFram
     width = 1
     while width < limit:
         further = reached.join(step, "url").select("start", (F.col("pos") + width).alias("pos"), F.col("ahead").alias("url"))
-        reached = cut_lineage(reached.unionByName(further.filter(F.col("pos") < limit)))
+        reached = reached.unionByName(further.filter(F.col("pos") < limit))
         width *= 2
-        if width < limit:
-            onward = step.select(F.col("url").alias("ahead"), F.col("ahead").alias("further"))
-            step = cut_lineage(step.join(onward, "ahead").select("url", F.col("further").alias("ahead")))
+        if width >= limit:
+            break
+        onward = step.select(F.col("url").alias("ahead"), F.col("ahead").alias("further"))
+        step = step.join(onward, "ahead").select("url", F.col("further").alias("ahead"))
+        both = cut_lineage(reached.withColumn("ahead", F.lit(None).cast("string")).unionByName(step, allowMissingColumns=True))
+        reached, step = both.filter("start IS NOT NULL").drop("ahead"), both.filter("start IS NULL").select("url", "ahead")
     return reached
 
 

@@ -124,3 +124,14 @@ def test_requests(spark):
     assert body["messages"][0]["content"] == cl.INSTRUCTION + "ä" * 2000
     bare = df.select(cl.request_text(F.col("content_text"), None, pre_cut=1500).alias("t")).collect()[0]["t"]
     assert len(bare) == 1500
+
+
+def test_points_are_not_shuffled_for_a_small_state_table(spark, tmp_path):
+    ring = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]]
+    states = spark.createDataFrame([("A", ring)], "name STRING, rings ARRAY<ARRAY<STRUCT<lon:DOUBLE,lat:DOUBLE>>>")
+    states.write.parquet(str(tmp_path / "states"))
+    spark.range(10).selectExpr("id / 20.0D AS lat", "id / 20.0D AS lon", "id").write.parquet(str(tmp_path / "points"))
+    found = pl.state_of_point(spark.read.parquet(str(tmp_path / "points")), spark.read.parquet(str(tmp_path / "states")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert found.filter("point_state = 'A'").count() >= 8
