@@ -43,11 +43,6 @@ def _exact_day(name: str) -> Column:
     return iso_date_text(F.when(F.length(name) == 10, F.col(name)))
 
 
-def _labelled() -> Column:
-    days = F.transform("date_texts", any_german_date_text)
-    return F.get(F.filter(days, lambda day: day.isNotNull()), F.lit(0))
-
-
 # Every way to find a date, by name: the day as text, and the instant if that way has one. The columns
 # are those of the article extraction job and of the links.
 DATE_RUNGS: dict[str, Callable[[], Column]] = {
@@ -65,7 +60,7 @@ DATE_RUNGS: dict[str, Callable[[], Column]] = {
     "dtstart": lambda: _rung(german_date_text(F.col("dtstart_text"), "exact")),
     "meta": lambda: _rung(iso_date_text(F.col("meta_published")), loose_ts(F.col("meta_published"))),
     "time_text": lambda: _rung(any_german_date_text(F.col("time_text"))),
-    "date_class": lambda: _rung(_labelled()),
+    "date_class": lambda: _rung(F.col("date_class_text")),
     "date_box": lambda: _rung(german_date_text(F.col("date_box_text"), "anywhere")),
     "anywhere": lambda: _rung(F.col("any_date_text")),
 }

@@ -167,7 +167,7 @@ def with_text(facts: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
 # Date candidates of a page that the ladder needs after the join with the links.
 DATE_FACTS = (
     "time_attr", "dated_time_attr", "time_text", "class_time_attr", "class_time_text", "dtstart_text",
-    "meta_published", "dcterms_date", "date_box_text", "date_texts", "labelled_date_text", "any_date_text",
+    "meta_published", "dcterms_date", "date_box_text", "date_class_text", "labelled_date_text", "any_date_text",
 )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressline.functions.dates import german_date_text, iso_date_text
+from pressline.functions.dates import any_german_date_text, german_date_text, iso_date_text
 from pressline.functions.once import computed_once
 from pressline.functions.text import clean_title, default_title, event_location, squeeze, trimmed
 from pressline.functions.urls import absolutize
@@ -116,7 +116,8 @@ def _article_facts(page: Page, profile: Profile | None, url: str) -> dict:
         or (page.tag[i] == "div" and page.class_has(i, "tx-rssdisplay-item-meta-date"))
     ])
     start = _first(page, [i for i in page.nodes("span") if page.class_has(i, "dtstart")])
-    labelled = [i for i in range(1, len(page.tag)) if page.class_has(i, "date", "datum")]
+    wanted = profile is None or "date_class" in profile.dates
+    labelled = [i for i in range(1, len(page.tag)) if page.class_has(i, "date", "datum")] if wanted else []
     facts["h1"] = page.text(h1) if h1 else None
     facts["time_attr"] = page.attr(stamped, "datetime") if stamped else None
     facts["dated_time_attr"] = page.attr(dated, "datetime") if dated else None
@@ -125,7 +126,8 @@ def _article_facts(page: Page, profile: Profile | None, url: str) -> dict:
     facts["class_time_text"] = page.text(classed) if classed else None
     facts["dtstart_text"] = page.text(start) if start else None
     facts["date_box_text"] = page.text(box) if box else None
-    facts["date_texts"] = [page.text(i) for i in labelled]
+    if labelled:
+        facts["date_texts"] = [page.text(i) for i in labelled]
 
     metas = [(page.attrs(i), i) for i in page.nodes("meta")]
 
@@ -148,25 +150,32 @@ def article_facts(pages: DataFrame, profiles: Mapping[str, Profile], html: str =
     """Paragraphs by the ladder of each source, heading, and every date candidate of a page.
 
     Dates looked up in the raw page text (``labelled_date_text``, ``any_date_text``) come from JVM
-    patterns. The page text itself is dropped.
+    patterns, for the sources whose ladder has them; so do the texts of elements named after dates, of
+    which only the first date is kept (``date_class_text``). The page text itself is dropped.
     """
     profiles = dict(profiles)
 
     def read(row: dict, page: Page) -> dict:
         return _article_facts(page, profiles.get(row.get("source")), row.get("url"))
 
+    def uses(rung: str):
+        named = [s for s, p in profiles.items() if rung in p.dates]
+        return F.col("source").isin(*named) if "source" in pages.columns else F.lit(True)
+
     raw = F.col(html)
     dated = pages.withColumns({
-        "labelled_date_text": german_date_text(raw, "after_label"),
-        "any_date_text": german_date_text(raw, "anywhere"),
+        "labelled_date_text": F.when(uses("after_label"), german_date_text(raw, "after_label")),
+        "any_date_text": F.when(uses("anywhere"), german_date_text(raw, "anywhere")),
     })
     facts = _page_job(dated, html, FACTS, read, many=False)
     texts = ("time_text", "class_time_attr", "class_time_text", "dtstart_text", "meta_published", "date_box_text", "meta_text")
     return facts.withColumns({
         "h1": squeeze(F.col("h1")),
-        "date_texts": F.transform("date_texts", trimmed),
+        "date_class_text": F.get(F.filter(
+            F.transform("date_texts", lambda t: any_german_date_text(trimmed(t))), lambda day: day.isNotNull()
+        ), F.lit(0)),
         **{c: trimmed(F.col(c)) for c in texts},
-    })
+    }).drop("date_texts")
 
 
 def _item_facts(page: Page, profile: Profile, anchor: int, rule) -> dict:

@@ -130,7 +130,7 @@ def test_impossible_date_is_rejected(spark, tables):
     ("mv", {"meta_published": "2025-06-01T10:00:00Z"}, ("2025-06-01", "2025-06-01 10:00:00")),
     ("nrw", {"time_attr": "2025-07-01 20:00:00", "list_date": dt.date(2025, 6, 1)}, ("2025-07-01", "2025-07-01 20:00:00")),
     ("nrw", {"list_date": dt.date(2025, 6, 1)}, ("2025-06-01", "2025-06-01 00:00:00")),
-    ("sachsen", {"time_text": "Stand heute", "date_texts": ["x", "3. März 2025 10 Uhr"]}, ("2025-03-03", "2025-03-03 00:00:00")),
+    ("sachsen", {"time_text": "Stand heute", "date_class_text": "2025-03-03"}, ("2025-03-03", "2025-03-03 00:00:00")),
     ("sachsen-anhalt", {"date_box_text": "am 01.07.2025, 15:35", "time_attr": "2025-07-02T10:00:00Z"}, ("2025-07-01", "2025-07-01 00:00:00")),
     ("sachsen-anhalt", {"time_attr": "2025-07-02T10:00:00Z"}, ("2025-07-02", "2025-07-02 10:00:00")),
     ("sachsen-anhalt", {"any_date_text": "2025-06-15"}, ("2025-06-15", "2025-06-15 00:00:00")),
@@ -139,7 +139,7 @@ def test_impossible_date_is_rejected(spark, tables):
 def test_date_ladders(spark, source, columns, want):
     schema = {
         "time_attr": "STRING", "dated_time_attr": "STRING", "time_text": "STRING", "class_time_attr": "STRING", "class_time_text": "STRING",
-        "dtstart_text": "STRING", "meta_published": "STRING", "dcterms_date": "STRING", "date_box_text": "STRING", "date_texts": "ARRAY<STRING>",
+        "dtstart_text": "STRING", "meta_published": "STRING", "dcterms_date": "STRING", "date_box_text": "STRING", "date_class_text": "STRING",
         "labelled_date_text": "STRING", "any_date_text": "STRING", "list_date_text": "STRING", "list_date": "DATE"}
     df = spark.createDataFrame(
         [(source, *[columns.get(c) for c in schema])], "source STRING, " + ", ".join(f"{c} {t}" for c, t in schema.items()))
@@ -237,3 +237,14 @@ def test_stream_equals_batch(spark, tables, links, tmp_path):
     want = run.candidates(default_profiles(), links, pages, tables["stored"], fx.KEYWORDS, run_instant(fx.AS_OF))
     assert got.select("batch_id").distinct().count() == 2
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+
+
+def test_date_elements_become_one_day_in_the_scan(spark):
+    from pressline.sources.html_jobs import article_facts
+
+    page = '<body class="update-page"><p class="x-datum">x</p><p class="datum">3. März 2025 10 Uhr</p><p>Artikel vom 05.06.2025</p></body>'
+    pages = spark.createDataFrame([(s, "u", page) for s in ("sachsen", "brandenburg", "bayern")], "source STRING, url STRING, html STRING")
+    facts = article_facts(pages, default_profiles())
+    assert "date_texts" not in facts.columns
+    got = {r["source"]: (r["date_class_text"], r["labelled_date_text"]) for r in facts.collect()}
+    assert got == {"sachsen": ("2025-03-03", None), "brandenburg": (None, "2025-06-05"), "bayern": (None, None)}
