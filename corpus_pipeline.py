@@ -10,21 +10,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pressline.llm import bpe, decontaminate, langid, quality, simhash
-from pressline.llm.frames import stored, table
+from pressline.llm.frames import ship, stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text has no letter, or no language with a score of a half; learned from the labelled rows of ``docs``."""
+    ship(spark)
     return langid.in_a_language(docs, langid.train_without_held_out(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that fail the base rules and rows of refused hosts."""
+    ship(spark)
     return quality.kept_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies, that with the smallest id."""
+    ship(spark)
     return simhash.one_of_each_group(docs, shingle_words=3, max_distance=2)
 
 
@@ -35,6 +38,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, ids, decoded)`` of each row."""
+    ship(spark)
     return bpe.coded(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from pressline.llm.fm_index import FmIndex
-from pressline.llm.frames import by_batch, free_name, narrow, plus, texts
+from pressline.llm.frames import by_whole_batch, free_name, narrow, plus, texts
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -198,7 +198,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, block_bytes: int, finish, sch
 
 
 def _one_block(shared, place: int, first: bool, finish):
-    @by_batch
+    @by_whole_batch
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, phrases = shared.value
         hits, items = ([], []) if first else _earlier(batch)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,9 +16,33 @@ from pyspark.sql.types import DataType, StructField, StructType
 from pressline.session import work_folder
 
 Batches = Iterator[pa.RecordBatch]
+SLICE_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers once per application, so that no executor needs an installed copy."""
+    _shipped(spark.sparkContext.applicationId, spark.sparkContext)
+
+
+@functools.lru_cache(maxsize=8)
+def _shipped(application: str, context) -> str:
+    import pressline
+
+    root = os.path.dirname(os.path.abspath(pressline.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="pressline-code-"), "pressline_code.zip")
+    with zipfile.ZipFile(path, "w") as made:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    made.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    return path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; the operators' code is sent along before anything runs on it."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -50,7 +78,18 @@ def texts(column: pa.Array) -> Iterator[str | None]:
 
 
 def by_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Batches], Batches]:
-    """A ``mapInArrow`` function from a function on one batch; empty batches are passed over."""
+    """A ``mapInArrow`` function from a function on a few rows: a batch is handed over in slices, so little of what is made of
+    it is held at a time."""
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                yield make(batch.slice(start, SLICE_ROWS))
+
+    return run
+
+
+def by_whole_batch(make: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Batches], Batches]:
+    """As ``by_batch`` without slices, for work that is cheaper on many rows."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             if batch.num_rows:
