@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pressline.catalog import query
 from pressline.catalog import derived as d
+from pressline.functions.once import computed_once
 from pressline.operators import classify as cl
 
 
@@ -39,21 +40,15 @@ _ILLEGAL = f"({_OK} AND doc_id % 7 NOT IN (1, 2, 3) AND toxic = 1)"
 SELECT doc_id, length(text[1:2000])::BIGINT AS sent, 'Lies: ' || text[1:2000] AS content, 0.1::DOUBLE AS temperature,
        text[1:2000] AS bare, text[1:1500] AS pre_cut FROM documents""")
 def classification_requests_m1(spark, sf_dir):
-    docs = d.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("text").alias("content_text"))
-    asked = cl.classification_requests(docs, "model", "Lies: ").withColumnRenamed("url", "doc_id")
+    text = F.col("text")
     body = F.from_json(
-        "request", "model STRING, messages ARRAY<STRUCT<role:STRING,content:STRING>>, temperature DOUBLE"
+        cl.request(text, "model", "Lies: "), "model STRING, messages ARRAY<STRUCT<role:STRING,content:STRING>>, temperature DOUBLE"
     )
-    read = asked.select("doc_id", body.alias("b")).select(
-        "doc_id", F.get("b.messages", F.lit(0))["content"].alias("content"), F.col("b.temperature").alias("temperature")
-    )
-    texts = docs.select(
-        F.col("url").alias("doc_id"),
-        cl.request_text(F.col("content_text"), None).alias("bare"),
-        cl.request_text(F.col("content_text"), None, pre_cut=1500).alias("pre_cut"),
-    )
-    return read.join(texts, "doc_id").select(
-        "doc_id", (F.length("content") - 6).cast("bigint").alias("sent"), "content", "temperature", "bare", "pre_cut"
+    read = computed_once(d.table(spark, sf_dir, "documents").select("doc_id", "text"), {"b": body})
+    content = F.get("b.messages", F.lit(0))["content"]
+    return read.select(
+        "doc_id", (F.length(content) - 6).cast("bigint").alias("sent"), content.alias("content"), F.col("b.temperature").alias("temperature"),
+        cl.request_text(text, None).alias("bare"), cl.request_text(text, None, pre_cut=1500).alias("pre_cut"),
     )
 
 

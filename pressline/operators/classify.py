@@ -37,11 +37,15 @@ def classification_requests(
     articles: DataFrame, model: str, instruction: str | None = INSTRUCTION, text: str = "content_text"
 ) -> DataFrame:
     """One request per article: ``url`` and the JSON ``request``."""
-    message = F.struct(F.lit("user").alias("role"), request_text(F.col(text), instruction).alias("content"))
-    body = F.struct(
+    return articles.select("url", request(F.col(text), model, instruction).alias("request"))
+
+
+def request(text: Column, model: str, instruction: str | None = INSTRUCTION) -> Column:
+    """The JSON request for one text."""
+    message = F.struct(F.lit("user").alias("role"), request_text(text, instruction).alias("content"))
+    return F.to_json(F.struct(
         F.lit(model).alias("model"), F.array(message).alias("messages"), F.lit(TEMPERATURE).alias("temperature")
-    )
-    return articles.select("url", F.to_json(body).alias("request"))
+    ))
 
 
 def decode_answer(response: Column) -> Column:
