@@ -79,7 +79,27 @@ def _payload_links(payloads: DataFrame, profiles: Mapping[str, Profile]) -> Data
         fd.unwrap_html(F.col("json"))
     )
     pages = payloads.withColumn("html", html).withColumn("url", F.lit(None).cast("string")).drop("json")
-    return _listing_links(pages, profiles)
+    return _within_loads(_listing_links(pages, profiles), payloads, profiles)
+
+
+def _within_loads(links: DataFrame, payloads: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
+    """Links of the chunks a source loads: so many from its first one on, and none from a chunk that did not load.
+
+    Sources without a number of loads keep all chunks. The bounds are one row per list of a source.
+    """
+    loads = {s: p.extra["loads"] for s, p in profiles.items() if p.extra.get("loads")}
+    if not loads:
+        return links
+    run = ("source", "feed", "list")
+    most = F.lit(None).cast("int")
+    for source, n in loads.items():
+        most = F.when(F.col("source") == source, F.lit(n)).otherwise(most)
+    bounds = payloads.filter(F.col("source").isin(*loads)).groupBy(*run).agg(
+        F.min("page").alias("_first"), F.min(F.when(load_failed(F.col("json")), F.col("page"))).alias("_failed")
+    ).select(*run, F.least(F.col("_first") + most, "_failed").alias("_end"))
+    return links.join(bounds, list(run), "left").filter(
+        F.col("_end").isNull() | (F.col("page") < F.col("_end"))
+    ).select(*links.columns)
 
 
 def _of(table: DataFrame | None, sources: Sequence[str]) -> DataFrame | None:

@@ -248,3 +248,22 @@ def test_date_elements_become_one_day_in_the_scan(spark):
     assert "date_texts" not in facts.columns
     got = {r["source"]: (r["date_class_text"], r["labelled_date_text"]) for r in facts.collect()}
     assert got == {"sachsen": ("2025-03-03", None), "brandenburg": (None, "2025-06-05"), "bayern": (None, None)}
+
+
+def test_chunks_end_at_a_failed_one_and_at_the_number_of_loads(spark):
+    """Load-more lists: five chunks at most, none from one that did not load; other sources keep all chunks."""
+    source = next(s for s, p in default_profiles().items() if p.extra.get("loads"))
+    profile = {source: default_profiles()[source]}
+
+    def chunk(page, name):
+        html = f'<div class="article__teaser"><a href="lokales/artikel/{name}">x</a></div>' if name else name
+        return (source, 1, 0, page, html)
+
+    def found(chunks):
+        payloads = spark.createDataFrame(chunks, s.PAYLOADS)
+        links = run.collect_links(profile, spark.createDataFrame([], s.LIST_PAGES), None, payloads).collect()
+        return sorted(r["url"].rsplit("/", 1)[1] for r in links)
+
+    assert found([chunk(i, f"c{i}") for i in range(1, 8)]) == ["c1", "c2", "c3", "c4", "c5"]
+    assert found([chunk(1, "a"), chunk(2, ""), chunk(3, "b")]) == ["a"]
+    assert found([chunk(1, None), chunk(2, "b")]) == []
