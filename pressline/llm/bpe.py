@@ -17,7 +17,6 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task per core already
 
@@ -39,7 +38,9 @@ CHUNK_BYTES = 1 << 10
 # Bytes hashed, and bytes given to the library, at a time; bound the memory a long text takes.
 HASH_STEP = 1 << 20
 PIECE_BYTES = 1 << 16
-MEMO_WORDS = 1 << 19
+# Words of one generation of the memo; there are two.
+MEMO_WORDS = 1 << 17
+JOINS = 1 << 15
 LEARN_WORDS = 1 << 12
 
 _SPACE = np.zeros(256, bool)
@@ -76,25 +77,39 @@ def encode_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+# Ids are packed 32-bit numbers throughout: joining words is joining bytes.
+ID = 4
+# Hash to a chunk and its ids.
+Shared = dict[int, tuple[bytes, bytes]]
+
+
+def packed(ids) -> bytes:
+    return np.fromiter(ids, "<i4", len(ids)).tobytes()
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<i4").tolist()
+
+
 @dataclass
 class Encoder:
     """A tokenizer from the text of its file, with a bounded memo of words."""
 
     source: str
-    memo: dict[bytes, tuple[int, ...]] = field(default_factory=dict)
-    joins: dict[tuple[bytes, bytes], tuple] = field(default_factory=dict)
+    memo: dict[bytes, bytes] = field(default_factory=dict)
+    older: dict[bytes, bytes] = field(default_factory=dict)
+    joins: dict[tuple[bytes, bytes], tuple[bytes, bytes, bytes]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.tokenizer = Tokenizer.from_str(self.source)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # One number object per id, shared by all entries of the memo.
-        self.numbers = list(range(self.tokenizer.get_vocab_size(with_added_tokens=True)))
+        self.digits = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.by_word = self._isolates_space()
         self.splits_marks, self.folds_case = self.by_word and self._splits_marks(), self.by_word and self._folds_case()
 
-    def library(self, data: bytes) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(data.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
+    def library(self, data: bytes) -> bytes:
+        return packed(self.tokenizer.encode(data.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
 
     def _isolates_space(self) -> bool:
         """Whether white space between words of all kinds leaves the words' own ids, and nothing of its own."""
@@ -146,21 +161,23 @@ class Encoder:
             self.memo.update((w, self.library(w)) for w in new)
             return
         bounds = np.searchsorted(owner, np.arange(len(new) + 1)).tolist()
-        ids = tuple(map(self.numbers.__getitem__, made.ids))
-        self.memo.update((w, ids[bounds[k] : bounds[k + 1]]) for k, w in enumerate(new))
+        ids = packed(made.ids)
+        self.memo.update((w, ids[ID * bounds[k] : ID * bounds[k + 1]]) for k, w in enumerate(new))
 
-    def piece(self, data: bytes) -> list[int]:
+    def piece(self, data: bytes) -> bytes:
         if not self.by_word:
-            return list(self.library(data))
+            return self.library(data)
         words = data.split()
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         lacking = set(words).difference(self.memo)
         if lacking:
-            self._learn(list(lacking))
-        return list(chain.from_iterable(map(self.memo.__getitem__, words)))
+            known = {w for w in lacking if w in self.older}
+            self.memo.update((w, self.older[w]) for w in known)
+            self._learn(list(lacking - known))
+        return b"".join(map(self.memo.__getitem__, words))
 
-    def join(self, left: bytes, left_ids: list[int], right: bytes, right_ids: list[int]) -> list[int]:
+    def join(self, left: bytes, left_ids: bytes, right: bytes, right_ids: bytes) -> bytes:
         """The ids of ``left + right`` from the ids of both, repaired around the join.
 
         Words around it are encoded apart and together. The outer ids are kept where those of the words apart are what
@@ -170,21 +187,19 @@ class Encoder:
         while True:
             tail, head = _last_words(left, words), _first_words(right, words)
             if (tail, head) not in self.joins:
-                if len(self.joins) >= MEMO_WORDS:
+                if len(self.joins) >= JOINS:
                     self.joins.clear()
                 self.joins[tail, head] = self.library(tail), self.library(head), self.library(tail + head)
             a, b, both = self.joins[tail, head]
-            whole = len(tail) == len(left) and len(head) == len(right)
-            if whole:
-                return list(both)
-            stands = tuple(left_ids[len(left_ids) - len(a) :]) == a and tuple(right_ids[: len(b)]) == b
-            if stands and self._settled(a, b, both, words):
-                return left_ids[: len(left_ids) - len(a)] + list(both) + right_ids[len(b) :]
+            if len(tail) == len(left) and len(head) == len(right):
+                return both
+            if left_ids.endswith(a) and right_ids.startswith(b) and self._settled(a, b, both, words):
+                return left_ids[: len(left_ids) - len(a)] + both + right_ids[len(b) :]
             words *= 2
 
-    def _settled(self, a: tuple, b: tuple, both: tuple, words: int) -> bool:
+    def _settled(self, a: bytes, b: bytes, both: bytes, words: int) -> bool:
         """The join changes nothing; or the ids at both outer ends are those of the words apart."""
-        return a + b == both or words > 1 and bool(a and b and both) and both[0] == a[0] and both[-1] == b[-1]
+        return a + b == both or words > 1 and bool(a and b) and both[:ID] == a[:ID] and both[-ID:] == b[-ID:]
 
 
 def _last_words(data: bytes, words: int) -> bytes:
@@ -219,17 +234,17 @@ def encoder(source: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def encode(data: bytes, own: Encoder, shared: dict[int, tuple[bytes, tuple[int, ...]]]) -> list[int]:
+def encode(data: bytes, own: Encoder, shared: Shared) -> bytes:
     """The ids of a text: shared chunks are looked up, what lies between is encoded, joins are repaired."""
     places = cuts(data)
-    parts: list[tuple[bytes, list[int]]] = []
+    parts: list[tuple[bytes, bytes]] = []
     start = 0
     for a, b in zip(places, places[1:]):
         known = shared.get(_hash(data[a:b])) if shared and b - a <= CHUNK_BYTES else None
         if known and known[0] == data[a:b]:
             if a > start:
                 parts.append((data[start:a], own.piece(data[start:a])))
-            parts.append((data[a:b], list(known[1])))
+            parts.append(known)
             start = b
         elif b - start >= PIECE_BYTES:
             parts.append((data[start:b], own.piece(data[start:b])))
@@ -239,25 +254,25 @@ def encode(data: bytes, own: Encoder, shared: dict[int, tuple[bytes, tuple[int,
     return _joined(parts, own)
 
 
-def _joined(parts: list[tuple[bytes, list[int]]], own: Encoder) -> list[int]:
-    """Joins neighbours. A part that holds a whole word is an edge the next join cannot reach across, so it closes what is before."""
+def _joined(parts: list[tuple[bytes, bytes]], own: Encoder) -> bytes:
+    """Joins neighbours. Where words are apart, what stands before the last word of a part is closed."""
     if not parts:
-        return []
-    done: list[int] = []
+        return b""
+    done: list[bytes] = []
     left, ids = parts[0]
     for right, right_ids in parts[1:]:
         merged = own.join(left, ids, right, right_ids)
         if own.by_word and right.strip():
-            keep = len(own.piece(_last_words(right, 1)))
-            cut = len(merged) - keep
-            done += merged[:cut]
-            left, ids = _last_words(right, 1), merged[cut:]
+            left = _last_words(right, 1)
+            cut = len(merged) - len(own.piece(left))
+            done.append(merged[:cut])
+            ids = merged[cut:]
         else:
             left, ids = left + right, merged
-    return done + ids
+    return b"".join([*done, ids])
 
 
-def shared_chunks(docs: DataFrame, source: str, limit: int = SHARED_CHUNKS) -> dict[int, tuple[bytes, tuple[int, ...]]]:
+def shared_chunks(docs: DataFrame, source: str, limit: int = SHARED_CHUNKS) -> Shared:
     """Hash to (chunk, ids) of the chunks that stand in all documents at least twice and save most.
 
     Hashes are counted over all texts; only the kept hashes, their texts and ids reach the driver, within the bound above.
@@ -304,14 +319,14 @@ def shared_chunks(docs: DataFrame, source: str, limit: int = SHARED_CHUNKS) -> d
     def ids(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = encoder(tokenizer.value)
         made = [own.piece(c.as_py()) for c in batch.column(1)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], ["h", "chunk", "ids"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], ["h", "chunk", "ids"])
 
     chunks = docs.mapInArrow(fetch, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk"))
-    encoded = chunks.mapInArrow(ids, "h long, chunk binary, ids array<int>")
-    return {r["h"]: (bytes(r["chunk"]), tuple(r["ids"])) for r in encoded.collect()}
+    encoded = chunks.mapInArrow(ids, "h long, chunk binary, ids binary")
+    return {r["h"]: (bytes(r["chunk"]), bytes(r["ids"])) for r in encoded.collect()}
 
 
-def _map(docs: DataFrame, path: str, finish: Callable[[list[tuple[list[int], str]]], list[pa.Array]], fields: list[StructField]) -> DataFrame:
+def _map(docs: DataFrame, path: str, finish: Callable[[Iterator], list[pa.Array]], fields: list[StructField]) -> DataFrame:
     """``doc_id`` and the columns ``finish`` makes of the (ids, decoded text) of each batch."""
     docs = narrow(docs, "doc_id", "text")
     with open(path, encoding="utf-8") as file:
@@ -319,11 +334,12 @@ def _map(docs: DataFrame, path: str, finish: Callable[[list[tuple[list[int], str
     context = docs.sparkSession.sparkContext
     tokenizer, chunks = context.broadcast(source), context.broadcast(shared_chunks(docs, source))
 
-    def coded(column: pa.Array) -> Iterator[tuple[list[int], str]]:
+    def coded(column: pa.Array) -> Iterator[tuple[bytes, list[int], str, Encoder]]:
         own = encoder(tokenizer.value)
         for text in texts(column):
             ids = encode(encode_bytes(text), own, chunks.value)
-            yield ids, own.tokenizer.decode(ids, skip_special_tokens=False)
+            numbers = unpacked(ids)
+            yield ids, numbers, own.tokenizer.decode(numbers, skip_special_tokens=False), own
 
     @by_batch
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -332,6 +348,10 @@ def _map(docs: DataFrame, path: str, finish: Callable[[list[tuple[list[int], str
     return docs.mapInArrow(run, StructType([docs.schema["doc_id"], *fields]))
 
 
+def _sha256(text: str) -> str:
+    return hashlib.sha256(encode_bytes(text)).hexdigest()
+
+
 def coded(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, ids, decoded)`` for every row of ``docs(doc_id, text, ...)``; ``path`` is a tokenizers file the driver can read.
 
@@ -340,8 +360,13 @@ def coded(docs: DataFrame, path: str) -> DataFrame:
     empty table.
     """
     def finish(found) -> list[pa.Array]:
-        rows = list(found)
-        return [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())]
+        sizes, ids, decoded = [0], [], []
+        for own, _, text, _ in found:
+            ids.append(own)
+            sizes.append(sizes[-1] + len(own) // ID)
+            decoded.append(text)
+        numbers = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+        return [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), numbers), pa.array(decoded, pa.string())]
 
     return _map(docs, path, finish, [StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
 
@@ -350,8 +375,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: ``coded`` with its lists and texts digested in the same task."""
     def finish(found) -> list[pa.Array]:
         rows = [
-            (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(encode_bytes(decoded)).hexdigest())
-            for ids, decoded in found
+            (len(ids), _sha256(" ".join(map(own.digits.__getitem__, ids))), _sha256(decoded)) for _, ids, decoded, own in found
         ]
         return [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]]
 
