@@ -2,8 +2,9 @@
 
 For every node of a page: characters per tag, lowered where they stand in links. A node's density sum is that of its
 children; the subtree with the largest sum is the core of the text. The smallest density on the path from it to the body
-is the threshold: other subtrees that reach it give their own largest-sum subtree. What names itself a menu, header,
-footer, sidebar, notice, advert, form or reader comment has no characters in these sums and none in the text.
+is the threshold: other subtrees that reach it give their own largest-sum subtree, and so on inside them. An article element
+that holds a chosen subtree is taken whole. What names itself a menu, header, footer, sidebar, notice, advert, form or reader
+comment has no characters in these sums and none in the text.
 
 One page is read in one pass, linear in its length; pages are rows, so nothing is shuffled.
 """
@@ -238,17 +239,23 @@ def chosen(page: Page, gone: list[bool]) -> list[bool]:
             best[above] = best[node]
     core = best[0]
     threshold, at = density[core], page.parent[core]
-    path = [core]
     while at > 0:
-        path.append(at)
         threshold = min(threshold, density[at])
         at = page.parent[at]
-    article = [node for node in path if page.name[node] in ("article", "main")]
-    roots = {article[-1] if article else core}
-    on_path = set(path) | {0}
+    # A hint only: what is chosen inside an article takes the rest of that article along. A main element decides nothing.
+    article, children = [-1] * n, [[] for _ in range(n)]
     for node in range(1, n):
-        if page.parent[node] in on_path and node not in on_path and density[node] >= threshold > 0 and not article:
-            roots.add(best[node])
+        above = page.parent[node]
+        children[above].append(node)
+        article[node] = article[above] if article[above] >= 0 or page.name[node] != "article" else node
+    roots, tops = set(), [0]
+    while tops:
+        top = tops.pop()
+        at, below = best[top], -1
+        roots.add(article[at] if article[at] >= 0 else at)
+        while at != top:
+            at, below = page.parent[at], at
+            tops += [node for node in children[at] if node != below and density[node] >= threshold > 0]
     first = next((i for i, name in enumerate(page.name) if name == "h1" and not gone[i]), None)
     if first is not None and first < min(roots):
         roots.add(first)

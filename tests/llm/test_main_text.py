@@ -25,6 +25,20 @@ def test_without_article_element():
     assert M.main_text(page) == "\n".join(["Head", TEXT.strip(), "short.", TEXT.strip()])
 
 
+def test_sums_and_threshold_decide_beside_an_article():
+    part = f"<h2>Part</h2><p>{TEXT}</p><p>short.</p><p>{TEXT}</p>"
+    text = ["Part", TEXT.strip(), "short.", TEXT.strip()]
+    for kind in ("article", "div"):
+        for count in (2, 3):
+            assert M.main_text(f"<body><div>{f'<{kind}>{part}</{kind}>' * count}</div></body>") == "\n".join(text * count), (kind, count)
+    links = f"<ul>{'<li><a href=1>Another story</a></li>' * 9}</ul>"
+    apart = f"<div><article>{part}</article></div><div><article>{part}</article><article>{part}</article></div>"
+    assert M.main_text(f"<body><div>{apart}</div>{links}</body>") == "\n".join(text * 3)
+    assert M.main_text(f"<body><main><article>{part}</article>{links}</main></body>") == "\n".join(text)
+    more = f"<section><p>{TEXT}{TEXT}</p></section>"
+    assert M.main_text(f"<body><main><article>{part * 3}</article>{more}{links}</main></body>") == "\n".join([*text * 3, f"{TEXT}{TEXT}".strip()])
+
+
 def test_link_lists_have_low_density():
     page = M.parse(f"<body><div>{TEXT}</div><div><a>{TEXT}</a></div></body>")
     density = M.densities(page, [False] * len(page.name))
