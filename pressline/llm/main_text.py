@@ -47,10 +47,12 @@ NAMES = (
 HEADERS = ("header", "masthead", "topbar")
 _NAMED = re.compile(rf"(?:^|[-_ ])(?:{'|'.join(NAMES)})(?:$|[-_ ])")
 _HEADED = re.compile(rf"(?:^|[-_ ])(?:{'|'.join(HEADERS)})(?:$|[-_ ])")
+# What WordPress adds to an article for its topics says nothing about what the element is.
+_TOPIC = re.compile(r"^(?:category|tag|post_tag)-")
 _LAYOUT = re.compile(r"^(?:has|no|with|without|is|hide|show)[-_]|[-_](?:layout|wrapper|page|content|main)$")
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-_ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
+_ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 
@@ -73,7 +75,7 @@ KEPT, GONE, UNLESS_ARTICLE = 0, 1, 2
 def _drop(name: str, attributes: str, in_article: bool) -> int:
     if name in NEVER:
         return GONE
-    if name in ("html", "body", "article", "main"):
+    if name in ("html", "body", "main"):
         return KEPT
     if name == "header":
         return KEPT if in_article else UNLESS_ARTICLE
@@ -82,11 +84,17 @@ def _drop(name: str, attributes: str, in_article: bool) -> int:
     for found in _ATTRIBUTE.finditer(attributes):
         key, value = found[1].lower(), (found[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
+            if name == "article":
+                continue
             return GONE
+        if key == "itemprop" and value == "comment":
+            return UNLESS_ARTICLE
         if key == "role" and value in ROLES and not (in_article and value == "banner"):
             return UNLESS_ARTICLE
         if key in ("class", "id"):
             for one in value.split():
+                if name == "article" and _TOPIC.search(one):
+                    continue
                 if not _LAYOUT.search(one) and (_NAMED.search(one) or not in_article and _HEADED.search(one)):
                     return UNLESS_ARTICLE
     return KEPT
@@ -175,17 +183,58 @@ def parse(text: str) -> Page:
     return page
 
 
+def _below(page: Page, dropped: list[bool]) -> list[bool]:
+    """Whether a node or one above it is dropped."""
+    gone = [False] * len(dropped)
+    for node in range(1, len(dropped)):
+        gone[node] = dropped[node] or gone[page.parent[node]]
+    return gone
+
+
+def _above(page: Page, node: int) -> set[int]:
+    """A node and all that hold it."""
+    found = set()
+    while node >= 0:
+        found.add(node)
+        node = page.parent[node]
+    return found
+
+
+def _article(page: Page) -> int:
+    """The article or main element with the largest density sum in it; 0 if there is none.
+
+    An article that names itself something else counts only where no other is. What such names hold counts for an article in
+    it, not for a main element around it.
+    """
+    n, how = len(page.name), page.dropped
+    named = [how[node] == UNLESS_ARTICLE for node in range(n)]
+    other = [named[node] and page.name[node] == "article" for node in range(n)]
+    gone = _below(page, [how[node] == GONE or other[node] for node in range(n)])
+    articles = [node for node in range(n) if page.name[node] == "article" and not gone[node]]
+    mains = [node for node in range(n) if page.name[node] == "main" and not gone[node]]
+    if not articles:
+        gone = _below(page, [how[node] == GONE for node in range(n)])
+        articles = [node for node in range(n) if page.name[node] == "article" and not gone[node]]
+    found, most = 0, -1.0
+    if articles:
+        _, sums, best = _sums(page, gone)
+        found = max(articles, key=lambda node: sums[best[node]])
+        most = sums[best[found]]
+    if mains:
+        _, sums, best = _sums(page, _below(page, [how[node] == GONE or named[node] and page.inside_article[page.parent[node]] for node in range(n)]))
+        main = max(mains, key=lambda node: sums[best[node]])
+        if sums[best[main]] > most:
+            found = main
+    return found
+
+
 def _gone(page: Page) -> list[bool]:
     """Whether a node is no main text: it or one above it is dropped and does not hold the article."""
-    n = len(page.name)
-    holds = [name in ("article", "main") for name in page.name]
-    for node in range(n - 1, 0, -1):
-        holds[page.parent[node]] |= holds[node]
-    gone = [False] * n
-    for node in range(1, n):
-        how = page.dropped[node]
-        gone[node] = gone[page.parent[node]] or how == GONE or how == UNLESS_ARTICLE and not holds[node]
-    return gone
+    gone = _below(page, [how != KEPT for how in page.dropped])
+    if not any(gone[node] and name in ("article", "main") for node, name in enumerate(page.name)):
+        return gone
+    holds = _above(page, _article(page))
+    return _below(page, [how == GONE or how == UNLESS_ARTICLE and node not in holds for node, how in enumerate(page.dropped)])
 
 
 def densities(page: Page, gone: list[bool]) -> list[float]:
@@ -219,8 +268,8 @@ def densities(page: Page, gone: list[bool]) -> list[float]:
     return found
 
 
-def chosen(page: Page, gone: list[bool]) -> list[bool]:
-    """Whether a node is in the main text."""
+def _sums(page: Page, gone: list[bool]) -> tuple[list[float], list[float], list[int]]:
+    """Densities, density sums, and the node with the largest sum in the subtree of every node."""
     n = len(page.name)
     density = densities(page, gone)
     sums, best = [0.0] * n, list(range(n))
@@ -237,6 +286,13 @@ def chosen(page: Page, gone: list[bool]) -> list[bool]:
         above = page.parent[node]
         if sums[best[node]] > sums[best[above]]:
             best[above] = best[node]
+    return density, sums, best
+
+
+def chosen(page: Page, gone: list[bool]) -> list[bool]:
+    """Whether a node is in the main text."""
+    n = len(page.name)
+    density, _, best = _sums(page, gone)
     core = best[0]
     threshold, at = density[core], page.parent[core]
     while at > 0:

@@ -39,6 +39,22 @@ def test_sums_and_threshold_decide_beside_an_article():
     assert M.main_text(f"<body><main><article>{part * 3}</article>{more}{links}</main></body>") == "\n".join([*text * 3, f"{TEXT}{TEXT}".strip()])
 
 
+def test_articles_that_are_comments_or_teasers():
+    comments = "".join(f"<article class=comment id=c{i}><p>{TEXT}</p></article>" for i in range(4))
+    teasers = f"<article><h3>Other</h3><p>{TEXT}</p></article>" * 3
+    inner = f"<h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p>"
+    story = f"<article class='post category-social'>{inner}</article>"
+    text = "\n".join(["Head", TEXT.strip(), TEXT.strip()])
+    assert M.main_text(f"<body><main>{story}<div id=comments>{comments}</div></main></body>") == text
+    assert M.main_text(f"<body><main>{story}<section>{comments}</section></main></body>") == text
+    assert M.main_text(f"<body><main>{story}<div class=related>{teasers}</div></main></body>") == text
+    assert M.main_text(f"<body><article>{inner}<section><article itemprop=comment><p>{TEXT}</p></article></section></article></body>") == text
+    # The article itself may stand in something named, or be named.
+    assert M.main_text(f"<body><div class=widget>{story}</div><div class=related>{teasers}</div></body>") == text
+    assert M.main_text(f"<body><main>{story.replace('post', 'social-story')}</main></body>") == text
+    assert M.main_text(f"<body><div class=overlay><main>{inner}<div class=related>{teasers[: len(teasers) // 3]}</div></main></div></body>") == text
+
+
 def test_link_lists_have_low_density():
     page = M.parse(f"<body><div>{TEXT}</div><div><a>{TEXT}</a></div></body>")
     density = M.densities(page, [False] * len(page.name))
