@@ -36,7 +36,10 @@ CLOSES = {
     "option": ("option", frozenset(("select",))),
 }
 # What is never main text, by element, role and name.
-NEVER = frozenset("nav footer aside form button select option input fieldset dialog menu head audio video map label".split())
+NEVER = frozenset("nav footer aside button select option input menu head audio video map".split())
+# Never but around the article; forms not around the largest density sum either.
+FORMS = ("form", "fieldset")
+WRAPS = (*FORMS, "dialog", "label")
 ROLES = frozenset("navigation contentinfo complementary search dialog alertdialog alert menu menubar toolbar banner form".split())
 NAMES = (
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
@@ -68,8 +71,8 @@ class Page:
     inside_article: list[bool] = field(default_factory=lambda: [False])
 
 
-# How a node is dropped: never, with all below it, or unless the article stands below it.
-KEPT, GONE, UNLESS_ARTICLE = 0, 1, 2
+# How a node is dropped: never, with all below it, unless the article stands below it, or unless that or the core does.
+KEPT, GONE, UNLESS_ARTICLE, UNLESS_CORE = 0, 1, 2, 3
 
 
 def _drop(name: str, attributes: str, in_article: bool) -> int:
@@ -79,8 +82,9 @@ def _drop(name: str, attributes: str, in_article: bool) -> int:
         return KEPT
     if name == "header":
         return KEPT if in_article else UNLESS_ARTICLE
+    plain = KEPT if name not in WRAPS else UNLESS_CORE if name in FORMS else UNLESS_ARTICLE
     if not attributes:
-        return KEPT
+        return plain
     for found in _ATTRIBUTE.finditer(attributes):
         key, value = found[1].lower(), (found[2] or "").strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
@@ -89,7 +93,7 @@ def _drop(name: str, attributes: str, in_article: bool) -> int:
             return GONE
         if key == "itemprop" and value == "comment":
             return UNLESS_ARTICLE
-        if key == "role" and value in ROLES and not (in_article and value == "banner"):
+        if key == "role" and value in ROLES and not (in_article and value == "banner" or name == value == "form"):
             return UNLESS_ARTICLE
         if key in ("class", "id"):
             for one in value.split():
@@ -97,7 +101,7 @@ def _drop(name: str, attributes: str, in_article: bool) -> int:
                     continue
                 if not _LAYOUT.search(one) and (_NAMED.search(one) or not in_article and _HEADED.search(one)):
                     return UNLESS_ARTICLE
-    return KEPT
+    return plain
 
 
 def parse(text: str) -> Page:
@@ -229,12 +233,23 @@ def _article(page: Page) -> int:
 
 
 def _gone(page: Page) -> list[bool]:
-    """Whether a node is no main text: it or one above it is dropped and does not hold the article."""
+    """Whether a node is no main text: it or one above it is dropped and does not hold the article, nor, as a form, the core."""
     gone = _below(page, [how != KEPT for how in page.dropped])
-    if not any(gone[node] and name in ("article", "main") for node, name in enumerate(page.name)):
+    wrapped = any(gone[node] and name in ("article", "main") for node, name in enumerate(page.name))
+    if not wrapped and UNLESS_CORE not in page.dropped:
         return gone
-    holds = _above(page, _article(page))
-    return _below(page, [how == GONE or how == UNLESS_ARTICLE and node not in holds for node, how in enumerate(page.dropped)])
+    holds = _above(page, _article(page)) if wrapped else set()
+    if UNLESS_CORE in page.dropped:
+        # What holds both the form and other text has both in its sum, so the form is also held against the page without forms.
+        forms = [node for node, how in enumerate(page.dropped) if how == UNLESS_CORE]
+        _, sums, best = _sums(page, _below(page, [
+            how == GONE or how == UNLESS_ARTICLE and node not in holds for node, how in enumerate(page.dropped)]))
+        _, rest, elsewhere = _sums(page, _below(page, [
+            how == GONE or how != KEPT and node not in holds for node, how in enumerate(page.dropped)]))
+        in_form = best[max(forms, key=lambda node: sums[best[node]])]
+        core = in_form if sums[in_form] > rest[elsewhere[0]] else best[0]
+        holds |= _above(page, core).intersection(forms)
+    return _below(page, [how == GONE or how != KEPT and node not in holds for node, how in enumerate(page.dropped)])
 
 
 def densities(page: Page, gone: list[bool]) -> list[float]:

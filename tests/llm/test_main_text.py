@@ -55,6 +55,22 @@ def test_articles_that_are_comments_or_teasers():
     assert M.main_text(f"<body><div class=overlay><main>{inner}<div class=related>{teasers[: len(teasers) // 3]}</div></main></div></body>") == text
 
 
+def test_page_in_a_form():
+    search, login = "<form action=/s><input><p>Search here</p></form>", f"<form class=login><p>{TEXT}{TEXT}{TEXT}</p></form>"
+    form = "<form method=post action=./p.aspx id=form1 runat=server role=form>"
+    inner = f"<h1>Head</h1><p>{TEXT}</p><select><option>no</select><p>{TEXT}</p>"
+    text = "\n".join(["Head", TEXT.strip(), TEXT.strip()])
+    for kind in ("article", "main", "div", "section"):
+        page = f"<nav><a href=/>Home</a></nav><{kind}>{inner}{login}</{kind}><div id=comments><p>{TEXT}</p></div><footer>x</footer>"
+        assert M.main_text(f"<body>{form}{page}</form></body>") == text, kind
+        assert M.main_text(f"<body>{search}{form}<fieldset>{page}</fieldset></form></body>") == text, kind
+        assert M.main_text(f"<body>{search}{page}{search}</body>") == text, kind
+    assert M.main_text(f"<body><h1>Head</h1><form><p>{TEXT}</p></form></body>") == f"Head\n{TEXT.strip()}"
+    for kind in ("dialog", "label"):
+        assert M.main_text(f"<body><{kind}><article>{inner}</article></{kind}></body>") == text
+        assert M.main_text(f"<body><div>{inner}</div><{kind}><p>{TEXT}{TEXT}{TEXT}</p></{kind}></body>") == text
+
+
 def test_link_lists_have_low_density():
     page = M.parse(f"<body><div>{TEXT}</div><div><a>{TEXT}</a></div></body>")
     density = M.densities(page, [False] * len(page.name))
