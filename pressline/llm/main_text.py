@@ -54,7 +54,11 @@ _HEADED = re.compile(rf"(?:^|[-_ ])(?:{'|'.join(HEADERS)})(?:$|[-_ ])")
 _TOPIC = re.compile(r"^(?:category|tag|post_tag)-")
 _LAYOUT = re.compile(r"^(?:has|no|with|without|is|hide|show)[-_]|[-_](?:layout|wrapper|page|content|main)$")
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+# A quote opens a value only after "="; one that is not closed is a plain character.
+_PART = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)"""
+_TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*)({_PART}*+)>")
+_OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_NEXT_PART = re.compile(_PART)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
@@ -104,9 +108,31 @@ def _drop(name: str, attributes: str, in_article: bool) -> int:
     return plain
 
 
+def _tag_end(text: str, at: int, endless: set[int]) -> int:
+    """The ">" of the tag whose attributes begin at ``at``; the next one at all if quotes hide it, -1 if there is none.
+
+    ``endless`` keeps from where no end was found, so that a page is not read to its end again for each such tag.
+    """
+    seen, first = [], at
+    while at not in endless:
+        if text[at : at + 1] == ">":
+            return at
+        seen.append(at)
+        part = _NEXT_PART.match(text, at)
+        if part is None:
+            break
+        at = part.end()
+    endless.update(seen)
+    return text.find(">", first)
+
+
 def parse(text: str) -> Page:
-    """Reads a page once. End tags that close nothing are passed over; an unclosed comment, script or tag takes the rest."""
+    """Reads a page once. End tags that close nothing are passed over; an unclosed comment or script takes the rest.
+
+    A tag that does not close because of its quotes ends at the next ">"; without one it takes the rest.
+    """
     page, stack, open_ = Page(), [0], {}
+    endless: set[int] = set()
     content = page.content
 
     def close(depth: int) -> None:
@@ -146,14 +172,18 @@ def parse(text: str) -> Page:
             end = text.find(">", lower)
             at = size if end < 0 else end + 1
             continue
-        tag = _TAG.match(text, lower)
+        tag = None if endless else _TAG.match(text, lower)
+        at, attributes = (tag.end(), tag[3]) if tag else (lower + 1, "")
         if tag is None:
-            if follows.isalpha() and follows.isascii() or follows == "/" and text[lower + 2 : lower + 3].isalpha():
+            tag = _OPEN_TAG.match(text, lower)
+            if tag is None:
+                content.append((stack[-1], "<"))
+                continue
+            end = _tag_end(text, tag.end(), endless)
+            if end < 0:
                 break
-            content.append((stack[-1], "<"))
-            at = lower + 1
-            continue
-        at, name = tag.end(), tag[2].lower()
+            at, attributes = end + 1, text[tag.end() : end]
+        name = tag[2].lower()
         if tag[1]:
             if open_.get(name):
                 depth = len(stack) - 1
@@ -180,8 +210,8 @@ def parse(text: str) -> Page:
         page.parent.append(above)
         inside = page.inside_article[above] or name in ("article", "main")
         page.inside_article.append(inside)
-        page.dropped.append(_drop(name, tag[3], page.inside_article[above]))
-        if name not in VOID and not tag[3].endswith("/") or name in BLOCK - VOID:
+        page.dropped.append(_drop(name, attributes, page.inside_article[above]))
+        if name not in VOID and not attributes.endswith("/") or name in BLOCK - VOID:
             stack.append(node)
             open_[name] = open_.get(name, 0) + 1
     return page

@@ -71,6 +71,26 @@ def test_page_in_a_form():
         assert M.main_text(f"<body><div>{inner}</div><{kind}><p>{TEXT}{TEXT}{TEXT}</p></{kind}></body>") == text
 
 
+def test_stray_quotes_in_tags():
+    assert M.main_text("<p title=it's>Hello world</p><p>more</p>") == "Hello world\nmore"
+    assert M.main_text("<p title=it's>Hello don't</p><p>more</p>") == "Hello don't\nmore"
+    assert M.main_text("""<p><a href="x" title="5" screen">link</a> text</p><p>it"s more</p>""") == 'link text\nit"s more'
+    assert M.main_text("<p title = 'a > b' x=\"c > d\" y=/?a='>x</p>") == "x"
+    assert M.main_text("""<p>a</p><p title="b>c</p><p>d</p>""") == "a\nc\nd"
+    assert M.main_text("""<p>a</p><p title="b>c</p><p>d "quoted" words</p>z""") == "a\nz"
+    assert M.main_text("""<p>a</p><p title="b>c" d""") == 'a\nc" d'
+    assert M.main_text("<p>kept</p><p title=never") == "kept"
+
+    def seconds(n: int) -> float:
+        start = time.process_time()
+        for part in ("<a b='>'", "<p title=it's>x", '<a b="c>d', "<a b='x\">' c=\"'>\"", "<a =\"'", "<a b= c=\"'>"):
+            M.main_text(part * n)
+        return time.process_time() - start
+
+    seconds(2000)
+    assert seconds(40_000) < 12 * max(seconds(8_000), 0.05)
+
+
 def test_link_lists_have_low_density():
     page = M.parse(f"<body><div>{TEXT}</div><div><a>{TEXT}</a></div></body>")
     density = M.densities(page, [False] * len(page.name))
