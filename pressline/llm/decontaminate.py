@@ -4,8 +4,8 @@ Shards are runs of documents within a task; texts are never shuffled. Words outs
 part of a phrase, so a run of them is one separator symbol in the index. Phrases are found by backward search on wavelet
 ranks, located by sampled suffix positions and merged to removal spans.
 
-The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text (one broadcast each). Blocks follow each other within
-the same tasks, each adding to the spans of the block before it.
+The benchmark is taken in blocks of about ``BLOCK_BYTES`` of text, longer items in pieces. One block at a time passes the
+driver and is broadcast; with more than one, what each block finds is written below the shared folder and merged at the end.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from pressline.llm.fm_index import FmIndex
-from pressline.llm.frames import by_whole_batch, free_name, narrow, plus, texts
+from pressline.llm.frames import by_whole_batch, free_name, narrow, stored, texts
+from pressline.session import work_folder
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
@@ -141,7 +143,7 @@ def _spans(hits: np.ndarray, n_rows: int) -> pa.ListArray:
 
 
 def _earlier(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[list]]:
-    """Hit words and items that earlier blocks left in the last two columns of a batch."""
+    """Hit words and items that blocks left in the last two columns of a batch."""
     spans, items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
     hits = []
     for row, own in enumerate(spans):
@@ -185,43 +187,90 @@ def _find(texts_: Iterator[str | None], ids: list, phrases: Phrases, hits: list[
     return Found(np.array(n_words, np.int64), _unique(shard.hits + hits), lists)
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, block_bytes: int, finish, schema: StructType) -> DataFrame:
-    """One pass over ``docs`` per block; ``finish(batch, found)`` makes the rows of the last one."""
-    place, parts = docs.columns.index("text"), blocks(benchmark, block_bytes)
-    carried = plus(docs, (free_name(docs, "spans"), SPANS), (free_name(docs, "items"), ArrayType(StringType())))
-    made = docs
-    for k, (ids, items) in enumerate(parts):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, Phrases.of(items)))
-        made = made.mapInArrow(_one_block(shared, place, k == 0, finish if k == len(parts) - 1 else None),
-                               schema if k == len(parts) - 1 else carried)
-    return made
+def _one_pass(docs: DataFrame, block: tuple[list, list], finish, schema: StructType) -> tuple[DataFrame, Broadcast]:
+    """``docs`` searched for one block; ``finish(batch, found)`` makes the rows. The broadcast must live as long as they are read."""
+    ids, items = block
+    shared, place = docs.sparkSession.sparkContext.broadcast((ids, Phrases.of(items))), docs.columns.index("text")
 
-
-def _one_block(shared, place: int, first: bool, finish):
     @by_whole_batch
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, phrases = shared.value
-        hits, items = ([], []) if first else _earlier(batch)
-        found = _find(texts(batch.column(place)), ids, phrases, hits, items)
-        own = batch if first else batch.select(range(batch.num_columns - 2))
-        if finish:
-            return finish(own, found)
-        return own.append_column("spans", found.spans()).append_column("items", found.item_lists())
+        return finish(batch, _find(texts(batch.column(place)), ids, phrases, [], []))
+
+    return docs.mapInArrow(run, schema), shared
+
+
+def _pieces(benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    """``(id, text)`` of the items that have a text; one of more than a block in pieces that overlap by a window less one word."""
+    items = narrow(benchmark, "item_id", "text").where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = pa.array(pieces(batch.column(1)[i].as_py(), block_bytes), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(parts), pa.string()), parts], ["id", "text"])
 
-    return run
+    return items.mapInArrow(run, "id string, text string")
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[tuple[list, list]]:
-    """The benchmark as ``(ids, texts)`` lists, dealt by a hash of the id; each block is about ``block_bytes`` of text."""
+def pieces(text: str, most_bytes: int) -> list[str]:
+    """A text in pieces of about ``most_bytes``, so that each window of words is in one of them."""
+    own = words(text) if len(text.encode("utf-8", "surrogatepass")) > most_bytes else []
+    if len(own) <= WINDOW:
+        return [text]
+    found, first, size = [], 0, 0
+    for k, word in enumerate(own):
+        if size + len(word) + 1 > most_bytes and k - first >= WINDOW:
+            found.append(own[first:k])
+            first = k - WINDOW + 1
+            size = sum(len(w) + 1 for w in own[first:k])
+        size += len(word) + 1
+    return [b" ".join(part).decode("utf-8", "surrogatepass") for part in [*found, own[first:]]]
+
+
+def dealt(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """``(id, text, b)`` and the number of blocks ``b``; pieces are dealt by a hash, a block is about ``block_bytes`` of text."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    dealt = narrow(benchmark, "item_id", "text").where("text IS NOT NULL")
-    dealt = dealt.select(F.col("item_id").cast("string").alias("id"), "text", F.expr(f"pmod(xxhash64(item_id, text), {n})").alias("b"))
-    found = []
+    if size <= block_bytes:
+        return _pieces(benchmark, block_bytes).withColumn("b", F.lit(0)), 1
+    parts = stored(_pieces(benchmark, block_bytes), "benchmark-pieces")
+    n = -(-(parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
+    return parts.withColumn("b", F.expr(f"pmod(xxhash64(id, text), {n})")), n
+
+
+def _block(parts: DataFrame, b: int) -> tuple[list, list]:
+    rows = parts.where(F.col("b") == b).select("id", "text").collect()
+    return [r["id"] for r in rows], [r["text"] for r in rows]
+
+
+def _by_block(numbered: DataFrame, row: str, parts: DataFrame, n: int, finish, schema: StructType) -> DataFrame:
+    """The rows ``finish(batch, found)`` makes of ``(row, spans, items)`` for what any block finds; a text without hits has no row."""
+    read = numbered.select(F.col(f"`{row}`").alias("row"), "text")
+    folder = work_folder(read.sparkSession, "benchmark-hits")
+    hit = StructType([StructField("row", LongType()), StructField("n", LongType()), StructField("spans", SPANS),
+                      StructField("items", ArrayType(StringType()))])
+
+    def keep(batch: pa.RecordBatch, found: Found) -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(found.n_words), found.spans(), found.item_lists()], ["row", "n", "spans", "items"])
+        return made.filter(pa.array(found.n_hit() > 0))
+
     for b in range(n):
-        rows = dealt.where(F.col("b") == b).select("id", "text").collect()
-        found.append(([r["id"] for r in rows], [r["text"] for r in rows]))
-    return found
+        made, shared = _one_pass(read, _block(parts, b), keep, hit)
+        made.write.parquet(f"{folder}/b={b}")
+        shared.destroy()
+    hits = read.sparkSession.read.schema(hit).parquet(*[f"{folder}/b={b}" for b in range(n)])
+    whole = hits.groupBy("row").agg(
+        F.max("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+
+    @by_whole_batch
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places, items = _earlier(batch)
+        return finish(batch, Found(batch.column(1).to_numpy(), _unique(places), items))
+
+    return whole.mapInArrow(merge, schema)
 
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -239,11 +288,23 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
             [batch.column(0), pa.array(found.n_words), found.spans(), found.item_lists()], ["doc_id", "n_words", "spans", "items"]
         )
 
-    schema = StructType([
-        docs.schema["doc_id"], StructField("n_words", LongType()), StructField("spans", SPANS),
-        StructField("items", ArrayType(StringType())),
-    ])
-    return _search(docs, benchmark, block_bytes, finish, schema)
+    found = [StructField("n_words", LongType()), StructField("spans", SPANS), StructField("items", ArrayType(StringType()))]
+    schema = StructType([docs.schema["doc_id"], *found])
+    parts, n = dealt(benchmark, block_bytes)
+    if n == 1:
+        return _one_pass(docs, _block(parts, 0), finish, schema)[0]
+    numbered = stored(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate-docs")
+    hits = _by_block(numbered, "row", parts, n, finish, StructType([StructField("doc_id", LongType()), *found]))
+    hits = hits.select(F.col("doc_id").alias("row"), "spans", "items")
+
+    @by_whole_batch
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = pa.array([len(words(t)) for t in texts(batch.column(1))], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), made, batch.column(2)], ["doc_id", "n_words", "row"])
+
+    counted = numbered.mapInArrow(count, StructType([docs.schema["doc_id"], found[0], StructField("row", LongType())]))
+    none = [F.coalesce(F.col(f.name), F.array().cast(f.dataType)).alias(f.name) for f in found[1:]]
+    return counted.join(hits, "row", "left").select("doc_id", "n_words", *none)
 
 
 def n_hit(spans: str = "spans") -> F.Column:
@@ -261,4 +322,13 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least_percent: int =
         hit = found.n_hit()
         return batch.filter(pa.array((hit == 0) | (100 * hit < least_percent * found.n_words)))
 
-    return _search(docs, benchmark, block_bytes, finish, docs.schema)
+    def refuse(batch: pa.RecordBatch, found: Found) -> pa.RecordBatch:
+        return batch.select([0]).filter(pa.array(100 * found.n_hit() >= least_percent * found.n_words))
+
+    parts, n = dealt(benchmark, block_bytes)
+    if n == 1:
+        return _one_pass(docs, _block(parts, 0), finish, docs.schema)[0]
+    row = free_name(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-docs")
+    refused = _by_block(numbered, row, parts, n, refuse, StructType([StructField("row", LongType())]))
+    return numbered.join(refused, numbered[row] == refused["row"], "left_anti").drop(row)

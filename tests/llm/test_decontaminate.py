@@ -102,3 +102,29 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in D.removal_spans(docs, none).collect()] == [(1, 2, [], [])]
     assert D.removal_spans(docs.limit(0), none).collect() == []
     assert D.clean_documents(docs, none).count() == 1
+
+
+def test_one_block_at_a_time_on_the_driver(spark, monkeypatch):
+    docs, items = data(5)
+    words = " ".join(f"w{i % 7}{i % 11}{i % 13}" for i in range(200))
+    items.append((30, words))
+    docs += [(60, " ".join(words.split()[40:90])), (61, words)]
+    frame, bench = spark.createDataFrame([(i, t, "s", 1, "n") for i, t in docs], SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    whole, sizes, make = D.removal_spans(frame, bench).collect(), [], D.Phrases.of
+    clean = D.clean_documents(frame, bench).collect()
+    monkeypatch.setattr(D.Phrases, "of", staticmethod(lambda parts: sizes.append([len(t) for t in parts]) or make(parts)))
+    freed, destroy = [], D.Broadcast.destroy
+    monkeypatch.setattr(D.Broadcast, "destroy", lambda self, *a: freed.append(len(sizes)) or destroy(self, *a))
+    parts = D.removal_spans(frame, bench, 400)
+    assert len(sizes) > 2 and freed == list(range(1, len(sizes) + 1))
+    assert max(n for block in sizes for n in block) <= 400
+    assert sorted(map(repr, parts.collect())) == sorted(map(repr, whole))
+    assert sorted(map(repr, D.clean_documents(frame, bench, block_bytes=400).collect())) == sorted(map(repr, clean))
+
+
+def test_pieces_hold_every_window():
+    own = [f"w{i}" for i in range(100)]
+    for most in (1, 60, 200, 10_000):
+        parts = [p.split() for p in D.pieces(" ".join(own), most)]
+        windows = [tuple(p[i : i + 13]) for p in parts for i in range(len(p) - 12)]
+        assert windows == [tuple(own[i : i + 13]) for i in range(88)] and min(map(len, parts)) >= 13
