@@ -7,6 +7,8 @@ spread between hosts, so that a host with few documents is not judged by them al
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -120,11 +122,14 @@ def beta_prior(hosts: DataFrame, failed: str) -> tuple[float, float]:
 
 
 def host_verdicts(judged: DataFrame, host: str, counted: str, limits: Limits) -> DataFrame:
-    """``(host, n_docs, <rule>_rate..., host_kept)`` from one row per document; null hosts are one host of their own.
+    """``(host, n_docs, <rule>_rate..., any_rule_rate, host_kept)`` from one row per document; null hosts are one host of their own.
+
+    ``any_rule`` counts the documents that fail one rule or more, so junk of several kinds adds up.
 
     Sums are partial before the shuffle, so a host with a third of all rows is a few rows in it.
     """
     checks = rules(counted, limits)
+    checks["any_rule"] = reduce(or_, checks.values())
     sums = stored(
         judged.groupBy(F.col(f"`{host}`").alias("host")).agg(
             F.count("*").alias("n_docs"), *[F.sum(c.cast("long")).alias(name) for name, c in checks.items()]
@@ -144,7 +149,7 @@ def judge(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> D
     """``(doc_id, <counts>, base_failed, kept)`` for every row of ``docs(doc_id, text, <host>, ...)``.
 
     A null or empty text counts 0 words and so fails. A document stays if it passes the base rules and its host is kept; a
-    host is refused if the shrunk rate of any rule reaches ``host_rate``. Repeated rows keep one row each; an empty table
+    host is refused if the shrunk rate of a rule, or of documents that fail any rule, reaches ``host_rate``. Repeated rows keep one row each; an empty table
     gives an empty table.
     """
     counted = stored(with_counts(narrow(docs, "doc_id", host, "text").withColumnRenamed(host, "host"), "c", "doc_id", "host"),

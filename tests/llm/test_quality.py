@@ -53,6 +53,23 @@ def test_hosts_decide_and_small_hosts_are_shrunk(spark):
     assert quality.judge(documents(spark)).count() == documents(spark).count()
 
 
+def mixed_hosts(spark):
+    good = " ".join(f"w{i}" for i in range(40))
+    symbols, lines = f"{good} " + "#" * 40, "\n".join([good, *["one line"] * 6])
+    table = [(i, good, "good", "x", 1, "h", "b") for i in range(100)]
+    table += [(200 + i, (symbols, lines)[i % 2] if i < 58 else good, "mixed", "x", 1, "h", "b") for i in range(60)]
+    table += [(300 + i, (symbols, lines)[i % 2] if i < 20 else good, "mostly clean", "x", 1, "h", "b") for i in range(60)]
+    return spark.createDataFrame(table, SCHEMA)
+
+
+def test_junk_of_several_kinds_adds_up(spark):
+    docs = mixed_hosts(spark)
+    judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert not any(r["base_failed"] for r in judged.values())
+    assert {i for i, r in judged.items() if not r["kept"]} == set(range(200, 260))
+    assert {r["source"] for r in quality.kept_documents(docs).select("source").collect()} == {"good", "mostly clean"}
+
+
 def test_kept_documents_are_those_judged_kept(spark):
     docs = documents(spark)
     kept = quality.kept_documents(docs)
