@@ -12,7 +12,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressline.llm import bpe, chat, decontaminate, langid, licenses, main_text, quality, simhash, sql, url_filter, warc
+from pressline.llm import (
+    bpe, chat, decontaminate, langid, licenses, main_text, merkle, quality, secrets, simhash, spelling, sql, url_filter, warc,
+)
 from pressline.llm.frames import table
 
 Runner = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +98,29 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predictions(table(spark, folder, "documents"))
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    found = merkle.manifest(table(spark, folder, "documents"), merkle.without_line_ends())
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """A source is an owner, its documents in one language a repository."""
+    repository = F.to_json(F.struct("source", "lang"))
+    found = secrets.scan(table(spark, folder, "documents"), repository, F.col("source"))
+    base = secrets.base_only(F.col("spans"))
+    return found.select(
+        "doc_id", *[secrets.of_kind(base, kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+        *[secrets.with_verdict(F.col("spans"), verdict).alias(f"n_{verdict}") for verdict in ("live", "copied")],
+    )
+
+
 QUERIES: dict[str, Runner] = {
     "op1_simhash": op1_simhash,
     "op2_licenses": op2_licenses,
@@ -107,6 +132,9 @@ QUERIES: dict[str, Runner] = {
     "op8_chat": op8_chat,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
+    "op11_spelling": op11_spelling,
+    "op12_merkle": op12_merkle,
+    "op13_secrets": op13_secrets,
 }
 
 # The others have no SQL: hashes, archives' dictionaries, models and tokenizers are no part of it.
@@ -117,4 +145,7 @@ SQL: dict[str, str] = {
     "op5_decontaminate": sql.decontaminate_sql(),
     "op6_warc": sql.warc_sql(),
     "op8_chat": sql.chat_sql(),
+    "op11_spelling": sql.spelling_sql(),
+    "op12_merkle": sql.merkle_sql(),
+    "op13_secrets": sql.secrets_sql(),
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pressline.llm import chat, decontaminate, licenses, quality
+from pressline.llm import chat, decontaminate, licenses, merkle, quality, secrets, spelling
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -183,3 +183,140 @@ g AS (
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
   chars::BIGINT AS formatted_chars FROM g
 """
+
+
+# The table of the CRC-32 by bytes, from its polynomial.
+CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text below U+0100 in UTF-8; ``crc`` is the table above."""
+    codes = f"""flatten(list_transform(string_split({text}, ''), lambda x:
+      CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [194 + (unicode(x)::BIGINT >> 6 & 1), 128 + (unicode(x)::BIGINT & 63)] END))"""
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def spelling_sql() -> str:
+    return rf"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+r AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  GROUP BY ALL
+),
+h AS (SELECT run, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM r, t WHERE length(run) >= {spelling.MIN_LENGTH}),
+v AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % {spelling.DROP_EVERY} = 0 THEN substr(run, 1, h % length(run)) || substr(run, 2 + h % length(run)) ELSE run END AS word
+    FROM h
+  ) WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}
+),
+x AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT x.word, v.word AS near, v.n AS near_n FROM x JOIN v ON x.less = v.word
+  UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.less = v.word
+  UNION SELECT a.word, b.word, b.n FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+),
+best AS (
+  SELECT *, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1
+),
+j AS (
+  SELECT v.word, CASE WHEN near_n >= {spelling.RATIO} * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN near_n >= {spelling.RATIO} * n THEN near_n END AS form_n
+  FROM v LEFT JOIN best USING (word)
+),
+chain(word, root, form) AS (
+  SELECT word, word, form FROM j UNION ALL SELECT chain.word, j.word, j.form FROM chain JOIN j ON chain.form = j.word
+)
+SELECT j.word, j.form, root, n, n_near::BIGINT AS n_near, form_n FROM j JOIN chain ON chain.word = j.word AND chain.form IS NULL
+"""
+
+
+def merkle_sql() -> str:
+    k = merkle.FANOUT
+
+    def leaf(text: str) -> str:
+        parts = [text if c == "text" else c for c in merkle.FIELDS]
+        return "sha256(" + " || ".join(f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR, '-')" for x in parts) + ")"
+
+    def grown(lists: str) -> str:
+        """Lists of digests level by level, ending with one."""
+        return f"""SELECT tree, 0 AS level, l FROM {lists} UNION ALL
+  SELECT tree, level + 1, list_transform(range(0, len(l), {k}), lambda i: sha256(array_to_string(l[i + 1 : i + {k}], ''))) FROM up WHERE len(l) > 1"""
+
+    def siblings(i: str) -> str:
+        return f"""coalesce(array_to_string(l[{i} - {i} % {k} + 1 : {i}], ''), '') AS before,
+    coalesce(array_to_string(l[{i} + 2 : {i} - {i} % {k} + {k}], ''), '') AS after"""
+
+    return rf"""
+WITH RECURSIVE t AS ({CRC_TABLE}),
+d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {leaf("text")} AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf("text")} END AS now
+  FROM documents, t
+),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM d),
+lists AS (SELECT tree, list(leaf ORDER BY r) AS l FROM l GROUP BY tree),
+up AS ({grown("lists")}),
+s AS (SELECT tree, l[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS r FROM up WHERE len(l) = 1),
+s_list AS (SELECT '' AS tree, list(subroot ORDER BY r) AS l FROM s),
+s_up AS ({grown("s_list").replace("FROM up", "FROM s_up")}),
+steps AS (
+  SELECT tree, r, level, {siblings(f"(r // pow({k}, level)::BIGINT)")} FROM l JOIN up USING (tree) WHERE len(up.l) > 1
+  UNION ALL
+  SELECT l.tree, l.r, 1000 + level, {siblings(f"(s.r // pow({k}, level)::BIGINT)")} FROM l JOIN s USING (tree), s_up WHERE len(s_up.l) > 1
+),
+path AS (SELECT tree, r, list(before ORDER BY level) AS b, list(after ORDER BY level) AS a FROM steps GROUP BY tree, r),
+fold(tree, r, i, acc) AS (
+  SELECT tree, r, 0, now FROM l
+  UNION ALL SELECT tree, r, i + 1, sha256(b[i + 1] || acc || a[i + 1]) FROM fold JOIN path USING (tree, r) WHERE i < len(b)
+),
+top AS (SELECT l[1] AS root FROM s_up WHERE len(l) = 1)
+SELECT doc_id, leaf, subroot, root,
+  sha256(coalesce(array_to_string(list_transform(range(len(b)), lambda i: b[i + 1] || a[i + 1]), ''), '')) AS proof_sha256,
+  acc AS folded_root, acc = root AS verified
+FROM l JOIN s USING (tree) LEFT JOIN path ON path.tree = l.tree AND path.r = l.r
+JOIN fold ON fold.tree = l.tree AND fold.r = l.r AND fold.i = coalesce(len(b), 0), top
+"""
+
+
+def secrets_sql() -> str:
+    parts = []
+    for number, kind in enumerate(secrets.KINDS):
+        pattern = quoted(kind.pattern)
+        parts.append(rf"""SELECT *, {number} AS kind, length(val) >= {kind.least} AND length(regexp_replace(val, '[^0-9]', '', 'g')) >= {kind.digits}
+    AND len(list_distinct(string_split(val, ''))) >= {kind.varied} AS wanted FROM (
+    SELECT doc_id, source, lang, unnest(m) AS said, unnest(regexp_extract_all(text, {pattern}, {kind.value})) AS val,
+      unnest(regexp_split_to_array(text, {pattern})[: len(m)]) AS piece, generate_subscripts(m, 1) AS nr
+    FROM (SELECT doc_id, source, lang, text, regexp_extract_all(text, {pattern}) AS m FROM documents WHERE regexp_matches(text, {pattern})))""")
+    names = ", ".join(quoted(kind.name) for kind in secrets.KINDS)
+    wider = ", ".join(map(str, secrets.WIDER))
+    counts = ", ".join(
+        f"count(*) FILTER (kind = {i}) AS n_{kind.name}" for i, kind in enumerate(secrets.KINDS) if kind.base
+    )
+    return rf"""
+WITH f AS ({" UNION ALL ".join(parts)}),
+p AS (
+  SELECT *, sum(length(piece) + length(said)) OVER (PARTITION BY doc_id, kind ORDER BY nr) AS "end" FROM f
+),
+c AS (SELECT doc_id, source, lang, kind, val, "end" - length(said) AS start, "end" FROM p WHERE wanted),
+kept AS (
+  SELECT * FROM c WHERE kind NOT IN ({wider}) OR NOT EXISTS (
+    SELECT 1 FROM c b WHERE b.doc_id = c.doc_id AND b.kind < c.kind AND b.start < c."end" AND c.start < b."end")
+),
+o AS (SELECT val, count(DISTINCT coalesce('=' || source, '')) AS owners FROM kept GROUP BY val),
+j AS (
+  SELECT doc_id, kind, start, owners, [{names}][kind + 1] || ':' || start::BIGINT || ':' || "end"::BIGINT AS span
+  FROM kept JOIN o USING (val) WHERE kind NOT IN ({wider}) OR owners = 1
+),
+g AS (
+  SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY start, kind) FILTER (kind NOT IN ({wider})) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans,
+    count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= {secrets.COPIED_OWNERS}) AS n_copied
+  FROM j GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0)::BIGINT AS n_{x}" for x in ("assign", "access", "hex", "live", "copied"))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
