@@ -179,18 +179,14 @@ def manifest(docs: DataFrame, now: Column | None = None) -> DataFrame:
     )
     upper = cut_lineage(ranked(stored(sources, "merkle-sources"), ["doc_id"]))
     upper_levels = levels(upper)
+    top = (upper_levels[-1].select(_node_digest()) if upper_levels else upper.select("digest")).first()
+    root = F.lit(top[0] if top else None).cast("string").alias("root")
+    none = F.array().cast("array<struct<left: string, right: string>>").alias("path")
     if upper_levels:
-        root = upper_levels[-1].select(F.lit("").alias("tree"), _node_digest().alias("root"))
+        below = paths(upper_levels, upper.select("tree").limit(1).select("tree", none, root.alias("subroot"), root))
     else:
-        root = upper.select("tree", F.col("digest").alias("root"))
-    none = F.array().cast("array<struct<left: string, right: string>>")
-    start = root.select("tree", none.alias("path"), F.col("root").alias("subroot"), "root")
-    if upper_levels:
-        placed = paths(upper_levels, start).select(F.col("doc_id").alias("tree"), "path", F.col("digest").alias("subroot"), "root")
-    else:
-        placed = upper.join(start.select("tree", "path", "root"), "tree").select(
-            F.col("doc_id").alias("tree"), "path", F.col("digest").alias("subroot"), "root"
-        )
+        below = upper.select("doc_id", "digest", none, root)
+    placed = below.select(F.col("doc_id").alias("tree"), "path", F.col("digest").alias("subroot"), "root")
     tops = cut_lineage(placed)
 
     alone = leaves.where("n = 1").join(tops, "tree").select("tree", "doc_id", "digest", "now", "path", "subroot", "root")

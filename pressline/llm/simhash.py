@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pressline.llm.components import components
-from pressline.llm.frames import by_batch, narrow, plus, stored, texts
+from pressline.llm.frames import by_batch, free_name, narrow, plus, stored, texts
 from pressline.session import cut_lineage
 
 BITS = 64
@@ -113,6 +113,20 @@ def _through_points(fps: DataFrame, max_distance: int) -> DataFrame:
     return points.join(centres, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
+def _grouped(docs: DataFrame, shingle_words: int, max_distance: int) -> DataFrame:
+    """``(doc_id, fp, component_id, root)`` for every row; ``root`` names the component also where ids repeat or are null."""
+    fps = stored(fingerprints(docs, shingle_words), "simhash-fingerprints")
+    groups = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = cut_lineage(components(links(groups, max_distance)).withColumnRenamed("node", "fp"))
+    linked = groups.join(roots, "fp")
+    smallest = linked.groupBy("root").agg(F.min("first_id").alias("root_id"))
+    linked = roots.join(smallest, "root").select("fp", "root_id", "root")
+    named = groups.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root_id", "first_id").alias("component_id"), F.coalesce("root", "fp").alias("root")
+    )
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -121,14 +135,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int =
     repeated ids keep one row each. A null ``doc_id`` never becomes a ``component_id``: its row takes the smallest id of its
     component, or null if that has none. An empty table gives an empty table.
     """
-    fps = stored(fingerprints(docs, shingle_words), "simhash-fingerprints")
-    groups = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = cut_lineage(components(links(groups, max_distance)).withColumnRenamed("node", "fp"))
-    linked = groups.join(roots, "fp")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("root_id"))
-    linked = roots.join(smallest, "root").select("fp", "root_id")
-    named = groups.join(linked, "fp", "left").select("fp", F.coalesce("root_id", "first_id").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, shingle_words, max_distance).drop("root")
 
 
 def fingerprint_text(fp) -> F.Column:
@@ -137,28 +144,39 @@ def fingerprint_text(fp) -> F.Column:
 
 
 def one_of_each_group(docs: DataFrame, shingle_words: int = 3, max_distance: int = 2) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one per near-duplicate group stays: that with the smallest ``doc_id``.
-
-    Of rows that share this id one stays. A group whose rows have no id at all keeps one row per fingerprint.
-    """
-    found = near_duplicates(docs, shingle_words, max_distance)
-    ids = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(ids, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    lost = docs.where("doc_id IS NULL")
-    if not lost.take(1):
-        return named.select(docs.columns)
-    return named.unionByName(_without_id(lost, found, shingle_words)).select(docs.columns)
+    """The rows of ``docs(doc_id, text, ...)``, all columns, of which one per near-duplicate group stays.
 
+    It is that with the smallest ``doc_id``, a null one last, and of these the smallest fingerprint: rows that share an id but
+    not their text are told apart. Of rows with the same id and fingerprint one stays. Null, empty and wordless texts are one
+    group. An empty table gives an empty table.
 
-def _without_id(lost: DataFrame, found: DataFrame, shingle_words: int) -> DataFrame:
-    """Rows without id whose component has none: one for each fingerprint."""
-    alone = found.groupBy("fp").agg(F.max("component_id").alias("c")).where("c IS NULL").select("fp")
-
+    Only rows whose id is null or repeats are read again for their fingerprint.
+    """
+    found = cut_lineage(_grouped(docs, shingle_words, max_distance))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "fp")).alias("k")
+    kept = found.groupBy("root").agg(first).select("k.doc_id", "k.fp")
+    often = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NULL OR n > 1").select("doc_id")
+
+    row_id, row_fp = free_name(docs, "kept_id"), free_name(docs, "simhash_fp")
+    ids = kept.join(often, "doc_id", "left_anti").where("doc_id IS NOT NULL").select(F.col("doc_id").alias(row_id))
+    named = docs.join(ids, docs["doc_id"] == F.col(row_id), "left_semi")
+    if often.isEmpty():
+        return named
+    same = F.col(row_id).eqNullSafe(docs["doc_id"])
+    unclear = docs.join(often.select(F.col("doc_id").alias(row_id)), same, "left_semi")
+    marked = _with_fingerprint(unclear, row_fp, shingle_words)
+    pairs = kept.select(F.col("doc_id").alias(row_id), F.col("fp").alias(f"_{row_fp}"))
+    one = marked.join(
+        pairs, marked["doc_id"].eqNullSafe(F.col(row_id)) & (F.col(row_fp) == F.col(f"_{row_fp}")), "left_semi"
+    ).dropDuplicates(["doc_id", row_fp])
+    return named.unionByName(one.drop(row_fp))
+
+
+def _with_fingerprint(docs: DataFrame, name: str, shingle_words: int) -> DataFrame:
     @by_batch
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column(batch.schema.get_field_index("text"))
         found = np.fromiter((fingerprint(t, shingle_words) for t in texts(column)), np.uint64, batch.num_rows)
-        return batch.append_column("simhash_fp", pa.array(found.view(np.int64)))
+        return batch.append_column(name, pa.array(found.view(np.int64)))
 
-    marked = lost.mapInArrow(run, plus(lost, ("simhash_fp", LongType())))
-    return marked.join(alone, marked["simhash_fp"] == alone["fp"], "left_semi").dropDuplicates(["simhash_fp"]).drop("simhash_fp")
+    return docs.mapInArrow(run, plus(docs, (name, LongType())))

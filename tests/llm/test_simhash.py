@@ -87,6 +87,27 @@ def test_one_row_of_each_group_stays(spark):
         [(2, same), (7, "something else stands here"), (None, "without any id at all"), (8, "")], key=repr)
 
 
+def test_repeated_ids_with_other_texts(spark):
+    a, b = "one two three four five six seven", "quite another text with other words in it"
+    for table, want in (
+        ([(2, a), (2, b)], [(2, a), (2, b)]),
+        ([(1, b), (2, b), (2, a)], [(1, b), (2, a)]),
+        ([(2, a), (2, b), (1, a), (1, b)], [(1, a), (1, b)]),
+        ([(None, a), (None, a), (None, b), (3, b)], [(None, a), (3, b)]),
+    ):
+        docs = spark.createDataFrame(table, "doc_id long, text string")
+        assert rows(simhash.one_of_each_group(docs)) == sorted(want, key=repr)
+
+
+def test_extra_columns_with_the_names_used_inside(spark):
+    a = "one two three four five six seven"
+    schema = "doc_id long, text string, kept_id long, simhash_fp string, root int, n int, fp int"
+    docs = spark.createDataFrame([(1, a, 7, "x", 1, 1, 1), (2, a, 8, "y", 2, 2, 2), (2, "b c d", 9, "z", 3, 3, 3)], schema)
+    got = simhash.one_of_each_group(docs)
+    assert got.columns == docs.columns
+    assert rows(got) == [(1, a, 7, "x", 1, 1, 1), (2, "b c d", 9, "z", 3, 3, 3)]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).collect() == []
