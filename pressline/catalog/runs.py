@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pressline.catalog import query
 from pressline.catalog import derived as d
-from pressline.operators import monitoring, store
+from pressline.operators import monitoring, run_store, store
+from pressline.operators.stored_keys import KeyTable
 from pressline.plans import tips
 from pressline.session import work_folder
 
@@ -72,6 +75,43 @@ def repeated_run_j4(spark, sf_dir):
     return store.read_incidents(spark, path, on_unknown="fail").groupBy("url").agg(F.count("*").alias("n"))
 
 
+@query("run_overwrite_j4", f"""
+WITH {d.INCIDENTS}
+SELECT 'r' || (event_id % 3) AS run, year(date)::BIGINT AS year, url FROM incidents""")
+def run_overwrite_j4(spark, sf_dir):
+    """Three runs into one table: the first stopped after half its write, in a year it should not have had, and was repeated;
+    the second did not see the first, found rows of it again, and was repeated; the third had seen both."""
+    rows = d.incidents(spark, sf_dir)
+    path = work_folder(spark, "runs")
+
+    def write(run, which, seen=(), shift=0):
+        moved = rows.filter(which).withColumn("date", F.add_months("date", shift))
+        run_store.write_run(store.incident_rows(moved.withColumn("location", F.lit(None).cast("string"))), path, run, seen)
+
+    k = F.col("event_id")
+    write("r0", (k % 3 == 0) & (k % 2 == 0), shift=-12)
+    write("r0", k % 3 == 0)
+    second = (k % 3 == 1) | ((k % 3 == 0) & (k % 5 == 0))
+    write("r1", second)
+    write("r1", second)
+    write("r2", k % 3 == 2, run_store.stored_runs(spark, path))
+    return run_store.read_runs(spark, path).select("run", F.col("year").cast("bigint").alias("year"), "url")
+
+
+@query("bucketed_lookup_j1", """
+SELECT doc_id, source, doc_id IN (SELECT doc_id FROM labels) AS stored FROM documents""")
+def bucketed_lookup_j1(spark, sf_dir):
+    """Stored keys in buckets, added by two runs that share some; documents are looked up without moving them."""
+    labels = d.table(spark, sf_dir, "labels")
+    name = uuid.uuid4().hex
+    keys = KeyTable(f"stored_{name}", work_folder(spark, "stored-keys"), 16)
+    for which in (F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 < 2):
+        keys.add(labels.filter(which).select(F.col("doc_id").cast("string").alias("url")))
+    docs = d.table(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("url"))
+    new = keys.missing(docs).withColumn("stored", F.lit(False))
+    return new.unionByName(keys.present(docs).withColumn("stored", F.lit(True))).select("doc_id", "source", "stored")
+
+
 @query("existence_probe_j5", f"""
 WITH {d.INCIDENTS}
 SELECT url, 'one' AS probe FROM incidents WHERE event_id = 77
