@@ -1,4 +1,4 @@
-"""Coordinates: marker displacement and point-in-polygon parity."""
+"""Coordinates: keys of points and marker displacement."""
 
 from __future__ import annotations
 
@@ -32,13 +32,3 @@ def displaced(lat: Column, lon: Column, index: Column, base: Column) -> tuple[Co
         F.when(moved, lat + radius * F.cos(angle)).otherwise(lat),
         F.when(moved, lon + radius * F.sin(angle)).otherwise(lon),
     )
-
-
-def crosses_odd(edges: Column, lat: Column, lon: Column) -> Column:
-    """True where a ray to the east crosses the edges an odd number of times."""
-    crossings = F.filter(
-        edges,
-        lambda e: ((e["lat1"] > lat) != (e["lat2"] > lat))
-        & (lon < (e["lon2"] - e["lon1"]) * (lat - e["lat1"]) / (e["lat2"] - e["lat1"]) + e["lon1"]),
-    )
-    return F.size(crossings) % 2 == 1

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressline.functions.geo import crosses_odd
 from pressline.functions.text import is_falsy, parse_float_prefix, truthy
+from pressline.operators.cells import CELL, col_of, covered, holds, row_of
 from pressline.operators.classify import coordinate_text
 
 # What introduces a place name, what is no place, and which names are authorities.
@@ -16,9 +16,6 @@ PLACE_PATTERN = r"(?U)\b(?:in|bei|nahe)\s+(?!Richtung\b)(?!Höhe\b)([A-ZÄÖÜ][
 LOOSE_PLACE_PATTERN = r"(?U)\b(?:in|bei|nahe)\s+([A-ZÄÖÜ][a-zäöüßA-ZÄÖÜ-]+)"
 AUTHORITY_PATTERN = r"(?i)Polizei|Kriminalpolizei|Staatsanwaltschaft|Feuerwehr"
 
-# Height of a latitude band of the state lookup, in degrees.
-BAND = 0.25
-
 
 def place_candidates(text: Column, strict: bool = True) -> Column:
     """Distinct place names in text order."""
@@ -108,41 +105,24 @@ def ring_edges(states: DataFrame) -> DataFrame:
     return rings.select("name", F.explode(edges).alias("e")).select("name", "e.*")
 
 
-def state_bands(states: DataFrame, band: float = BAND) -> DataFrame:
-    """One row per latitude band: the states in it, each with the edges that cross the band.
-
-    A ray to the east only meets edges of its own band, so this small table answers every point. Its
-    size depends on the polygons alone, not on the points.
-    """
-    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
-    bands = F.sequence(F.floor(low / band), F.floor(high / band))
-    edges = ring_edges(states).withColumn("band", F.explode(bands))
-    per_state = edges.groupBy("band", "name").agg(
-        F.collect_list(F.struct("lon1", "lat1", "lon2", "lat2")).alias("edges"),
-        F.min(F.least("lon1", "lon2")).alias("west"),
-        F.max(F.greatest("lon1", "lon2")).alias("east"),
-    )
-    return per_state.groupBy("band").agg(
-        F.array_sort(F.collect_list(F.struct("name", "west", "east", "edges"))).alias("states")
-    )
-
-
 def state_of_point(
-    df: DataFrame, states: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "point_state", band: float = BAND,
+    df: DataFrame, states: DataFrame, lat: str = "lat", lon: str = "lon", name: str = "point_state", cell: float = CELL,
 ) -> DataFrame:
     """Adds the state whose polygon holds the point, null where none does.
 
-    One equality lookup on the latitude band, one row out per row in; the containment test then runs
-    over the few states of the band inside the row. The band table depends on the polygons alone: Spark
-    broadcasts it where it is small, and then no point is shuffled. Points on an edge are undefined.
+    One equality lookup on the grid cell, one row out per row in. Points in a cell inside a state are answered by the cell;
+    at a border the edges of that cell alone are tested. The cell table depends on the polygons alone: Spark broadcasts
+    it where it is small, and then no point is shuffled; beyond that a frequent cell is a skewed key of a sort-merge join,
+    which Spark splits. Points on an edge are undefined.
     """
-    y, x = F.col(lat), F.col(lon)
-    banded = df.withColumn("band", F.floor(y / band))
-    joined = banded.join(state_bands(states, band), "band", "left")
-    hits = F.filter(
-        "states", lambda s: (x >= s["west"]) & (x <= s["east"]) & crosses_odd(s["edges"], y, x)
+    row, col, parts = "_row", "_col", "_parts"
+    cells = covered(ring_edges(states), cell).select(
+        F.col("row").alias(row), F.col("col").alias(col), F.col("parts").alias(parts)
     )
-    return joined.withColumn(name, F.get(hits, F.lit(0))["name"]).drop("band", "states")
+    placed = df.withColumns({row: row_of(F.col(lat), cell), col: col_of(F.col(lon), cell)})
+    joined = placed.join(cells, [row, col], "left")
+    hits = F.filter(parts, lambda p: holds(p, F.col(lat), F.col(lon), F.col(row), F.col(col), cell))
+    return joined.withColumn(name, F.get(hits, F.lit(0))["name"]).drop(row, col, parts)
 
 
 def federal_state(answer_state: Column, lat: Column, lon: Column, point_state: Column) -> Column:

@@ -1,8 +1,10 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from pressline.operators.cells import covered
 from pressline.operators import classify as cl
 from pressline.operators import places as pl
 
@@ -69,13 +71,13 @@ def brute_state(lat, lon):
     return None
 
 
-@pytest.mark.parametrize("band", [0.25, 3.0])
-def test_state_of_point(spark, band):
+@pytest.mark.parametrize("cell", [0.1, 0.37, 3.0])
+def test_state_of_point(spark, cell):
     rng = random.Random(3)
     points = [(i, rng.uniform(-5, 7), rng.uniform(-5, 10)) for i in range(500)] + [(1000, None, 1.0), (1001, 2.5, 7.1)]
     states = spark.createDataFrame(STATES, "name STRING, rings ARRAY<ARRAY<STRUCT<lon:DOUBLE,lat:DOUBLE>>>")
     df = spark.createDataFrame(points, "url LONG, lat DOUBLE, lon DOUBLE")
-    got = {r["url"]: r["point_state"] for r in pl.state_of_point(df, states, band=band).collect()}
+    got = {r["url"]: r["point_state"] for r in pl.state_of_point(df, states, cell=cell).collect()}
     assert got == {i: brute_state(lat, lon) if lat is not None else None for i, lat, lon in points}
     assert len(set(got.values())) == 5
 
@@ -135,3 +137,51 @@ def test_points_are_not_shuffled_for_a_small_state_table(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert found.filter("point_state = 'A'").count() >= 8
+
+
+STATE_SCHEMA = "name STRING, rings ARRAY<ARRAY<STRUCT<lon:DOUBLE,lat:DOUBLE>>>"
+
+
+def star(corners, seed):
+    """A jagged ring around (10, 50)."""
+    rng = random.Random(seed)
+    turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(corners))
+    return [(10 + rng.uniform(1, 3) * math.cos(t), 50 + rng.uniform(1, 2) * math.sin(t)) for t in turns]
+
+
+def test_cells_of_a_long_border(spark):
+    """Many edges, a hole, points on the grid lines; each lookup tests the edges of its cell only."""
+    outer, hole = star(2000, 1), [(9.8, 49.8), (10.2, 49.8), (10.2, 50.2), (9.8, 50.2)]
+    states = spark.createDataFrame([("A", [outer, hole])], STATE_SCHEMA)
+    rng = random.Random(2)
+    points = [(rng.uniform(47, 53), rng.uniform(6, 14)) for _ in range(3000)]
+    points += [(round(lat, 1), round(lon, 1)) for lat, lon in points[:300]]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "url LONG, lat DOUBLE, lon DOUBLE")
+    got = {r["url"]: r["point_state"] for r in pl.state_of_point(df, states).collect()}
+
+    def inside(lat, lon):
+        odd = False
+        for ring in (outer, hole):
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                if (y1 > lat) != (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1:
+                    odd = not odd
+        return "A" if odd else None
+
+    assert got == {i: inside(*p) for i, p in enumerate(points)}
+    cells = covered(pl.ring_edges(states)).select("row", "col", F.explode("parts").alias("p"))
+    edges = cells.select(F.size("p.edges").alias("n"), "p.corner_inside")
+    assert edges.filter("n = 0 AND NOT corner_inside").count() == 0
+    assert edges.filter("n = 0").count() > 100
+    assert edges.agg(F.max("n")).first()[0] < 60
+
+
+def test_cells_of_shared_borders_and_level_edges(spark):
+    """Rings along the grid lines and two states side by side; open and closed rings, a ring without area."""
+    states = [
+        ("B", [[(0.0, 0.0), (0.5, 0.0), (0.5, 0.3), (0.0, 0.3), (0.0, 0.0)]]),
+        ("C", [[(0.5, 0.0), (1.0, 0.0), (1.0, 0.3), (0.5, 0.3)], [(0.7, 0.1), (0.7, 0.1)]]),
+        ("D", []),
+    ]
+    df = spark.createDataFrame([(x, y) for x in (0.05, 0.45, 0.55, 0.951, -0.05, 1.05) for y in (0.05, 0.15, 0.25, 0.35)], "lon DOUBLE, lat DOUBLE")
+    got = {(r["lon"], r["lat"]): r["point_state"] for r in pl.state_of_point(df, spark.createDataFrame(states, STATE_SCHEMA)).collect()}
+    assert got == {(x, y): None if y > 0.3 or not 0 < x < 1 else "B" if x < 0.5 else "C" for x, y in got}
