@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +41,7 @@ CHUNK_BYTES = 1 << 10
 HASH_STEP = 1 << 20
 PIECE_BYTES = 1 << 16
 # Words of one generation of the memo; there are two.
-MEMO_WORDS = 1 << 17
+MEMO_WORDS = 1 << 18
 JOINS = 1 << 15
 LEARN_WORDS = 1 << 12
 
@@ -49,7 +51,13 @@ _GEAR = np.array([(b + 1) * 0x9E3779B1 & 0xFFFFFFFF for b in range(256)], np.uin
 _WINDOW = 16
 # Words a tokenizer is probed with, and marks often found at the end of a word.
 _KINDS = ("a", "Zé", "x's", "'", "'s", "12", "3", "...", "#!", "ßä", "中文", "\u0301", "e\u0301", "🙂", "_", "<|", "|>", "\u00a0", "\u2003")
-_MARKS = b".,;:!?"
+_MARKS = b".,;:!?$&%*#"
+# Words of Latin letters, and the characters byte-level models have for bytes: printable ones stand for themselves, the others
+# for the characters from U+0100 on, in order.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in _SELF)}
+_SMALL = [*map(chr, range(0x61, 0x7B)), *(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)]
 
 
 def cuts(data: bytes) -> list[int]:
@@ -107,6 +115,9 @@ class Encoder:
         self.digits = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.by_word = self._isolates_space()
         self.splits_marks, self.folds_case = self.by_word and self._splits_marks(), self.by_word and self._folds_case()
+        self.model = self.tokenizer.model
+        self.letters_alone = self.by_word and self._letters_alone()
+        self.tokens = self._tokens()
 
     def library(self, data: bytes) -> bytes:
         return packed(self.tokenizer.encode(data.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
@@ -124,27 +135,65 @@ class Encoder:
         marks = [m + n for m in _MARKS.decode() for n in ("", *_MARKS.decode())]
         return all(
             self.library(f"{word}{m}".encode()) == self.library(word.encode()) + self.library(m.encode())
-            for word in ("a", "Ab", "x's", "12", "3", "éz", "中a", "a.b", "#1", "<|x") for m in marks
+            for word in ("a", "Ab", "x's", "12", "3", "éz", "zé", "ß", "aÿ", "中a", "a.b", "#1", "<|x") for m in marks
         )
 
     def _folds_case(self) -> bool:
-        """Whether a word of ASCII letters and digits has the ids of its lower case."""
-        upper = [chr(c) for c in range(65, 91)]
+        """Whether a word of ASCII letters and digits, or of Latin letters, has the ids of its lower case."""
+        upper = [c.upper() for c in _SMALL if c not in "ßÿ"]
         tried = [f"{left}{c}{right}" for c in upper for left in ("", "a", "Z9") for right in ("", "b", "Q", "7")]
+        tried += [f"{left}{c}{right}" for c in upper for left in ("", "é", "À") for right in ("ß", "Éa")]
         return all(self.library(w.encode()) == self.library(w.lower().encode()) for w in tried)
 
+    def _letters_alone(self) -> bool:
+        """Whether the model alone gives a word of small Latin letters its ids: nothing before it changes or splits such a word but the
+        byte-level characters, and no added token can lie in one."""
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(_LATIN.fullmatch(encode_bytes(a)) for a in added):
+            return False
+        tried = _SMALL + [a + b for a in _SMALL for b in _SMALL] + ["".join(_SMALL), "internationalisation" * 9, "zéß" * 40]
+        return all(self.library(w.encode()) == self._by_model(w.encode()) for w in tried)
+
+    def _by_model(self, word: bytes) -> bytes:
+        return array("i", [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+
+    def _tokens(self) -> list[str] | None:
+        """The strings of all ids, where decoding is joining them by a space: a tokenizer without a decoder."""
+        if self.tokenizer.decoder is not None:
+            return None
+        every = [self.tokenizer.id_to_token(i) for i in range(len(self.digits))]
+        whole = None not in every and self.tokenizer.decode(list(range(len(every))), skip_special_tokens=False) == " ".join(every)
+        return every if whole else None
+
+    def decode(self, ids: list[int]) -> str:
+        if self.tokens is None:
+            return self.tokenizer.decode(ids, skip_special_tokens=False)
+        return " ".join(map(self.tokens.__getitem__, ids))
+
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         """A word and the marks at its end, where those are known to be encoded apart; the word folded where case is no matter."""
         core = word.rstrip(_MARKS) if self.splits_marks else word
-        if not core or not core[-1:].isalnum():
+        latin = _LATIN.fullmatch(core)
+        if not latin and not core[-1:].isalnum():
             core = word
         marks = word[len(core) :]
-        return (core.lower() if self.folds_case and core.isalnum() else core), marks
+        if self.folds_case and (latin or core.isalnum()):
+            core = core.decode().lower().encode()
+        return core, marks
 
     def _learn(self, lacking: list[bytes]) -> None:
-        """Adds words to the memo; what is new in them is encoded in calls of many words with a space between."""
+        """Adds words to the memo; what is new in them goes to the model where that suffices, else to the library in calls of many
+        words with a space between."""
         parts = [self._parts(w) for w in lacking]
         new = list(dict.fromkeys(p for pair in parts for p in pair if p and p not in self.memo))
+        if self.letters_alone:
+            rest = []
+            for word in new:
+                if _LATIN.fullmatch(word) and (self.folds_case or word.decode().islower()):
+                    self.memo[word] = self._by_model(word)
+                else:
+                    rest.append(word)
+            new = rest
         for k in range(0, len(new), LEARN_WORDS):
             self._encode_words(new[k : k + LEARN_WORDS])
         for word, (core, marks) in zip(lacking, parts, strict=True):
@@ -339,7 +388,7 @@ def _map(docs: DataFrame, path: str, finish: Callable[[Iterator], list[pa.Array]
         for text in texts(column):
             ids = encode(encode_bytes(text), own, chunks.value)
             numbers = unpacked(ids)
-            yield ids, numbers, own.tokenizer.decode(numbers, skip_special_tokens=False), own
+            yield ids, numbers, own.decode(numbers), own
 
     @by_batch
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
