@@ -9,6 +9,7 @@ from pressline.catalog import derived as d
 from pressline.functions.once import computed_once
 from pressline.functions.text import event_location
 from pressline.operators import articles as art
+from pressline.operators.keyword_index import first_keywords
 from pressline.operators.relevance import first_keyword, keyword_context
 from pressline.sources.html_jobs import article_facts
 from pressline.sources.profiles import ANY_P, Box, ListSpec, Profile
@@ -190,6 +191,29 @@ def body_or_title_keyword_k2(spark, sf_dir):
     return docs.select("doc_id", first_keyword(scope, ("ÜBER", "äsch", "QUE", "éé", "of"), "unicode").alias("keyword"))
 
 
+# A long list: the last word of each document, in the order of its hash; every third as a pattern that needs less than the word.
+_LONG_LIST = r"""
+w AS (SELECT DISTINCT regexp_extract(text, '([A-Za-z]{5,})[^A-Za-z]*$', 1) AS word FROM documents),
+k AS (SELECT word, md5(word) AS rank, CASE WHEN substr(md5(word), 1, 1) < '5' THEN substr(word, 1, 3) || '[a-z]?' || substr(word, 5) ELSE word END AS keyword
+      FROM w WHERE word <> ''),
+hits AS (
+  SELECT doc_id, keyword, rank FROM documents JOIN k
+  ON CASE WHEN keyword = word THEN contains(lower(text), lower(word))
+     ELSE contains(lower(text), lower(substr(word, 1, 3))) AND regexp_matches(text, '(?i)' || keyword) END)"""
+
+
+@query("long_keyword_list_k1", f"""
+WITH {_LONG_LIST} SELECT doc_id, arg_min(keyword, rank) AS keyword FROM hits GROUP BY doc_id""")
+def long_keyword_list_k1(spark, sf_dir):
+    """Hundreds to thousands of keywords as a table, searched through their trigrams."""
+    docs = d.table(spark, sf_dir, "documents").select("doc_id", "text")
+    word = F.regexp_extract("text", r"([A-Za-z]{5,})[^A-Za-z]*$", 1)
+    listed = docs.select(word.alias("word")).filter("word <> ''").distinct().withColumn("rank", F.md5(F.col("word").cast("binary")))
+    shorter = F.concat(F.substring("word", 1, 3), F.lit("[a-z]?"), F.substring("word", 5, 100_000))
+    keywords = listed.select("rank", F.when(F.substring("rank", 1, 1) < "5", shorter).otherwise(F.col("word")).alias("keyword"))
+    return first_keywords(docs, "doc_id", ["text"], keywords)
+
+
 @query("keyword_context_k3", f"""
 WITH k AS (SELECT doc_id, text, {d.sql_first_keyword(['text'], ('th[ei]', 'TION', 'que'))} AS keyword FROM documents),
 p AS (SELECT *, strpos(lower(text), lower(keyword)) AS hit FROM k)
