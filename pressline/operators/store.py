@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressline.operators.links import source_order
@@ -62,8 +62,13 @@ def already_stored(links: DataFrame, incidents: DataFrame, on: str = "url") -> D
     return links.join(incidents.select(on).filter(F.col(on).isNotNull()).distinct(), on, "left_semi")
 
 
-def flag_stored(links: DataFrame, incidents: DataFrame) -> DataFrame:
-    """All links with ``stored``; one join serves both the run and its reject table."""
+def flag_stored(links: DataFrame, incidents: DataFrame | None, unknown: Column | None = None) -> DataFrame:
+    """All links with ``stored``; one join serves both the run and its reject table.
+
+    Without ``incidents`` (the store could not be read) the column ``unknown`` decides; by default every link is new.
+    """
+    if incidents is None:
+        return links.withColumn("stored", F.lit(False) if unknown is None else unknown)
     known = known_urls(incidents).withColumn("stored", F.lit(True))
     return links.join(known, "url", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
 

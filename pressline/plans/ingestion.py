@@ -15,12 +15,13 @@ from pressline.functions.dates import midnight, rss_date
 from pressline.functions.once import computed_once
 from pressline.functions.text import is_falsy
 from pressline.operators import articles as art
-from pressline.operators import classify, links as lk, monitoring, places, relevance, store
+from pressline.operators import classify, links as lk, monitoring, places, relevance, run_store, store
 from pressline.operators.dating import is_fresh, with_publication
 from pressline.session import cut_lineage
 from pressline.sources import feeds as fd
-from pressline.sources.html_jobs import article_facts, extract_links, finish_links
+from pressline.sources.html_jobs import article_facts, extract_links, finish_links, next_links
 from pressline.sources.pages import load_failed
+from pressline.sources.pagination import page_chain
 from pressline.sources.profiles import Profile
 
 SIDECARS = {
@@ -48,6 +49,30 @@ def _listing_links(list_pages: DataFrame, profiles: Mapping[str, Profile]) -> Da
     return _shaped(extract_links(list_pages.filter(F.col("source").isin(*ruled)), ruled))
 
 
+def _on_chain(links: DataFrame, list_pages: DataFrame, profiles: Mapping[str, Profile]) -> DataFrame:
+    """Links of sources that follow next links: those of pages on the chain from the first page, numbered by their place in it.
+
+    Pages off the chain or behind its bound are left out; a page that did not load ends it. Pages are only read for their
+    next links; links and places meet on the keys of a page, without its html. Links of other sources stay as they are.
+    """
+    bounds = {s: p.extra["follow_next"] for s, p in profiles.items() if p.extra.get("follow_next")}
+    key = ("source", "feed", "list", "page")
+    places = None
+    for bound in sorted(set(bounds.values())):
+        sources = [s for s, n in bounds.items() if n == bound]
+        mine = list_pages.filter(F.col("source").isin(*sources))
+        edges = next_links(mine.select("url", "html")).select("url", "next_url")
+        first = [spec.first_url for s in sources for spec in profiles[s].lists]
+        starts = mine.filter(F.col("url").isin(*first)).select(F.col("url").alias("start"))
+        reached = page_chain(edges, starts, bound).groupBy("url").agg(F.min("pos").alias("_place"))
+        found = mine.select(*key, "url").join(reached, "url").groupBy(*key).agg(F.min("_place").alias("_place"))
+        places = found if places is None else places.unionByName(found)
+    if places is None:
+        return links
+    placed = links.join(places, list(key), "left").filter(~F.col("source").isin(*bounds) | F.col("_place").isNotNull())
+    return placed.withColumn("page", F.coalesce("_place", "page")).select(*links.columns)
+
+
 def _script_links(list_pages: DataFrame, profiles: Mapping[str, Profile]) -> list[DataFrame]:
     """Sources that list their links in a script; a bad page ends the list where the source says so."""
     found = []
@@ -113,7 +138,7 @@ def _raw_links(
     names = list(profiles)
     parts = _script_links(list_pages, profiles)
     if any(p.link_rules for p in profiles.values()):
-        parts.append(_listing_links(list_pages, profiles))
+        parts.append(_on_chain(_listing_links(list_pages, profiles), list_pages, profiles))
     if feeds is not None:
         parts.append(_feed_links(_of(feeds, names), profiles))
     if payloads is not None:
@@ -240,19 +265,21 @@ def read_articles(profiles: Mapping[str, Profile], article_pages: DataFrame, key
 
 
 def candidates(
-    profiles: Mapping[str, Profile], links: DataFrame, article_pages: DataFrame, incidents: DataFrame,
+    profiles: Mapping[str, Profile], links: DataFrame, article_pages: DataFrame, incidents: DataFrame | None,
     keywords: Sequence[str], as_of: Column,
 ) -> DataFrame:
     """All links with texts, dates and keyword; ``reason`` is null for those to classify.
 
-    Links that are stored, or too old by their list date, are settled before any page is read.
+    Links that are stored, or too old by their list date, are settled before any page is read. ``incidents`` is None where
+    the store could not be read: then the policy of each source says whether its links count as stored.
     """
     early = by_source(
         profiles,
         lambda p: ~is_fresh(midnight(F.col("list_date")), as_of) if p.early_gate else F.lit(False),
         F.lit(False),
     )
-    flagged = store.flag_stored(links, incidents).withColumn("early_old", F.coalesce(early, F.lit(False)))
+    unknown = by_source(profiles, lambda p: F.lit(p.on_unknown == "exist"), F.lit(False))
+    flagged = store.flag_stored(links, incidents, unknown).withColumn("early_old", F.coalesce(early, F.lit(False)))
     unsettled = flagged.filter(~F.col("stored") & ~F.col("early_old"))
     pages = wanted_copies(article_pages, unsettled)
     loaded = flagged.join(read_articles(profiles, pages, keywords), ["source", "url"], "left")
@@ -341,18 +368,19 @@ def accept(judged: DataFrame) -> DataFrame:
 
 def run_ingestion(
     profiles: Mapping[str, Profile], found: DataFrame, answers: DataFrame, gazetteer: DataFrame,
-    states: DataFrame, incidents_path: str, rejects_path: str, accepted_path: str,
+    states: DataFrame, incidents_path: str, rejects_path: str, accepted_path: str, run: str, seen: Sequence[str] = (),
 ) -> DataFrame:
-    """Second half of a run: writes accepted rows and rejects, appends incidents, returns the funnel.
+    """Second half of a run: writes accepted rows and rejects, stores the incidents of ``run``, returns the funnel.
 
     ``found`` should be a written table (the first half's output). Accepted rows are written once and
-    read back for the append, the rejects and the counts.
+    read back for the store, the rejects and the counts. ``seen`` are the runs that were stored when the links were checked
+    (``run_store.stored_runs``). A run that is repeated, from any point, replaces what it wrote before.
     """
     spark = found.sparkSession
     accept(judge(profiles, found, answers, gazetteer, states)).write.mode("overwrite").parquet(accepted_path)
     accepted = spark.read.parquet(accepted_path)
     rejected(found, answers, accepted).write.mode("overwrite").parquet(rejects_path)
-    store.append_incidents(store.incident_rows(accepted), incidents_path)
+    run_store.write_run(store.incident_rows(accepted), incidents_path, run, seen)
     rejects = spark.read.parquet(rejects_path)
     outcome = rejects.select("source", "reason").unionByName(
         accepted.select("source", F.lit(None).cast("string").alias("reason"))

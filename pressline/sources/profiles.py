@@ -83,6 +83,7 @@ class Profile:
     null_only_place: bool = False       # only a null place moves on, not an empty one
     page_rule: str = "skip"             # stop: lists end at their first bad page
     cap: int | None = None
+    on_unknown: str = "new"             # what links are where the store cannot be read: new | exist
     extra: dict = field(default_factory=dict)
 
 
@@ -139,7 +140,7 @@ def default_profiles() -> dict[str, Profile]:
             ladder=((Box("div", ("bp-text",)),), ANY_P),
             stop=("weitere meldungen", "original-content", "druckversion", "pdf-version"),
             dates=("time_strict",), summary_markers=(), summary_ellipsis=False,
-            strict_places=False, null_only_place=True, extra={"script_variable": "window.montagedata"},
+            strict_places=False, null_only_place=True, on_unknown="exist", extra={"script_variable": "window.montagedata"},
         ),
         Profile(
             "berlin", "https://www.berlin.de", (ListSpec("https://www.berlin.de/polizei/polizeimeldungen/"),),

@@ -17,7 +17,7 @@ LIST_PAGES = [
     ("bayern", 0, 0, 1, "l", '<script>window.montagedata = [{"href":"/a","title":" BY 1 "},{"href":"","title":"x"}];</script>'),
     ("bayern", 0, 0, 2, "l", "<p>leer</p>"),
     ("bayern", 0, 0, 3, "l", '<script>window.montagedata = [{"href":"/zu-spaet","title":"x"}];</script>'),
-    ("berlin", 0, 0, 0, "l", '<ul class="list list--tablelist"><li><div class="cell date">02.07.2025  09:15 Uhr</div><div class="cell text">'
+    ("berlin", 0, 0, 0, "https://www.berlin.de/polizei/polizeimeldungen/", '<ul class="list list--tablelist"><li><div class="cell date">02.07.2025  09:15 Uhr</div><div class="cell text">'
      '<a href="/polizei/b1">Berlin 1</a> <a href="/x">mehr</a><span class="category"><strong>Ereignisort: </strong>Pankow</span></div></li>'
      '<li><div class="date">01.01.2025 09:15 Uhr</div><div class="text"><a href="polizei/b2">Berlin 2</a></div></li></ul>'),
     ("brandenburg", 0, 0, 1, "l", '<div id="pbb-search-result-pager"><ul class="pbb-searchlist"><li><h4><a href="/bb1"> BB\n 1</a></h4>'

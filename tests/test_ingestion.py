@@ -62,7 +62,7 @@ def test_run(spark, tables, links, tmp_path):
 
     counts = run.run_ingestion(
         profiles, found, tables["answers"], tables["gazetteer"], tables["states"],
-        incidents, str(tmp_path / "rejects"), str(tmp_path / "accepted"))
+        incidents, str(tmp_path / "rejects"), str(tmp_path / "accepted"), "run-1")
     stored = {r["url"]: r for r in spark.read.parquet(incidents).collect()}
     fields = ("title", "summary", "date", "location", "lat", "lon", "federal", "type")
     assert {u: tuple(r[f] for f in fields) for u, r in stored.items()} == fx.ACCEPTED
@@ -74,6 +74,55 @@ def test_run(spark, tables, links, tmp_path):
     assert totals["presseportal", "accepted"] == 1 and totals["schleswig-holstein", "stored"] == 1
 
 
+def test_a_repeated_run_replaces_its_rows(spark, tables, links, tmp_path):
+    """Repeated after half its write; a run beside it that stored one of the URLs first keeps it."""
+    from pressline.operators import run_store
+
+    profiles, incidents = default_profiles(), str(tmp_path / "incidents")
+    found = run.candidates(profiles, links, tables["pages"], tables["stored"], fx.KEYWORDS, run_instant(fx.AS_OF)).cache()
+
+    def repeat(name, answers):
+        run.run_ingestion(profiles, found, answers, tables["gazetteer"], tables["states"], incidents, str(tmp_path / "r"), str(tmp_path / "a"), name)
+        return {(r["run"], r["url"]) for r in run_store.read_runs(spark, incidents).collect()}
+
+    one = next(iter(fx.ACCEPTED))
+    assert repeat("b", tables["answers"].filter(F.col("url") == one)) == {("b", one)}
+    half = [u for u in fx.ACCEPTED if u != one][:2]
+    assert repeat("a", tables["answers"].filter(F.col("url").isin(*half))) == {("b", one)} | {("a", u) for u in half}
+    for _ in range(2):
+        assert repeat("a", tables["answers"]) == {("b", one)} | {("a", u) for u in fx.ACCEPTED if u != one}
+
+
+def test_unreadable_store_by_source(spark, tables, links):
+    found = run.candidates(default_profiles(), links, tables["pages"], None, fx.KEYWORDS, run_instant(fx.AS_OF))
+    reasons = {(r["source"], r["reason"] == "stored") for r in found.select("source", "reason").distinct().collect()}
+    assert ("bayern", True) in reasons and ("bayern", False) not in reasons
+    assert not any(stored for source, stored in reasons if source != "bayern")
+
+
+def berlin_page(n, following):
+    start = "https://www.berlin.de/polizei/polizeimeldungen/"
+    address = lambda k: start if k == 0 else f"{start}?page={k}"
+    ahead = "" if following is None else f'<a rel="next" href="{address(following)}">x</a>'
+    return ("berlin", 0, 0, 500 - n, address(n), f'<ul class="list--tablelist"><li><div class="text"><a href="/b{n}">B {n}</a></div></li></ul>{ahead}')
+
+
+def berlin_links(spark, pages):
+    berlin = {"berlin": default_profiles()["berlin"]}
+    links = run.collect_links(berlin, spark.createDataFrame(pages, s.LIST_PAGES)).orderBy("page").collect()
+    return [(r["page"], r["url"].rsplit("/", 1)[1]) for r in links]
+
+
+def test_links_follow_the_next_pages(spark):
+    """Pages off the chain and past its bound give no links; a page that did not load, or that names itself, ends it."""
+    chain = [berlin_page(n, n + 1) for n in range(45)]
+    assert berlin_links(spark, chain) == [(n, f"b{n}") for n in range(40)]
+    assert berlin_links(spark, [berlin_page(0, 7), berlin_page(7, 3), berlin_page(3, 3), berlin_page(5, 6)]) == [(0, "b0"), (1, "b7"), (2, "b3")]
+    failed = (*chain[1][:5], None)
+    assert berlin_links(spark, [chain[0], failed, *chain[2:5]]) == [(0, "b0")]
+    assert berlin_links(spark, chain[1:4]) == []
+
+
 def test_second_run_stores_nothing(spark, tables, links):
     known = spark.createDataFrame([(u,) for u in fx.ACCEPTED], "url STRING")
     again = run.candidates(default_profiles(), links, tables["pages"], known, fx.KEYWORDS, run_instant(fx.AS_OF))
