@@ -8,7 +8,7 @@ from pressline.catalog import query
 from pressline.catalog import derived as d
 from pressline.plans import ingestion as run
 from pressline.session import cut_lineage
-from pressline.sources.profiles import ANY_P, Box, ListSpec, Profile
+from pressline.sources.profiles import ANY_P, Box, LinkRule, ListSpec, Profile, default_profiles
 
 _LADDER = ((Box("div", ("article-text",), first="page"),), (Box("article"),), ANY_P)
 
@@ -114,3 +114,68 @@ def reject_table_e1(spark, sf_dir):
     found, answers = _run(spark, sf_dir)
     found = cut_lineage(found)
     return run.rejected(found, answers, _accepted(spark, sf_dir, found, answers)).select("source", "url", "reason")
+
+
+def _said(*parts):
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+# Ten sources, each a chain of pages: those with an even number end where a page names itself, one at a page that did not load.
+_CHAINS = {
+    f"s{i}": Profile(f"s{i}", f"https://s{i}.example", (ListSpec(f"https://s{i}.example/0"),), url_rule="slash",
+                     link_rules=(LinkRule(href_parts=("/b/",)),), extra={"follow_next": 40}) for i in range(10)
+}
+
+
+@query("followed_links_s9", """
+WITH p AS (SELECT page_id, page_id % 10 AS s, page_id // 10 AS n FROM pages),
+kept AS (SELECT * FROM p WHERE n < 40 AND (s % 2 = 1 OR n <= 16) AND (s <> 3 OR n < 5)),
+linked AS (SELECT *, unnest(['', 'x']) AS tail FROM kept)
+SELECT 's' || s AS source, n::BIGINT AS page, 'https://s' || s || '.example/b/' || page_id || tail AS url FROM linked""")
+def followed_links_s9(spark, sf_dir):
+    """Link collection of sources whose list pages name the next one: the chain from the first page, forty pages at most."""
+    k = F.col("page_id")
+    s, n = k % 10, F.floor(k / 10)
+    ahead = F.when((s % 2 == 0) & (n == 16), n).otherwise(n + 1)
+    html = _said('<a href="/b/', k, '">A</a> <a href="/b/', k, 'x">B</a><a rel="next" href="/', ahead, '">weiter</a>')
+    pages = d.table(spark, sf_dir, "pages").select(
+        _said("s", s).alias("source"), F.lit(0).alias("feed"), F.lit(0).alias("list"), (1000 + k).cast("int").alias("page"),
+        _said("https://s", s, ".example/", n).alias("url"), F.when((s != 3) | (n != 5), html).alias("html"),
+    )
+    links = run.collect_links(_CHAINS, pages)
+    return links.select("source", F.col("page").cast("bigint").alias("page"), "url")
+
+
+@query("collected_links_l10", """
+WITH p AS (SELECT page_id AS k FROM pages),
+portal AS (SELECT k // 3 AS n, arg_min(k, (k % 2, k // 2)) AS k FROM p GROUP BY 1),
+ends AS (SELECT min(k) AS first_k, max(k) AS last_k FROM p)
+SELECT 'presseportal' AS source, 'https://www.presseportal.de/blaulicht/pm/' || n AS url, 'Meldung ' || k AS title, (k % 2)::BIGINT AS list, (k // 2)::BIGINT AS page FROM portal
+UNION ALL SELECT 'mv', 'https://www.polizei.mvnet.de/mv' || k, 'MV ' || k, 0, k FROM p
+UNION ALL SELECT 'sachsen-anhalt', 'https://www.sachsen-anhalt.de/bs/' || k, 'SA ' || k, 0, k FROM p
+UNION ALL SELECT 'sachsen', 'https://medienservice.sachsen.de/medien/news-' || k, '(Ohne Titel)', 0, k FROM p
+UNION ALL SELECT 'nrw', 'https://polizei.nrw/nrw' || j, CASE WHEN j = first_k THEN 'NRW ' ELSE 'next ' END || j, 0, greatest(j - 1, first_k)
+FROM ends, range(first_k, least(last_k + 2, first_k + 100)) t(j)""")
+def collected_links_l10(spark, sf_dir):
+    """Link collection by the real rules of five sources; one reads feeds up to its target."""
+    k = F.col("page_id")
+    chosen = {s: default_profiles()[s] for s in ("presseportal", "mv", "sachsen-anhalt", "sachsen", "nrw")}
+    lists = {
+        "presseportal": (k % 2, F.floor(k / 2), _said('<a href="/blaulicht/pm/', F.floor(k / 3), '">POL-HH: Meldung ', k, '</a><a href="/sport/', k, '">x</a>')),
+        "mv": (F.lit(0), k, _said('<div class="teaser dvz-contenttype-presseserviceassistent"><h3><a href="/mv', k, '">POL-NB: MV ', k, '</a></h3><h3><a href="/no">x</a></h3></div>')),
+        "sachsen-anhalt": (F.lit(0), k, _said('<div class="tx-rssdisplay-newslist"><h2><a href="bs/', k, '"> SA \n ', k, ' </a></h2></div><h2><a href="/no">x</a></h2>')),
+        "sachsen": (F.lit(0), k, _said('<a href="/medien/news-', k, '"> </a><a href="/medien/">x</a><a href="/medien/?search[a]=1">x</a>')),
+    }
+    pages = d.table(spark, sf_dir, "pages").select("page_id")
+    each = F.explode(F.array(*[
+        F.struct(F.lit(s).alias("source"), F.lit(0).alias("feed"), number.cast("int").alias("list"), page.cast("int").alias("page"),
+                 F.lit("l").alias("url"), html.alias("html")) for s, (number, page, html) in lists.items()
+    ]))
+    list_pages = pages.select(each.alias("r")).select("r.*")
+    item = lambda title, j: _said("<item><title>", title, j, "</title><link>/nrw", j, "</link></item>")
+    feeds = pages.select(
+        F.lit("nrw").alias("source"), F.lit(0).alias("feed"), F.lit(0).alias("list"), k.cast("int").alias("page"),
+        F.concat(F.lit("<rss><channel>"), item("NRW ", k), item("next ", k + 1), F.lit("</channel></rss>")).alias("xml"),
+    )
+    links = run.collect_links(chosen, list_pages, feeds)
+    return links.select("source", "url", "title", F.col("list").cast("bigint").alias("list"), F.col("page").cast("bigint").alias("page"))

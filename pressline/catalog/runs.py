@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pressline.catalog import query
@@ -28,6 +29,37 @@ def unknown_store_j2(spark, sf_dir):
     return store.new_links(docs, work_folder(spark, "no-incidents")).select("doc_id")
 
 
+@query("unknown_store_policies_j2", """
+WITH new_ids AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT 'new' AS policy, 'missing' AS store, doc_id FROM documents
+UNION ALL SELECT 'fail', 'missing', -1
+UNION ALL SELECT unnest(['new', 'exist', 'fail']), 'readable', doc_id FROM new_ids
+UNION ALL SELECT 'of the source', 'unreadable', doc_id FROM documents WHERE source <> 'src7'""")
+def unknown_store_policies_j2(spark, sf_dir):
+    """New documents under each policy, for a store that is not there, one that is, and one that a run could not read; one source
+    counts its links as stored then. A policy that raises shows as -1."""
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("url")
+    docs = d.table(spark, sf_dir, "documents").select("doc_id", "source", name)
+    labels = d.table(spark, sf_dir, "labels").select(name, F.lit("2024-01-01").cast("date").alias("date"))
+    missing, readable = work_folder(spark, "no-incidents"), work_folder(spark, "incidents")
+    rest = {c: F.lit(None).cast(t) for c, t in (
+        ("title", "string"), ("summary", "string"), ("location", "string"), ("lat", "double"), ("lon", "double"), ("federal", "string"), ("type", "string"))}
+    store.append_incidents(store.incident_rows(labels.withColumns(rest)), readable)
+
+    def of(policy, state, path):
+        return store.new_links(docs, path, policy).select(F.lit(policy).alias("policy"), F.lit(state).alias("store"), "doc_id")
+
+    found = of("new", "missing", missing).unionByName(of("exist", "missing", missing))
+    try:
+        found = found.unionByName(of("fail", "missing", missing))
+    except AnalysisException:
+        found = found.unionByName(spark.sql("SELECT 'fail' AS policy, 'missing' AS store, -1L AS doc_id"))
+    for policy in ("new", "exist", "fail"):
+        found = found.unionByName(of(policy, "readable", readable))
+    flagged = store.flag_stored(docs, None, F.col("source") == "src7").filter("NOT stored")
+    return found.unionByName(flagged.select(F.lit("of the source").alias("policy"), F.lit("unreadable").alias("store"), "doc_id"))
+
+
 _ACCEPTED = """
 accepted AS (SELECT source, doc_id, 'https://example.org/' || (doc_id % 300) AS url FROM documents)"""
 _WINNERS = _ACCEPTED + """,
