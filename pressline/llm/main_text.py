@@ -4,7 +4,8 @@ For every node of a page: characters per tag, lowered where they stand in links.
 children; the subtree with the largest sum is the core of the text. The smallest density on the path from it to the body
 is the threshold: other subtrees that reach it give their own largest-sum subtree, and so on inside them. An article element
 that holds a chosen subtree is taken whole. What names itself a menu, header, footer, sidebar, notice, advert, form or reader
-comment has no characters in these sums and none in the text.
+comment has no characters in these sums and none in the text; on a page without an article, names of layout (sidebar, widget,
+notice and so on) give way where what they hold has a clearly larger density sum than all the rest.
 
 One page is read in one pass, linear in its length; pages are rows, so nothing is shuffled.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import e, log
 
 import pyarrow as pa
@@ -48,8 +49,17 @@ NAMES = (
     "recommended recommendations footer login signup toolbar widget skip"
 ).split()
 HEADERS = ("header", "masthead", "topbar")
+# Names that layouts, themes and page builders also give to what holds the main text.
+LAYOUTS = (
+    "sponsor promo promotion banner notice notices notification popup modal overlay sidebar rail social related recommended recommendations "
+    "widget toolbar"
+).split()
+LAYOUT_ROLES = frozenset("complementary dialog alertdialog alert form banner".split())
+# A sum this many times that of the rest outweighs such a name.
+OUTWEIGHS = 2.0
 _NAMED = re.compile(rf"(?:^|[-_ ])(?:{'|'.join(NAMES)})(?:$|[-_ ])")
 _HEADED = re.compile(rf"(?:^|[-_ ])(?:{'|'.join(HEADERS)})(?:$|[-_ ])")
+_FIXED_NAMES = re.compile(rf"(?:^|[-_ ])(?:{'|'.join(sorted(set(NAMES) - set(LAYOUTS)))})(?:$|[-_ ])")
 # What WordPress adds to an article for its topics says nothing about what the element is.
 _TOPIC = re.compile(r"^(?:category|tag|post_tag)-")
 _LAYOUT = re.compile(r"^(?:has|no|with|without|is|hide|show)[-_]|[-_](?:layout|wrapper|page|content|main)$")
@@ -73,6 +83,7 @@ class Page:
     dropped: list[int] = field(default_factory=lambda: [0])
     content: list[tuple[int, str | None]] = field(default_factory=list)
     inside_article: list[bool] = field(default_factory=lambda: [False])
+    layout: list[int] = field(default_factory=list)
 
 
 # How a node is dropped: never, with all below it, unless the article stands below it, or unless that or the core does.
@@ -108,6 +119,21 @@ def _drop(name: str, attributes: str, in_article: bool) -> int:
     return plain
 
 
+def _is_layout(name: str, attributes: str) -> bool:
+    """Whether only names of layout drop this element, so that its text may outweigh them."""
+    if name in ("header", "article"):
+        return False
+    for found in _ATTRIBUTE.finditer(attributes):
+        key, value = found[1].lower(), (found[2] or "").strip("\"'").lower()
+        if key == "itemprop" and value == "comment" or key == "role" and value in ROLES - LAYOUT_ROLES:
+            return False
+        if key in ("class", "id"):
+            for one in value.split():
+                if not _LAYOUT.search(one) and (_FIXED_NAMES.search(one) or _HEADED.search(one)):
+                    return False
+    return True
+
+
 def _tag_end(text: str, at: int, endless: set[int]) -> int:
     """The ">" of the tag whose attributes begin at ``at``; the next one at all if quotes hide it, -1 if there is none.
 
@@ -193,6 +219,8 @@ def parse(text: str) -> Page:
             elif name in BLOCK or name == "br":
                 content.append((stack[-1], None if name in BLOCK else " "))
             continue
+        if name == "svg" and attributes.endswith("/"):
+            continue
         if name in RAW:
             end = _ENDS[name].search(text, at)
             at = end.end() if end else size
@@ -211,6 +239,8 @@ def parse(text: str) -> Page:
         inside = page.inside_article[above] or name in ("article", "main")
         page.inside_article.append(inside)
         page.dropped.append(_drop(name, attributes, page.inside_article[above]))
+        if page.dropped[node] == UNLESS_ARTICLE and _is_layout(name, attributes):
+            page.layout.append(node)
         if name not in VOID and not attributes.endswith("/") or name in BLOCK - VOID:
             stack.append(node)
             open_[name] = open_.get(name, 0) + 1
@@ -282,6 +312,28 @@ def _gone(page: Page) -> list[bool]:
     return _below(page, [how == GONE or how != KEPT and node not in holds for node, how in enumerate(page.dropped)])
 
 
+def _outweighing(page: Page, gone: list[bool]) -> set[int]:
+    """Nodes of layout that stay after all, with what holds them: those around the text with the largest density sum of the page.
+
+    Each element with a name is weighed by what stands in it but not in another one, without what is no main text by its kind.
+    Where an article or main element is left, or the rest of the page weighs enough, none stays.
+    """
+    if not page.layout or any(not gone[node] and name in ("article", "main") for node, name in enumerate(page.name)):
+        return set()
+    n = len(page.name)
+    apart = list(page.parent)
+    for node in range(1, n):
+        if page.dropped[node] == UNLESS_ARTICLE:
+            apart[node] = n
+    split = replace(page, name=[*page.name, ""], parent=[*apart, 0])
+    _, sums, best = _sums(split, [*_below(page, [how == GONE for how in page.dropped]), False])
+    _, rest, elsewhere = _sums(page, gone)
+    heaviest = max(page.layout, key=lambda node: sums[best[node]])
+    above = _above(page, heaviest)
+    fixed = any(page.dropped[node] == GONE or page.dropped[node] == UNLESS_ARTICLE and node not in page.layout for node in above)
+    return set() if fixed or sums[best[heaviest]] <= OUTWEIGHS * rest[elsewhere[0]] else above
+
+
 def densities(page: Page, gone: list[bool]) -> list[float]:
     """Composite text density of every node: characters per tag, lowered by the links' share of characters and tags."""
     n = len(page.name)
@@ -371,7 +423,11 @@ def main_text(text: str | None) -> str:
     if not text:
         return ""
     page = parse(text)
-    inside = chosen(page, _gone(page))
+    gone = _gone(page)
+    if stays := _outweighing(page, gone):
+        page.dropped = [KEPT if node in stays else how for node, how in enumerate(page.dropped)]
+        gone = _gone(page)
+    inside = chosen(page, gone)
     blocks, parts = [], []
     for node, part in [*page.content, (0, None)]:
         if part is not None:

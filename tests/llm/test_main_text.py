@@ -98,6 +98,101 @@ def test_link_lists_have_low_density():
     assert density[first] > 3 * density[second]
 
 
+def test_layout_names_give_way_to_the_text():
+    inner = f"<h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p>"
+    text = "\n".join(["Head", TEXT.strip(), TEXT.strip()])
+    side = f"<div class=sidebar><p>Short side text.</p><ul><li><a href=1>{TEXT}</a></li></ul></div>"
+    rest = "<nav><a href=/>Home</a></nav><footer>x</footer>"
+    for around in (
+        'class="elementor-widget elementor-widget-theme-post-content"', 'id=wrapper class="right-sidebar"', 'class="page-with-sidebar"', 'class="social-post"', 'id="notice"',
+        "role=dialog",
+    ):
+        for page in (f"<div {around}>{inner}</div>", f"<div {around}>{inner}{side}</div>", f"<div {around}><div class=widget>{inner}</div></div>{side}"):
+            assert M.main_text(f"<body>{rest}{page}</body>") == text, (around, page[:60])
+    # Names of what is never main text hold; so do all names beside an article, and where the rest weighs as much.
+    for around in ("class=comments", "id=cookie-notice", "class='ad widget'", "role=navigation"):
+        assert M.main_text(f"<body><div {around}>{inner}</div><p>x y z</p></body>") == "x y z"
+    assert M.main_text(f"<body><div>{inner}</div><div class=sidebar><p>{TEXT}</p><p>{TEXT}</p></div></body>") == text
+    assert M.main_text(f"<body><article><p>Short.</p></article><div class=widget>{inner}</div></body>") == "Short."
+
+
+def test_self_closed_svg():
+    assert M.main_text("<article><svg/>text</article>") == "text"
+    assert M.main_text("<article><svg width=1 />a <svg><title>no</title></svg>b<svg viewBox='0 0 1 1'/></article>") == "a b"
+
+
+def naive(page):
+    """Densities, sums, and the text nodes in the main part, each computed from scratch by its definition; for pages without
+    names, forms and articles."""
+    from math import e, log
+
+    n = len(page.name)
+    kids = [[c for c in range(n) if c and page.parent[c] == i] for i in range(n)]
+
+    def tree(i):
+        return [i, *[d for c in kids[i] for d in tree(c)]]
+
+    def in_link(i):
+        return i > 0 and (page.name[i] == "a" or in_link(page.parent[i]))
+
+    def chars(i, links):
+        mine = set(tree(i))
+        return sum(len(" ".join(t.split())) for node, t in page.content if t is not None and node in mine and (not links or in_link(node)))
+
+    body = page.name.index("body")
+    share = chars(body, True) / max(chars(body, False), 1)
+
+    def density(i):
+        c, lc = chars(i, False), chars(i, True)
+        t, lt = max(len(tree(i)) - 1, 1), max(sum(page.name[j] == "a" for j in tree(i)[1:]), 1)
+        if not c:
+            return 0.0
+        return c / t * log(c / max(lc, 1) * t / lt + 1) / log(log(c / max(c - lc, 1) * lc + share * c + e) + 1)
+
+    def total(i):
+        return sum(map(density, kids[i])) if kids[i] else density(i)
+
+    def core(top):
+        return max(tree(top), key=lambda i: (total(i), -i))
+
+    threshold = density(core(0))
+    at = core(0)
+    while page.parent[at] > 0:
+        at = page.parent[at]
+        threshold = min(threshold, density(at))
+    inside, tops = set(), [0]
+    while tops:
+        top = tops.pop()
+        at = core(top)
+        inside |= set(tree(at))
+        while at != top:
+            at, below = page.parent[at], at
+            tops += [c for c in kids[at] if c != below and density(c) >= threshold > 0]
+    return [density(i) for i in range(n)], [total(i) for i in range(n)], inside
+
+
+def test_against_a_naive_second_form():
+    import random
+
+    rng = random.Random(11)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.2:
+            words = " ".join("word" * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 4, 30])))
+            return f"<a href=x>{words}</a>" if rng.random() < 0.3 else words
+        kind = rng.choice(["div", "section", "span", "b", "ul", "div"])
+        return f"<{kind}>{''.join(some(depth - 1) for _ in range(rng.randint(0, 3)))}</{kind}>"
+
+    for _ in range(150):
+        page = M.parse(f"<html><body>{''.join(some(4) for _ in range(3))}</body></html>")
+        gone = M._gone(page)
+        density, sums, inside = naive(page)
+        got, got_sums, _ = M._sums(page, gone)
+        assert not any(gone) and max(abs(a - b) for a, b in zip(got, density)) < 1e-9
+        assert max(abs(a - b) for a, b in zip(got_sums, sums)) < 1e-6
+        assert {i for i, x in enumerate(M.chosen(page, gone)) if x} == inside
+
+
 def test_odd_pages():
     assert M.main_text(None) == M.main_text("") == M.main_text("<nav>x</nav>") == ""
     assert M.main_text("plain   text\nonly") == "plain text only"
