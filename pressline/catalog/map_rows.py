@@ -11,7 +11,9 @@ from pressline.catalog import derived as d
 from pressline.functions.geo import base_angle, point_key
 from pressline.functions.text import key_hash
 from pressline.operators import mapview as mv
+from pressline.operators.layout import write_clustered
 from pressline.plans import map_query as plan
+from pressline.session import work_folder
 
 START, END = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
 
@@ -67,6 +69,18 @@ def date_range_q4(spark, sf_dir):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+@query("clustered_map_rows_q4", f"""
+WITH {d.INCIDENTS}
+SELECT event_id, federal, strftime(date, '%Y-%m-%d') AS day FROM incidents
+WHERE approved AND (coalesce(federal, '') = '' OR federal = 'NATION_4') AND date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""")
+def clustered_map_rows_q4(spark, sf_dir):
+    """One state and week out of the table laid out along the curve."""
+    path = work_folder(spark, "clustered")
+    write_clustered(d.incidents(spark, sf_dir), path, rows_per_file=2000)
+    week = mv.in_range(mv.by_states(mv.approved_incidents(spark.read.parquet(path)), ["NATION_4"]), dt.date(2024, 1, 8), dt.date(2024, 1, 14))
+    return week.select("event_id", "federal", d.text(F.col("date")).alias("day"))
+
+
 @query("default_range_q5", f"""
 WITH {d.INCIDENTS} SELECT count(*) AS shown, count(*) || ' in 366 Tagen' AS label FROM incidents
 WHERE date + INTERVAL 1 YEAR >= DATE '2025-01-01' AND date + INTERVAL 1 YEAR <= DATE '2026-01-01'""")
