@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pressline.catalog import query
@@ -222,14 +223,16 @@ def accepted_tips_r3(spark, sf_dir):
     return tips.tips(_submissions(spark, sf_dir))
 
 
-@query("funnel_o1", f"""
+_FUNNEL = f"""
 WITH judged AS (
   SELECT t.source, CASE WHEN l.doc_id IS NOT NULL THEN 'stored' WHEN t.doc_id % 9 = 0 THEN 'load_failed' WHEN length(t.text) < 300 THEN 'no_text'
     WHEN t.doc_id % 7 = 0 THEN 'too_old' WHEN {d.sql_first_keyword(['t.text'])} IS NULL THEN 'no_keyword' ELSE 'accepted' END AS reason
   FROM documents t LEFT JOIN labels l ON t.doc_id = l.doc_id)
 SELECT coalesce(source, 'total') AS source, CASE WHEN source IS NULL OR reason IS NULL THEN 'total' ELSE reason END AS reason, count(*) AS n
-FROM judged GROUP BY ROLLUP (source, reason)""")
-def funnel_o1(spark, sf_dir):
+FROM judged GROUP BY ROLLUP (source, reason)"""
+
+
+def _judged_documents(spark, sf_dir):
     from pressline.operators.relevance import first_keyword
 
     labels = d.table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("stored", F.lit(True))
@@ -241,7 +244,22 @@ def funnel_o1(spark, sf_dir):
         load_failed=F.col("doc_id") % 9 == 0,
         stored=F.col("stored").isNotNull(),
     )
-    return monitoring.funnel(docs.select("source", reason.alias("reason")))
+    return docs.select("source", reason.alias("reason"))
+
+
+@query("funnel_o1", _FUNNEL)
+def funnel_o1(spark, sf_dir):
+    return monitoring.funnel(_judged_documents(spark, sf_dir))
+
+
+@query("observed_funnel_o1", _FUNNEL)
+def observed_funnel_o1(spark, sf_dir):
+    """Counted while the judged rows are written; the sources are the configured ones."""
+    sources = sorted(r["source"] for r in d.table(spark, sf_dir, "documents").select("source").distinct().collect())
+    seen = Observation()
+    rows = _judged_documents(spark, sf_dir).observe(seen, *monitoring.counted(sources))
+    rows.write.parquet(work_folder(spark, "judged"))
+    return monitoring.observed_funnel(spark, monitoring.count_rows(sources, seen.get))
 
 
 @query("failed_runs_o2", """

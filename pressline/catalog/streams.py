@@ -90,6 +90,28 @@ def stream_funnel_t6(spark, sf_dir):
     return intake.latest_counts(updates).select(F.date_format("day_start", "yyyy-MM-dd").alias("day"), "source", "reason", "n")
 
 
+@query("stream_counts_t6", """
+SELECT event_type AS source, CASE WHEN event_id % 4 = 0 THEN 'accepted' WHEN event_id % 4 = 1 THEN 'too_old' ELSE 'no_keyword' END AS reason, count(*) AS n
+FROM events GROUP BY 1, 2""")
+def stream_counts_t6(spark, sf_dir):
+    """Counts taken by the writes of the batches; the first two batches are closed."""
+    events = d.table(spark, sf_dir, "events")
+    k = F.col("event_id") % 4
+    reason = F.when(k == 1, F.lit("too_old")).when(k > 1, F.lit("no_keyword"))
+    rows = events.select("event_id", F.col("event_type").alias("source"), reason.alias("reason"))
+    sources = sorted(r["source"] for r in rows.select("source").distinct().collect())
+    path = work_folder(spark, "counts")
+    for part in range(3):
+        rows.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{path}/landing")
+    stream = intake.stream_pages(spark, f"{path}/landing", rows.schema, files_per_batch=1)
+    write = intake.append_counted(f"{path}/rows", f"{path}/counts", sources)
+    (
+        stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        .foreachBatch(write).start().awaitTermination()
+    )
+    return intake.compact_counts(spark, f"{path}/counts", f"{path}/closed", 2)
+
+
 # Instants are cut to seconds: watermarks count milliseconds.
 _LANDED = """
 e AS (SELECT event_id, date_trunc('second', ts) AS moment, user_id FROM events),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pressline.functions.dates import midnight, rss_date
@@ -373,16 +373,17 @@ def run_ingestion(
     """Second half of a run: writes accepted rows and rejects, stores the incidents of ``run``, returns the funnel.
 
     ``found`` should be a written table (the first half's output). Accepted rows are written once and
-    read back for the store, the rejects and the counts. ``seen`` are the runs that were stored when the links were checked
+    read back for the store and the rejects; rows are counted while they are written. ``seen`` are the runs that were stored when the links were checked
     (``run_store.stored_runs``). A run that is repeated, from any point, replaces what it wrote before.
     """
-    spark = found.sparkSession
-    accept(judge(profiles, found, answers, gazetteer, states)).write.mode("overwrite").parquet(accepted_path)
+    spark, sources = found.sparkSession, list(profiles)
+    kept, refused = Observation(), Observation()
+    judged = accept(judge(profiles, found, answers, gazetteer, states))
+    none = F.lit(None).cast("string")
+    judged.observe(kept, *monitoring.counted(sources, none)).write.mode("overwrite").parquet(accepted_path)
     accepted = spark.read.parquet(accepted_path)
-    rejected(found, answers, accepted).write.mode("overwrite").parquet(rejects_path)
+    rejects = rejected(found, answers, accepted)
+    rejects.observe(refused, *monitoring.counted(sources)).write.mode("overwrite").parquet(rejects_path)
     run_store.write_run(store.incident_rows(accepted), incidents_path, run, seen)
-    rejects = spark.read.parquet(rejects_path)
-    outcome = rejects.select("source", "reason").unionByName(
-        accepted.select("source", F.lit(None).cast("string").alias("reason"))
-    )
-    return monitoring.funnel(outcome)
+    counts = [row for seen_rows in (kept, refused) for row in monitoring.count_rows(sources, seen_rows.get)]
+    return monitoring.observed_funnel(spark, counts)

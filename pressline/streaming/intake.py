@@ -8,17 +8,18 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pressline.operators.dating import is_fresh
-from pressline.operators.monitoring import ACCEPTED
+from pressline.operators.monitoring import ACCEPTED, count_rows, counted
 from pressline.operators.store import is_missing, not_yet_stored
 from pressline.sources.schemas import PAGES
 
 SALTS = 16
+COUNTS = "source STRING, reason STRING, n BIGINT"
 
 
 def stream_pages(
@@ -88,6 +89,40 @@ def append_batch(path: str, key: str | None = None) -> Callable[[DataFrame, int]
     return write
 
 
+def append_counted(path: str, counts_path: str, sources: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Writer for ``foreachBatch`` that counts rows per source and reason while it writes them.
+
+    Each batch owns one folder of rows and one of its counts, and overwrites both when it is repeated. Nothing is read back and no
+    state is kept; the counts of a batch are a row per source and reason.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        batch.observe(seen, *counted(sources)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        counts = batch.sparkSession.createDataFrame(count_rows(sources, seen.get), COUNTS)
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{counts_path}/batch_id={batch_id}")
+
+    return write
+
+
+def batch_counts(spark: SparkSession, counts_path: str) -> DataFrame:
+    """``(source, reason, n)`` over all batches so far."""
+    each = spark.read.schema(COUNTS + ", batch_id BIGINT").parquet(counts_path)
+    return each.groupBy("source", "reason").agg(F.sum("n").alias("n"))
+
+
+def compact_counts(spark: SparkSession, counts_path: str, closed_path: str, before: int) -> DataFrame:
+    """Closes the batches below ``before``: their counts become one small table, which a repeated call writes again.
+
+    Returns the counts over all batches from that table and the batches since.
+    """
+    each = spark.read.schema(COUNTS + ", batch_id BIGINT").parquet(counts_path)
+    summed = each.filter(F.col("batch_id") < before).groupBy("source", "reason").agg(F.sum("n").alias("n"))
+    summed.coalesce(1).write.mode("overwrite").parquet(closed_path)
+    since = each.filter(F.col("batch_id") >= before).select("source", "reason", "n")
+    both = spark.read.schema(COUNTS).parquet(closed_path).unionByName(since)
+    return both.groupBy("source", "reason").agg(F.sum("n").alias("n"))
+
+
 def stream_append(
     df: DataFrame, path: str, checkpoint: str, key: str | None = None, mode: str = "append"
 ) -> StreamingQuery:
