@@ -9,6 +9,7 @@ from pressline.catalog import derived as d
 from pressline.functions import dates as dt
 from pressline.operators import dating
 from pressline.plans.map_query import run_instant
+from pressline.sources.profiles import default_profiles
 
 _AS_OF = "TIMESTAMP '1997-06-15 12:00:00'"
 _DAY = "strftime(day, '%Y-%m-%d')"
@@ -107,6 +108,54 @@ def publication_ladder_d6(spark, sf_dir):
     return _laddered(spark, sf_dir).select("o_orderkey", "source", d.text(F.col("pub_date")).alias("pub_date"))
 
 
+# Each source's date facts in the order of its ladder: column, notation of the day, seconds of that day it stands for.
+_FACTS = {
+    "presseportal": (("dated_time_attr", "{iso} 10:30:01", 37801),),
+    "bayern": (("time_attr", "{iso}T10:30+02:00", 30600),),
+    "berlin": (("list_date_text", "{german}  09:15 Uhr", 33300), ("dcterms_date", "{iso}T08:00:05+02:00", 28805), ("time_attr", "{iso}T10:30:00+02:00", 30600)),
+    "brandenburg": (("time_attr", "{iso}T10:30:00Z", 37800), ("labelled_date_text", "{iso}", 0)),
+    "bremen": (("list_date", "{iso}", 0), ("class_time_attr", "{iso}", 0), ("class_time_text", "{german}", 0)),
+    "mv": (("dtstart_text", "{german}", 0), ("meta_published", "{iso}T10:00:00Z", 36000)),
+    "nrw": (("time_attr", "{iso} 20:00:00", 72000), ("list_date", "{iso}", 0)),
+    "sachsen": (("time_attr", "{iso}T07:00:00Z", 25200), ("time_text", "{german}", 0), ("date_class_text", "{iso}", 0)),
+    "sachsen-anhalt": (("date_box_text", "am {german}, 15:35", 0), ("time_attr", "{iso}T10:00:00Z", 36000), ("any_date_text", "{iso}", 0)),
+    "schleswig-holstein": (("time_attr", "{iso}T10:00:00Z", 0),),
+}
+_SOURCES = tuple(_FACTS)
+_SECONDS = "[" + ", ".join(str([s for _, _, s in facts]) for facts in _FACTS.values()) + "]"
+
+
+@query("source_ladders_d6", f"""
+WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS day, (o_orderkey % 10)::INT AS s, (o_orderkey // 10 % 4)::INT AS rung FROM orders),
+f AS (SELECT *, {_SECONDS}[s + 1][rung + 1] AS seconds FROM o)
+SELECT o_orderkey, {d._sql_list(_SOURCES)}[s + 1] AS source, strftime(CASE WHEN seconds IS NULL THEN DATE '1997-06-15' ELSE day END, '%Y-%m-%d') AS pub_date,
+  epoch((CASE WHEN seconds IS NULL THEN DATE '1997-06-15' ELSE day END)::TIMESTAMP)::BIGINT + coalesce(seconds, 0) AS seconds FROM f""")
+def source_ladders_d6(spark, sf_dir):
+    """The ladders of the ten sources: facts from one rung down, the later ones with another day; without any the run date."""
+    k = F.col("o_orderkey")
+    orders = d.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    rows = orders.withColumns({
+        "source": F.element_at(F.array(*[F.lit(s) for s in _SOURCES]), (k % 10 + 1).cast("int")), "rung": F.floor(k / 10) % 4,
+    })
+
+    def note(pattern, rung):
+        shown = F.when(F.col("rung") == rung, F.col("day")).otherwise(F.date_sub("day", 100))
+        notation = "{iso}" if "{iso}" in pattern else "{german}"
+        before, after = pattern.split(notation)
+        text = F.date_format(shown, "yyyy-MM-dd" if notation == "{iso}" else "dd.MM.yyyy")
+        return F.when(F.col("rung") <= rung, F.concat(F.lit(before), text, F.lit(after)))
+
+    columns = {c: F.lit(None).cast("string") for c in (
+        "time_attr", "dated_time_attr", "time_text", "class_time_attr", "class_time_text", "dtstart_text", "meta_published", "dcterms_date",
+        "date_box_text", "date_class_text", "labelled_date_text", "any_date_text", "list_date_text", "list_date")}
+    for source, facts in _FACTS.items():
+        for rung, (column, pattern, _) in enumerate(facts):
+            columns[column] = F.when(F.col("source") == source, note(pattern, rung)).otherwise(columns[column])
+    noted = rows.withColumns(columns).withColumn("list_date", F.col("list_date").cast("date"))
+    dated = dating.with_publication(noted, {p.source: p.dates for p in default_profiles().values()}, _run())
+    return dated.select("o_orderkey", "source", d.text(F.col("pub_date")).alias("pub_date"), F.unix_seconds("pub_ts").alias("seconds"))
+
+
 @query("run_date_default_d7", f"""
 WITH {d.DATES}
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 1 THEN {_DAY} ELSE '1997-06-15' END AS pub_date FROM dated""")

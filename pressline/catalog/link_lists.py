@@ -70,9 +70,11 @@ FROM (
   SELECT o_orderkey, o_orderdate, 2, '', '/video/' || o_orderkey FROM orders WHERE o_orderkey % 4 <> 3)
 """)
 def rss_items_s3(spark, sf_dir):
+    """The given file is one split: its narrow rows are dealt out before feeds are made of them, as landed feeds lie in many files."""
     key = _str(F.col("o_orderkey"))
     months = F.array(*[F.lit(m) for m in d.ENGLISH_MONTHS])
-    orders = d.table(spark, sf_dir, "orders")
+    orders = d.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    orders = orders.repartition(spark.sparkContext.defaultParallelism)
     day = F.concat_ws(
         " ", _str(F.day("o_orderdate")), F.element_at(months, F.month("o_orderdate")), _str(F.year("o_orderdate"))
     )
