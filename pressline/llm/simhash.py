@@ -159,7 +159,8 @@ def one_of_each_group(docs: DataFrame, shingle_words: int = 3, max_distance: int
 
     row_id, row_fp = free_name(docs, "kept_id"), free_name(docs, "simhash_fp")
     ids = kept.join(often, "doc_id", "left_anti").where("doc_id IS NOT NULL").select(F.col("doc_id").alias(row_id))
-    named = docs.join(ids, docs["doc_id"] == F.col(row_id), "left_semi")
+    # Written, so that Spark knows their size: texts are shuffled only where the ids are too many to be sent to them.
+    named = docs.join(stored(ids, "simhash-kept"), docs["doc_id"] == F.col(row_id), "left_semi")
     if often.isEmpty():
         return named
     same = F.col(row_id).eqNullSafe(docs["doc_id"])
