@@ -11,6 +11,7 @@ from pressline.functions.urls import absolutize, url_host
 from pressline.operators import links as lk
 from pressline.operators.monitoring import links_per_page
 from pressline.sources import feeds as fd
+from pressline.sources import sql_functions
 from pressline.sources.frontier import frontier
 from pressline.sources.html_jobs import extract_links, next_links
 from pressline.sources.pages import read_pages, split_loaded
@@ -175,6 +176,25 @@ def selector_links_s7(spark, sf_dir):
     )
 
 
+@query("sql_links_s7", f"""
+WITH {d.LINKS}
+SELECT page, pos, url, trim(title) AS title FROM links""")
+def sql_links_s7(spark, sf_dir):
+    """The same extraction, asked for in SQL with the profile as argument."""
+    profile = Profile(
+        "press", "", (ListSpec(""),),
+        link_rules=(LinkRule((Box("div", ("missing",)),)), LinkRule((Box("nav"), Box("ul"), Box("li")))),
+    )
+    sql_functions.register(spark, {"press": profile})
+    found = spark.sql("""
+        SELECT * FROM listing_anchors(
+          TABLE(SELECT 'press' AS source, page_id AS page, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, html FROM {pages}),
+          profile => 'press')""", pages=d.table(spark, sf_dir, "pages"))
+    return sql_functions.links_of(found, profile).select(
+        "page", F.col("pos").cast("bigint").alias("pos"), F.concat(F.lit("https://"), "host", "url").alias("url"), "title",
+    )
+
+
 @query("next_links_s8", """
 SELECT page_id,
   CASE page_id % 5 WHEN 0 THEN 'https://example.org/list/' || (page_id + 1) WHEN 1 THEN 'https://example.org/list/' || (page_id + 2)

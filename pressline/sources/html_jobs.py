@@ -207,7 +207,7 @@ def _item_facts(page: Page, profile: Profile, anchor: int, rule) -> dict:
     return facts
 
 
-def _anchors(page: Page, profile: Profile) -> list[dict]:
+def listing_anchors(page: Page, profile: Profile) -> list[dict]:
     """Anchors of the first link rule that finds any."""
     for rule in profile.link_rules:
         tops = [(0, 0)]                                   # innermost box, box that gives one link
@@ -250,7 +250,7 @@ def extract_links(list_pages: DataFrame, profiles: Mapping[str, Profile], html:
 
     def read(row: dict, page: Page) -> list[dict]:
         profile = profiles.get(row.get("source"))
-        return _anchors(page, profile) if profile else []
+        return listing_anchors(page, profile) if profile else []
 
     found = _page_job(list_pages, html, ANCHORS, read, many=True)
     return finish_links(found.withColumnRenamed("text", "title").drop("url"), profiles)

@@ -228,3 +228,27 @@ def test_plain_links_read_long_pages_once(spark):
     start = time.time()
     assert extract_plain_links(df).count() == 50000
     assert time.time() - start < 30
+
+
+def test_listing_anchors_from_sql(spark):
+    """All sources' fixture pages give in SQL what the DataFrame form gives; wrong arguments are refused before anything runs."""
+    import fixtures as fx
+    from pyspark.errors import PySparkException
+
+    from pressline.sources import schemas, sql_functions
+    from pressline.sources.html_jobs import extract_links
+    from pressline.sources.profiles import default_profiles
+
+    profiles = {s: p for s, p in default_profiles().items() if p.link_rules}
+    sql_functions.register(spark, profiles)
+    pages = spark.createDataFrame(fx.LIST_PAGES, schemas.LIST_PAGES)
+    for source, profile in profiles.items():
+        mine = pages.filter(F.col("source") == source)
+        found = spark.sql(f"SELECT * FROM listing_anchors(TABLE(SELECT * FROM {{t}}), '{source}')", t=mine)
+        got, want = sql_functions.links_of(found, profile), extract_links(mine, {source: profile})
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert found.columns[:5] == ["source", "feed", "list", "page", "url"]
+    for call in ("listing_anchors(TABLE(SELECT * FROM {t}), 'nowhere')", "listing_anchors(TABLE(SELECT url FROM {t}), 'mv')"):
+        with pytest.raises(PySparkException):
+            spark.sql(f"SELECT * FROM {call}", t=pages)
