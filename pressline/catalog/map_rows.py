@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from pressline.functions.text import key_hash
 from pressline.operators import mapview as mv
 from pressline.operators.layout import write_clustered
 from pressline.plans import map_query as plan
+from pressline.plans import map_sql
 from pressline.session import work_folder
 
 START, END = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
@@ -172,3 +174,18 @@ def marker_view_q12(spark, sf_dir):
     """The whole map query in one plan."""
     markers = plan.map_markers(d.incidents(spark, sf_dir), d.SELECTED, START, END, d.instant())
     return markers.withColumns({"shown_lat": F.round("shown_lat", 6), "shown_lon": F.round("shown_lon", 6)})
+
+
+@query("sql_map_q12", f"""
+WITH {_INDEXED} {_HASHED} {_MOVED}
+SELECT title, summary, url, round(shown_lat, 6) AS shown_lat, round(shown_lon, 6) AS shown_lon, {_RANK} AS rank FROM moved""")
+def sql_map_q12(spark, sf_dir):
+    """The same rows asked for in SQL, with states and days as arguments."""
+    view = f"incidents_{uuid.uuid4().hex}"
+    rows = d.incidents(spark, sf_dir).withColumns({"location": F.lit(None).cast("string"), "scraper": F.lit(True)})
+    rows.createTempView(view)
+    map_sql.register(spark, view)
+    states = ", ".join(f"'{s}'" for s in d.SELECTED)
+    shown = spark.sql(f"SELECT * FROM shown_incidents(array({states}), DATE '{START}', DATE '{END}')")
+    found = map_sql.markers(shown, d.instant())
+    return found.withColumns({"shown_lat": F.round("shown_lat", 6), "shown_lon": F.round("shown_lon", 6)})

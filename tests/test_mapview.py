@@ -193,3 +193,34 @@ def test_funnel_and_alerts(spark):
     assert monitoring.failed_runs(log).filter("source = 'b'").collect()[0]["body"].endswith("Ausgabe:\nx")
     with pytest.raises(ValueError):
         monitoring.first_reason(odd=F.lit(True))
+
+
+def test_map_functions_in_sql(spark, tmp_path):
+    """The table functions against the DataFrame form; constant arguments reach the scan, columns are pruned."""
+    from pressline.plans import map_query, map_sql
+    from pressline.sources.schemas import INCIDENTS
+
+    days = [None, dt.date(1970, 1, 1), dt.date(2024, 12, 31), dt.date(2025, 1, 1), dt.date(2025, 2, 3)]
+    rows = [
+        ("t", "s", day, None, lat, 10.0, f"u{i}{j}{k}", state, "x", True, approved)
+        for i, day in enumerate(days) for j, (lat, approved) in enumerate([(50.0, True), (None, True), (float("nan"), True), (50.0, False), (50.0, None)])
+        for k, state in enumerate([None, "", "Bayern", "Berlin", "Hessen"])
+    ]
+    spark.createDataFrame(rows, INCIDENTS).write.parquet(str(tmp_path / "incidents"))
+    table = spark.read.parquet(str(tmp_path / "incidents"))
+    table.createOrReplaceTempView("stored_incidents")
+    map_sql.register(spark, "stored_incidents")
+    for selected in ([], ["Bayern"], ["Bayern", "Hessen"]):
+        for start in (None, dt.date(1969, 1, 1), dt.date(2025, 1, 1)):
+            for end in (dt.date(1969, 6, 1), dt.date(2025, 1, 1)):
+                listed = "array(" + ", ".join(f"'{s}'" for s in selected) + ")" if selected else "CAST(array() AS ARRAY<STRING>)"
+                call = f"({listed}, {f"DATE '{start}'" if start else 'NULL'}, DATE '{end}')"
+                got = spark.sql(f"SELECT url FROM shown_incidents{call}")
+                want = map_query.shown_incidents(table, selected, start, end)
+                assert sorted(r["url"] for r in got.collect()) == sorted(r["url"] for r in want.select("url").collect()), call
+    assert spark.sql("SELECT * FROM shown_count(array('Bayern'), DATE '2025-01-01', DATE '2025-02-03')").collect() == map_query.map_count(
+        table, ["Bayern"], dt.date(2025, 1, 1), dt.date(2025, 2, 3)).collect()
+    assert spark.sql("SELECT label FROM shown_count(array('Bayern'), NULL, DATE '2025-02-03')").first()["label"].endswith(" bis 3.2.2025")
+    plan = spark.sql("SELECT url FROM shown_incidents(array('Bayern'), DATE '2025-01-01', DATE '2025-02-03')")._jdf.queryExecution().executedPlan().toString()
+    assert "title" not in plan and "PushedFilters: [" in plan and "approved" in plan.split("PushedFilters: [")[1]
+
