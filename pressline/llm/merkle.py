@@ -21,8 +21,6 @@ from pressline.llm.frames import narrow, stored
 from pressline.session import cut_lineage
 
 FANOUT = 3
-# Levels planned together before they are written.
-CUT_LEVELS = 4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -85,9 +83,8 @@ def levels(leaves: DataFrame) -> list[DataFrame]:
     found: list[DataFrame] = []
     level = 1
     while FANOUT ** (level - 1) < largest:
-        grown = _grown(below.where(F.col("n") > FANOUT ** (level - 1)), level)
-        if level == 1 or level % CUT_LEVELS == 0:
-            grown = stored(grown, "merkle-level")
+        # Each level is written: plans stay small, and the levels above read a third of what this one did.
+        grown = stored(_grown(below.where(F.col("n") > FANOUT ** (level - 1)), level), "merkle-level")
         found.append(grown)
         below = grown.select(
             "tree", "n", "lo", "hi", _node_digest().alias("digest"), F.lit(None).cast(id_type).alias("doc_id"),
