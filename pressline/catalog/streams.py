@@ -15,8 +15,13 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 PAGES = "page_id BIGINT, url STRING, html STRING"
 
 
+def _table_stream(spark, sf_dir, name, schema):
+    """A table as a stream, be it one file or a folder of part files; a streamed path may be a file only where it is a pattern."""
+    return intake.stream_pages(spark, f"{sf_dir}/{{{name}.parquet}}", schema)
+
+
 def _events(spark, sf_dir):
-    stream = intake.stream_pages(spark, sf_dir, EVENTS, glob="events.parquet")
+    stream = _table_stream(spark, sf_dir, "events", EVENTS)
     url = F.concat(F.lit("https://example.org/u/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"))
     return stream.select("event_id", F.col("ts").cast("timestamp").alias("pub_ts"), url.alias("url"), F.col("event_type").alias("source"))
 
@@ -29,7 +34,7 @@ def _drain(spark, stream, label, key=None, mode="append"):
 
 @query("stream_pages_t1", "SELECT page_id, url, length(html)::BIGINT AS n_chars FROM pages")
 def stream_pages_t1(spark, sf_dir):
-    pages = intake.stream_pages(spark, sf_dir, PAGES, glob="pages.parquet")
+    pages = _table_stream(spark, sf_dir, "pages", PAGES)
     rows = pages.select("page_id", "url", F.length("html").cast("bigint").alias("n_chars"))
     return _drain(spark, rows, "pages").select("page_id", "url", "n_chars")
 

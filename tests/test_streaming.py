@@ -179,3 +179,18 @@ def test_links_meet_pages_as_a_batch_would(spark, tmp_path):
     reasons = {r["n"]: r["reason"] for r in got.collect() if r["n"] < 99}
     assert reasons == {0: None, 1: "load_failed", 2: "load_failed", 3: None, 4: "load_failed", 5: "load_failed", 6: "load_failed", 7: "load_failed", 10: "load_failed"}
     assert got.filter("n = 3").count() == 2
+
+
+def test_streamed_tables_may_be_folders(spark, tmp_path):
+    from pressline.catalog import streams
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, f"u{i}", "x" * i) for i in range(9)], streams.PAGES).repartition(3).write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(99, "other", "")], streams.PAGES).write.parquet(f"{folder}/older_pages.parquet")
+    at = dt.datetime(2024, 1, 1)
+    events = [(i, at, i % 2, "view", 0.0, "") for i in range(6)]
+    spark.createDataFrame(events, streams.EVENTS).repartition(2).write.parquet(f"{folder}/events.parquet")
+    got = streams.stream_pages_t1(spark, folder).collect()
+    assert sorted(tuple(r) for r in got) == [(i, f"u{i}", i) for i in range(9)]
+    stored = {(r["url"], r["event_id"]) for r in streams.stream_append_t5(spark, folder).collect()}
+    assert stored == {("https://example.org/u/0/view", 0), ("https://example.org/u/1/view", 1)}
